@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .order import tasks
+from .storage import materialise
 
 #: Most members of a group that one task is given in one block.
 BLOCK = 4096
+#: Rows of a table that a join may broadcast; beyond it both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def block_groups(rows: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
@@ -25,8 +28,12 @@ def block_groups(rows: DataFrame, key: str, member: str, block: int = BLOCK) ->
     block, and ``part``: the row's own.  Rows come sorted by block, then member.
     """
     hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
-    cut = hot.select(key, F.ceil(F.col("__n") / block).cast("int").alias("__parts"))
-    dealt = rows.join(cut, key, "left")
+    cut = materialise(hot.select(key, F.ceil(F.col("__n") / block).cast("int").alias("__parts")), "hot")
+    found = cut.count()
+    if found:
+        dealt = rows.join(F.broadcast(cut) if found <= BROADCAST_ROWS else cut, key, "left")
+    else:
+        dealt = rows.withColumn("__parts", F.lit(1))
     parts = F.coalesce("__parts", F.lit(1))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(member), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1))

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import linedup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.matched_lines(_table(spark, sf_dir, "documents")).drop("tag")
+
+
 def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = simhash.materialise(simhash.fingerprints(_table(spark, sf_dir, "documents")), "prints")
     return simhash.near_duplicates(prints).select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
