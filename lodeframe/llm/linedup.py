@@ -247,7 +247,7 @@ def matched_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     scan = materialise(source.mapInArrow(_scan, "kind int, a long, b long, c long, tag long"), "lines", "kind")
     lines = scan.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("line"), F.col("c").alias("node"), "tag")
     # At most BUCKETS rows, whatever the input.
-    counted = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toPandas()
+    counted = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toArrow()
     count = np.zeros(BUCKETS, np.int64)
     count[counted["a"].to_numpy()] = counted["n"].to_numpy()
     rank = np.empty(BUCKETS, np.int32)
