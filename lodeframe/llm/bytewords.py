@@ -70,11 +70,18 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         row = stop
 
 
-def words(column: pa.Array) -> Iterator[Words]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a string column without nulls; names don't tell A-Z from a-z."""
+#: Bytes of letters and digits: ASCII ones, and all of other characters.
+ALPHANUMERIC = np.arange(256) >= 128
+ALPHANUMERIC[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = True
+
+
+def words(column: pa.Array, of: np.ndarray = _WORD) -> Iterator[Words]:
+    """Words of a string column without nulls: runs of the bytes in ``of``, by default
+    ``[^\\x20\\x09-\\x0D]+``; names don't tell A-Z from a-z."""
+    value = np.where(of, _VALUE, np.uint64(0))
     for first, data, offsets in chunks(column):
         n = data.size
-        inside = _WORD[data]
+        inside = of[data]
         head = np.zeros(n + 1, bool)
         head[offsets] = True
         begin = inside.copy()
@@ -87,7 +94,7 @@ def words(column: pa.Array) -> Iterator[Words]:
             base = np.zeros(n, np.int32)
             base[start] = start
             place = np.arange(n, dtype=np.int32) - np.maximum.accumulate(base)
-            share = _VALUE[data]
+            share = value[data]
             share *= powers(int(place.max()) + 1)[place]
             name = mix(np.add.reduceat(share, start))
         else:
