@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lcp, linedup, simhash, toxicity
+from . import decontaminate, lcp, linedup, packing, shards, simhash, toxicity, urlfilter
+from .storage import scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,28 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = shards.write_shards(_table(spark, sf_dir, "documents"), scratch_path(spark, "shards"), _tokenizer(), key=20240601)
+    return written.select("doc_id", "start", "tokens", "slot", "shard", F.crc32("ids").alias("ids_crc32"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer())
+    digest = made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return packing.bucket(digest).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "shared", "item_shingles", "containment")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
@@ -25,6 +48,13 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "offending_sentences")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pages: those whose page_id has a row in ``labels``; bad is a quality of 0."""
+    bad = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.when(F.col("quality") == 0, 1).when(F.col("quality").isNotNull(), 0).alias("bad"))
+    judged = urlfilter.judge(_table(spark, sf_dir, "pages"), bad)
+    return judged.withColumns({c: F.round(c, 9) for c in ("bad_mean", "bad_bound")})
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.matched_lines(_table(spark, sf_dir, "documents")).drop("tag")
 
