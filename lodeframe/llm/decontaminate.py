@@ -41,6 +41,16 @@ def _shingles(words: str) -> Column:
     return F.array_distinct(F.when(last >= 0, every).otherwise(F.array().cast("array<string>")))
 
 
+def _held(value: Column) -> Column:
+    """``value`` as the one row of a generator.
+
+    The optimiser copies plain columns into filters that it pushes down and into
+    the bodies of array functions, where they would be computed again for every
+    element; it doesn't copy what a generator gives.
+    """
+    return F.explode(F.array(value))
+
+
 def _minima(hashes: Column, bits: Column) -> Column:
     """The least hash of each bin; sorted hashes with the same leading ``bits`` stand together."""
     bin_ = lambda x: F.call_function("shiftrightunsigned", x, 64 - bits)
@@ -65,23 +75,24 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE) ->
     ``tag``, a hash of doc_id and text, tells them apart; equal rows give equal
     results once.  Items that share an item_id are searched one by one too.
     """
-    item = items.select("item_id", _words("text").alias("w")).select("item_id", _hashes("w").alias("h"), _shingles("w").alias("s")).where("size(h) > 0")
+    item = items.select("item_id", _held(_words("text")).alias("w")).select("item_id", "w", _held(_hashes("w")).alias("h")).select("item_id", "h", _held(_shingles("w")).alias("s")).where("size(h) > 0")
     item = materialise(item.withColumn("size", F.size("h")).withColumn("item", F.xxhash64("item_id", "s")).dropDuplicates(["item"]), "items")
-    doc = docs.select(F.xxhash64("doc_id", "text").alias("tag"), _words("text").alias("w")).select("tag", _hashes("w").alias("h")).where("size(h) > 0")
+    doc = docs.select(F.xxhash64("doc_id", "text").alias("tag"), _held(_words("text")).alias("w")).select("tag", _held(_hashes("w")).alias("h"))
 
     long = item.where(F.col("size") >= SHORT).select("item", "h", F.explode(F.sequence(F.lit((SPREAD - 1).bit_length()), F.lit(40))).alias("bits"))
     long = materialise(long.select("item", "bits", F.explode(_minima(F.col("h"), F.col("bits"))).alias("least")), "signatures")
-    signed = doc.withColumn("bits", _bits(F.size("h"))).select("tag", "bits", F.explode(_minima(F.col("h"), F.col("bits"))).alias("least"))
+    signed = doc.select("tag", "h", _held(_bits(F.size("h"))).alias("bits")).select("tag", "bits", F.explode_outer(_minima(F.col("h"), F.col("bits"))).alias("least"))
     found = signed.join(_limited(long), ["bits", "least"]).select("tag", "item")
     short = item.where(F.col("size") < SHORT)
     if short.take(1):
         every = materialise(short.select("item", F.explode("h").alias("least")), "short")
-        found = found.union(doc.select("tag", F.explode("h").alias("least")).join(_limited(every), "least").select("tag", "item"))
+        found = found.union(doc.select("tag", F.explode_outer("h").alias("least")).join(_limited(every), "least").select("tag", "item"))
     pairs = materialise(found.distinct(), "candidates")
 
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tag"))
     met = texts.join(_limited(pairs), "tag").join(_limited(item.select("item", "item_id", "s")), "item")
-    shared = met.select("doc_id", "item_id", "tag", "s", "item", _words("text").alias("w")).select("doc_id", "item_id", "tag", "item", F.size(F.array_intersect(_shingles("w"), "s")).alias("shared"), F.size("s").alias("item_shingles"))
+    shared = met.select("doc_id", "item_id", "tag", "s", "item", _held(_words("text")).alias("w"))
+    shared = shared.select("doc_id", "item_id", "tag", "item", _held(F.size(F.array_intersect(_shingles("w"), "s"))).alias("shared"), F.size("s").alias("item_shingles"))
     share_ = F.col("shared") / F.col("item_shingles")
     kept = shared.withColumn("containment", share_).where(F.col("shared") >= share * F.col("item_shingles"))
     return kept.dropDuplicates(["tag", "item"]).select("doc_id", "item_id", "shared", "item_shingles", "containment", "tag")
