@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lcp, linedup, packing, shards, simhash, toxicity, urlfilter
+from . import chat, decontaminate, lcp, licenses, linedup, packing, shards, simhash, sql, toxicity, urlfilter
 from .storage import scratch_path
 
 
@@ -30,6 +30,16 @@ def op3_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("doc_id", "start", "tokens", "slot", "shard", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chat.format_pairs(chat.random_negatives(chat.conversations(_table(spark, sf_dir, "conversations"))))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return made.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer())
     digest = made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
@@ -69,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(sql.ORACLES)
