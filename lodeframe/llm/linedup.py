@@ -23,13 +23,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, BROADCAST_ROWS, block_groups, pairs_by_offset, whole_blocks
+from .blocks import BLOCK, BROADCAST_ROWS, block_groups, pairs_by_offset, small_or_over, whole_blocks
 from .bytewords import mix, words
 from .order import tasks
 from .storage import materialise
 
 #: Token counts are kept for this many hash buckets: the table that tasks get is 4 MB, whatever the input.
 BUCKETS = 1 << 20
+PART = 4096
+#: Lines of up to so many tokens have bitmaps of 64 and of 128 bits; longer ones have 256.
+NARROW, MEDIUM = 96, 200
+_PREFIX = ["key", "node", "size", "b0", "b1", "b2", "b3"]
 _LOW = np.uint64((1 << 24) - 1)
 _TOKEN = np.uint64((1 << 44) - 1)
 
@@ -61,43 +65,68 @@ def _bucket(w) -> np.ndarray:
     return w.name >> np.uint64(44)
 
 
-def _classes(w) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Class, number of tokens, text and line number of each line that has words."""
-    token, first, n, text, within = _line_tokens(w, _bucket(w))
-    name = mix(np.add.reduceat(mix(token + np.uint64(1)), first) + n.astype(np.uint64)) if first.size else np.empty(0, np.uint64)
-    return name.view(np.int64), n, text, within
+def _class(token: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Names of the token sets; the order of the tokens doesn't matter."""
+    return mix(np.add.reduceat(mix(token + np.uint64(1)), first) + n.astype(np.uint64)).view(np.int64) if first.size else np.empty(0, np.int64)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: 0 for each line (doc, line, class, tag), 1 for each bucket (bucket, count)."""
+    """Rows of two kinds: 0 for each line (doc, line, class, tag), 1 for PART word counts from a bucket on."""
     counts = np.zeros(BUCKETS, np.int64)
-    names = ["kind", "a", "b", "c", "tag"]
+    names = ["kind", "a", "b", "c", "tag", "counts"]
     for batch in batches:
         doc, tag = batch.column("doc_id"), batch.column("tag")
         for w in words(batch.column("text")):
-            counts += np.bincount(_bucket(w).astype(np.int64), minlength=BUCKETS)
-            name, n, text, within = _classes(w)
+            bucket = _bucket(w)
+            counts += np.bincount(bucket.astype(np.int64), minlength=BUCKETS)
+            token, first, n, text, within = _line_tokens(w, bucket)
             row = pa.array(text + w.first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n.size, np.int32)), doc.take(row), pa.array(within), pa.array(name), tag.take(row)], names)
-    seen = np.flatnonzero(counts)
-    for at in range(0, seen.size, 65536):
-        part = seen[at : at + 65536]
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(part.size, np.int32)), pa.array(part), pa.array(counts[part]), pa.array(np.zeros(part.size, np.int64)), pa.array(np.zeros(part.size, np.int64))], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n.size, np.int32)), doc.take(row), pa.array(within), pa.array(_class(token, first, n)), tag.take(row), pa.nulls(n.size, pa.binary())], names)
+    yield from _count_rows(counts, names)
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], rank: np.ndarray, single: int) -> Iterator[pa.RecordBatch]:
-    """Prefix rows (key, node, n, place, bits) of each class, once for a chunk, mostly once for a task.
+def _count_rows(counts: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    n = BUCKETS // PART
+    zero = pa.array(np.zeros(n, np.int64))
+    data = [counts[at : at + PART].tobytes() for at in range(0, BUCKETS, PART)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.arange(0, BUCKETS, PART)), zero, zero, zero, pa.array(data, pa.binary())], names)
 
-    Two different sets of three or fewer tokens can't match, and a token in a
-    bucket with a count of one is in no other line; neither gets a row.
+
+def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add up the counts of each part as they pass."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, counts in zip(batch.column("a").to_pylist(), batch.column("counts"), strict=True):
+            total[at] = total.get(at, 0) + np.frombuffer(counts.as_py(), np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["a", "counts"])
+
+
+def _bitmaps(token: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """256-bit bitmaps of token parities in four words; shorter lines have theirs folded to 64 or 128 bits."""
+    place = mix(token)
+    word, bit = place >> np.uint64(62), np.uint64(1) << ((place >> np.uint64(40)) & np.uint64(63))
+    b = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), first) for k in range(4)]
+    two, one = n <= MEDIUM, n <= NARROW
+    b[0], b[1] = np.where(two, b[0] ^ b[2], b[0]), np.where(two, b[1] ^ b[3], b[1])
+    b[0] = np.where(one, b[0] ^ b[1], b[0])
+    return [b[0], np.where(one, np.uint64(0), b[1]), np.where(two, np.uint64(0), b[2]), np.where(two, np.uint64(0), b[3])]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], order: np.ndarray, rank: np.ndarray, single: int) -> Iterator[pa.RecordBatch]:
+    """Prefix rows (key, node, size, b0..b3) of each class, once for a chunk, mostly once for a task.
+
+    ``size`` is the number of tokens and, below it, the place of the token.  Two
+    different sets of three or fewer tokens can't match, and a token in a bucket
+    with a count of one is in no other line; neither gets a row.
     """
     seen = np.zeros(BUCKETS, np.int64)
     for batch in batches:
         for w in words(batch.column("text")):
-            name, _, _, _ = _classes(w)
             token, first, n, _, _ = _line_tokens(w, rank[_bucket(w).astype(np.int64)])
             if not first.size:
                 continue
+            bucket = order[(token >> np.uint64(24)).astype(np.int64)]
+            name = _class((bucket.astype(np.uint64) << np.uint64(24)) | (token & _LOW), first, n)
             slot = name & (BUCKETS - 1)
             fresh = np.zeros(name.size, bool)
             fresh[np.unique(name, return_index=True)[1]] = True
@@ -106,17 +135,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch], rank: np.ndarray, single: int)
             pick = np.flatnonzero(fresh & (n > 3))
             if not pick.size:
                 continue
-            bits = np.bitwise_xor.reduceat(np.uint64(1) << (mix(token) >> np.uint64(58)), first)
             size = n[pick] - (4 * n[pick] + 4) // 5 + 1
             place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             row = np.repeat(pick, size)
             key = token[first[row] + place]
             keep = (key >> np.uint64(24)) >= np.uint64(single)
             row, place, key = row[keep], place[keep], key[keep]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(name[row]), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(bits[row].view(np.int64))],
-                ["key", "node", "n", "place", "bits"],
-            )
+            bits = [pa.array(b[row].view(np.int64)) for b in _bitmaps(token, first, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[row]), pa.array((n[row].astype(np.int64) << 32) | place), *bits], _PREFIX)
 
 
 def _need(total: np.ndarray) -> np.ndarray:
@@ -130,32 +156,69 @@ def _heads(cols: dict[str, np.ndarray], n: int) -> np.ndarray:
     return new
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, key, i, j, part, others) for each member with a candidate in its block; ``others`` names the set of them."""
+def _near(cols: dict[str, np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows within the groups from ``start`` on that pass the length, position and bitmap filters."""
+    n, left = cols["size"] >> 32, (cols["size"] >> 32) - (cols["size"] & 0xFFFFFFFF)
+    b = [cols[f"b{k}"].view(np.uint64) for k in range(4)]
+    pair = [b[0] ^ b[2], b[1] ^ b[3]]
+    one = pair[0] ^ pair[1]
+    parts = cols.get("part")
+    apart = cols["i"] != cols["j"] if parts is not None else None
+
+    def keep(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        nx, ny = n[x], n[y]
+        need = _need(nx + ny)
+        most = nx + ny - 2 * need
+        ok = (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (np.minimum(left[x], left[y]) >= need)
+        ok &= np.bitwise_count(one[x] ^ one[y]) <= most
+        if parts is not None:
+            ok &= ~(apart[x] & (parts[x] == parts[y]))
+        for least, words_ in ((NARROW, pair), (MEDIUM, b)):
+            at = np.flatnonzero(ok & (np.minimum(nx, ny) > least))
+            if at.size:
+                differ = sum(np.bitwise_count(v[x[at]] ^ v[y[at]]).astype(np.int64) for v in words_)
+                ok[at[differ > most[at]]] = False
+        return ok
+
+    return pairs_by_offset(start, n.size, keep)
+
+
+_FOUND = "node long, key long, i int, j int, part int, others long"
+
+
+def _found(cols: dict[str, np.ndarray], new: np.ndarray, over: bool) -> list[pa.Array]:
+    """Columns of _FOUND: a row for each member with a candidate in its group; ``others`` names the set of them."""
+    again = np.zeros(new.size, bool)
+    again[1:] = ~new[1:] & (cols["node"][1:] == cols["node"][:-1])
+    cols = {c: v[~again] for c, v in cols.items()}
+    a, b = _near(cols, np.flatnonzero(new[~again]))
+    others = np.zeros(cols["node"].size, np.uint64)
+    name = mix(cols["node"].view(np.uint64))
+    np.add.at(others, a, name[b])
+    np.add.at(others, b, name[a])
+    pick = np.unique(np.concatenate((a, b)))
+    place = [cols[c][pick] if over else np.zeros(pick.size, np.int32) for c in ("i", "j", "part")]
+    return [pa.array(x) for x in (cols["node"][pick], cols["key"][pick], *place, others[pick].view(np.int64))]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Rows of _FOUND for groups of up to ``block`` rows; the rows of larger groups as they are, in the columns behind."""
+    names = [*(f.split()[0] for f in _FOUND.split(", ")), *(f"o_{c}" for c in _PREFIX)]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    for table, over in small_or_over(batches, "key", block):
+        if over:
+            rows = table.combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, t) for t in types), *rows.columns], names)
+            continue
+        cols = {c: table.column(c).to_numpy() for c in _PREFIX}
+        out = _found(cols, np.concatenate(([True], cols["key"][1:] != cols["key"][:-1])), False)
+        yield pa.RecordBatch.from_arrays([*out, *(pa.nulls(len(out[0]), pa.int64()) for _ in _PREFIX)], names)
+
+
+def _block_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in whole_blocks(batches):
-        cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "part", "node", "n", "place", "bits")}
-        new = _heads(cols, table.num_rows)
-        again = np.zeros(new.size, bool)
-        again[1:] = ~new[1:] & (cols["node"][1:] == cols["node"][:-1])
-        cols = {c: v[~again] for c, v in cols.items()}
-        start = np.flatnonzero(new[~again])
-        n, left, bits, part = cols["n"].astype(np.int64), (cols["n"] - cols["place"]).astype(np.int64), cols["bits"].view(np.uint64), cols["part"]
-        apart = cols["i"] != cols["j"]
-
-        def keep(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            na, nb = n[a], n[b]
-            need = _need(na + nb)
-            ok = (5 * np.minimum(na, nb) >= 4 * np.maximum(na, nb)) & (np.minimum(left[a], left[b]) >= need)
-            ok &= np.bitwise_count(bits[a] ^ bits[b]) <= na + nb - 2 * need
-            return ok & ~(apart[a] & (part[a] == part[b]))
-
-        a, b = pairs_by_offset(start, n.size, keep)
-        others = np.zeros(n.size, np.uint64)
-        name = mix(cols["node"].view(np.uint64))
-        np.add.at(others, a, name[b])
-        np.add.at(others, b, name[a])
-        pick = np.unique(np.concatenate((a, b)))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cols["node"][pick], cols["key"][pick], cols["i"][pick], cols["j"][pick], part[pick], others[pick].view(np.int64))], ["node", "key", "i", "j", "part", "others"])
+        cols = {c: table.column(c).to_numpy() for c in (*_PREFIX, "i", "j", "part")}
+        yield pa.RecordBatch.from_arrays(_found(cols, _heads(cols, table.num_rows), True), [f.split()[0] for f in _FOUND.split(", ")])
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -244,19 +307,28 @@ def matched_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     least = F.lit(-(1 << 63))
     source = docs.select(F.coalesce("doc_id", least).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tag"))
-    scan = materialise(source.mapInArrow(_scan, "kind int, a long, b long, c long, tag long"), "lines", "kind")
+    scan = materialise(source.mapInArrow(_scan, "kind int, a long, b long, c long, tag long, counts binary"), "lines", "kind")
     lines = scan.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("line"), F.col("c").alias("node"), "tag")
-    # At most BUCKETS rows, whatever the input.
-    counted = scan.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).toArrow()
+    # BUCKETS counts, whatever the input.
+    parts = scan.where("kind = 1").select("a", "counts").repartition(min(tasks(docs), BUCKETS // PART), "a")
+    summed = parts.mapInArrow(_sum_counts, "a long, counts binary").toArrow()
     count = np.zeros(BUCKETS, np.int64)
-    count[counted["a"].to_numpy()] = counted["n"].to_numpy()
+    for at, counts in zip(summed.column("a").to_pylist(), summed.column("counts").to_pylist(), strict=True):
+        count[at : at + PART] = np.frombuffer(counts, np.int64)
+    order = np.argsort(count, kind="stable").astype(np.int32)
     rank = np.empty(BUCKETS, np.int32)
-    rank[np.argsort(count, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
+    rank[order] = np.arange(BUCKETS, dtype=np.int32)
     single = int((count <= 1).sum())
 
     classes = materialise(lines.groupBy("node").agg(F.min(F.struct("doc", "line", "tag")).alias("first")).select("node", "first.*"), "classes")
-    rows = materialise(source.select("text").mapInArrow(partial(_prefixes, rank=rank, single=single), "key long, node long, n int, place int, bits long"), "prefixes")
-    near = block_groups(rows, "key", "node", block).mapInArrow(_candidates, "node long, key long, i int, j int, part int, others long")
+    fields = ", ".join(f"{c} long" for c in _PREFIX)
+    rows = source.select("text").mapInArrow(partial(_prefixes, order=order, rank=rank, single=single), fields)
+    dealt = rows.repartition(tasks(docs), "key").sortWithinPartitions("key", "node")
+    near = materialise(dealt.mapInArrow(partial(_candidates, block=block), f"{_FOUND}, " + ", ".join(f"o_{c} long" for c in _PREFIX)), "near")
+    over = near.where("o_key is not null").select(*(F.col(f"o_{c}").alias(c) for c in _PREFIX))
+    near = near.where("node is not null").drop(*(f"o_{c}" for c in _PREFIX))
+    if over.take(1):
+        near = near.union(block_groups(over, "key", "node", block).mapInArrow(_block_candidates, _FOUND))
     # Where two blocks give a class the same candidates, the first is enough: a
     # pair's first common block is kept by both of its classes.
     met = near.groupBy("node", "others").agg(F.min(F.struct("key", "i", "j", "part")).alias("at")).select("node", "at.*").distinct()
