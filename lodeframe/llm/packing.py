@@ -13,10 +13,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .order import dense_index
+from .storage import materialise
 from .tokens import binary_array, closed_documents
 
 SEQUENCE, END_ID = 4096, 2
@@ -33,19 +34,30 @@ def decompose(sizes: np.ndarray, most: int = SEQUENCE) -> tuple[np.ndarray, np.n
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end_id: int, most: int) -> Iterator[pa.RecordBatch]:
+    context = TaskContext.get()
+    part = context.partitionId() if context else 0
+    made = np.zeros(most.bit_length(), np.int64)  # pieces so far of each length
     for batch in batches:
         for first, ids, sizes in closed_documents(batch.column("text"), path, end_id):
             document, start, length = decompose(sizes, most)
+            power = np.log2(length).astype(np.int64)
+            turn = np.empty(power.size, np.int64)
+            for k in np.unique(power).tolist():
+                own = power == k
+                n = int(own.sum())
+                turn[own] = np.arange(made[k], made[k] + n)
+                made[k] += n
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(document + first)), pa.array(start), pa.array(length), pa.array(sizes[document]), binary_array(ids, length, "<u4")],
-                ["doc_id", "start", "length", "doc_tokens", "ids"],
+                [batch.column("doc_id").take(pa.array(document + first)), pa.array(start), pa.array(length), pa.array(sizes[document]), binary_array(ids, length, "<u4"), pa.array(np.full(power.size, part, np.int32)), pa.array(turn)],
+                ["doc_id", "start", "length", "doc_tokens", "ids", "part", "turn"],
             )
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = SEQUENCE) -> DataFrame:
-    """(doc_id, start, length, doc_tokens, ids) of every piece of every document.
+    """(doc_id, start, length, doc_tokens, ids, part, turn) of every piece of every document.
 
-    ``ids`` are little-endian unsigned 32-bit integers.  ``end_id`` closes each
+    ``ids`` are little-endian unsigned 32-bit integers; ``turn`` counts the
+    pieces of one length that a task, ``part``, has made before.  ``end_id`` closes each
     document, so a null or empty text is one piece of one id.  Repeated rows are
     documents of their own; a null doc_id is carried along.  Texts are encoded
     some megabytes at a time, a longer one alone and whole.
@@ -53,14 +65,23 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = SE
     if most & (most - 1):
         raise ValueError("the sequence length must be a power of two")
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    schema = "doc_id long, start long, length long, doc_tokens long, ids binary"
+    schema = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, turn long"
     return source.mapInArrow(partial(_pieces, path=tokenizer, end_id=end_id, most=most), schema)
 
 
 def bucket(pieces: DataFrame) -> DataFrame:
-    """Add sequence_id, dense from 0 through the buckets from the longest down, and offset, always 0."""
-    order = [F.col("length").desc(), F.col("doc_id"), F.col("start")]
-    return dense_index(pieces, order, "sequence_id").withColumn("offset", F.lit(0).cast("long"))
+    """Number the pieces through the buckets, from the longest down: sequence_id, dense from 0, and offset, always 0.
+
+    ``pieces`` is written once, as it stands.  A piece's number is its turn plus
+    the count of all that come before its task's share of its bucket; only those
+    counts, one row for each task and length, are put in order in one place.
+    """
+    placed = materialise(pieces, "pieces")
+    before = Window.orderBy(F.col("length").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
+    bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    numbered = placed.join(F.broadcast(bases), ["length", "part"]).withColumn("sequence_id", F.col("base") + F.col("turn"))
+    return numbered.withColumn("offset", F.lit(0).cast("long")).drop("base", "part", "turn")
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = SEQUENCE) -> DataFrame:

@@ -19,14 +19,14 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lcp.fingerprints(_table(spark, sf_dir, "documents"))
 
 
-def _tokenizer() -> str:
+def word_tokenizer() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op3_training_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    written = shards.write_shards(_table(spark, sf_dir, "documents"), scratch_path(spark, "shards"), _tokenizer(), key=20240601)
+    written = shards.write_shards(_table(spark, sf_dir, "documents"), scratch_path(spark, "shards"), word_tokenizer(), key=20240601)
     return written.select("doc_id", "start", "tokens", "slot", "shard", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -41,8 +41,8 @@ def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = packing.pieces(_table(spark, sf_dir, "documents"), _tokenizer())
-    digest = made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    made = packing.pieces(_table(spark, sf_dir, "documents"), word_tokenizer())
+    digest = made.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "part", "turn")
     return packing.bucket(digest).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
