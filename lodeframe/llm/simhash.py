@@ -151,3 +151,19 @@ def near_duplicates(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> D
 
 def as_hex(fingerprint: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
+
+
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+    """``docs`` with the row of the least doc_id of each group of near-duplicates; columns stay.
+
+    Five-word shingles; ``radius`` differing bits of 64.  Of rows that share a
+    kept doc_id one stays.  A null doc_id stays only if its group has no other.
+    """
+    prints = materialise(fingerprints(docs, words), "prints")
+    groups = materialise(near_duplicates(prints, radius).select("doc_id", "component_id").where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "kept")
+    rows = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    once, more = rows.where("n = 1").select(F.col("doc_id").alias("__kept")), rows.where("n > 1").select(F.col("doc_id").alias("__kept"))
+    single = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    if not more.take(1):
+        return single
+    return single.unionByName(docs.join(more, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"]))
