@@ -20,3 +20,8 @@ def register(name: str, sql: str | None = None) -> Callable:
         return f
 
     return add
+
+
+def load() -> None:
+    """Import the modules whose queries register themselves."""
+    from . import recipes  # noqa: F401
