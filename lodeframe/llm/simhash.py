@@ -128,15 +128,15 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
 
 
 def near_duplicates(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """(doc_id, fingerprint) to (doc_id, fingerprint, component_id).
+    """Rows with doc_id and fingerprint, and maybe more, with component_id and component added.
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is
-    the least doc_id reachable, itself included.  Equal fingerprints are one
-    point, so copies, empty texts and repeated rows cost nothing further.  A
-    null doc_id takes part and is never the least unless its whole component has
-    none, in which case component_id is null.
+    the least doc_id reachable, itself included; ``component``, one of the
+    component's fingerprints, names it even where doc_ids are null.  Equal
+    fingerprints are one point, so copies, empty texts and repeated rows cost
+    nothing further.  A null doc_id takes part and is never the least unless its
+    whole component has none, in which case component_id is null.
     """
-    prints = prints.select("doc_id", "fingerprint")
     points = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
     # The fingerprint itself names the node; it is unique, whatever the doc_ids are.
     points = materialise(points.withColumn("node", F.col("fingerprint")), "points")
@@ -145,8 +145,8 @@ def near_duplicates(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> D
     groups = components(edges).select(F.col("node").alias("fingerprint"), "component")
     named = points.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select("fingerprint", "component_id")
-    return prints.join(named, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    named = named.join(ids, "component").select("fingerprint", "component_id", "component")
+    return prints.join(named, "fingerprint").select(*prints.columns, "component_id", "component")
 
 
 def as_hex(fingerprint: Column | str) -> Column:
@@ -154,16 +154,21 @@ def as_hex(fingerprint: Column | str) -> Column:
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
-    """``docs`` with the row of the least doc_id of each group of near-duplicates; columns stay.
+    """``docs`` with one row of each group of near-duplicates, that of the least doc_id; columns stay.
 
-    Five-word shingles; ``radius`` differing bits of 64.  Of rows that share a
-    kept doc_id one stays.  A null doc_id stays only if its group has no other.
+    Five-word shingles; ``radius`` differing bits of 64.  A null doc_id comes
+    after all others; of different texts with one doc_id the one with the least
+    hash stays, of repeated rows any one.
     """
-    prints = materialise(fingerprints(docs, words), "prints")
-    groups = materialise(near_duplicates(prints, radius).select("doc_id", "component_id").where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "kept")
-    rows = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    once, more = rows.where("n = 1").select(F.col("doc_id").alias("__kept")), rows.where("n > 1").select(F.col("doc_id").alias("__kept"))
-    single = docs.join(once, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    tag = F.xxhash64("text")
+    prints = materialise(fingerprints(docs.select("doc_id", "text", tag.alias("tag")), words, ("doc_id", "tag")), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")))
+    kept = near_duplicates(prints, radius).groupBy("component").agg(first.alias("first")).select("first.__doc", "first.__tag")
+    counted = prints.groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.count(F.lit(1)).alias("__n"))
+    kept = materialise(kept.join(counted, kept["__doc"].eqNullSafe(counted["__doc"]) & (kept["__tag"] == counted["__tag"])).select(kept["__doc"], kept["__tag"], "__n"), "kept")
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (tag == F.col("__tag"))
+    single = docs.join(kept.where("__n = 1"), same, "left_semi")
+    more = kept.where("__n > 1")
     if not more.take(1):
         return single
-    return single.unionByName(docs.join(more, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"]))
+    return single.unionByName(docs.join(more, same, "left_semi").withColumn("__tag", tag).dropDuplicates(["doc_id", "__tag"]).drop("__tag"))
