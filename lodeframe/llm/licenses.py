@@ -138,7 +138,7 @@ def _scan(batches: Iterator[pa.RecordBatch], index: Index, least: float) -> Iter
             new[1:] = (text[1:] != text[:-1]) | (template[1:] != template[:-1]) | (shift[1:] - shift[:-1] > BAND)
             starts = np.flatnonzero(new)
             begin = np.searchsorted(w.text, np.arange(w.offsets.size))
-            for s, e in zip(starts.tolist(), np.append(starts[1:], at.size).tolist(), strict=True):
+            for s, e in zip(starts.tolist(), np.append(starts[1:], at.size)[: starts.size].tolist(), strict=True):
                 t, k = int(text[s]), int(template[s])
                 lo, hi = int(begin[t]), int(begin[t + 1])
                 matched, first, last = align(index.words[k], w.name[lo:hi], int(np.median(shift[s:e])) - lo)
