@@ -101,3 +101,11 @@ def words(column: pa.Array, of: np.ndarray = _WORD) -> Iterator[Words]:
             name = np.empty(0, np.uint64)
         text = np.searchsorted(offsets, start, "right") - 1
         yield Words(first, data, offsets, start, end, text, name)
+
+
+def names_of_beginnings(w: Words, at: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each length a value for that many first bytes of the words ``at``; of no use where a word is shorter."""
+    place = w.start[at][:, None] + np.arange(max(lengths))
+    share = _VALUE[w.data[np.minimum(place, max(w.data.size - 1, 0))]] * powers(max(lengths))
+    total = np.cumsum(share, axis=1, dtype=np.uint64)
+    return [total[:, k - 1] for k in lengths]

@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: only documents are labelled, sentences are scored.
 
-A sentence (text up to ``.``, ``!``, ``?`` or a line end) has the features of its
-distinct words, hashed.  With non-negative weights w and z the sum over its
+A sentence (text up to ``.``, ``!``, ``?`` or a line end) has the distinct features
+of its words, hashed: each word, and its beginnings of 4 to 8 bytes if it goes on
+after them, so that inflected words are known by their stems.  With non-negative weights w and z the sum over its
 words, its score is ``p = (s(b + z) - s(b)) / (1 - s(b))``, s the logistic
 function: no evidence, no score, however many sentences a text has.  A document
 is toxic if any sentence is, or by a leak that depends on its mix of common
@@ -21,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bytewords import ALPHANUMERIC, Words, words
+from .bytewords import ALPHANUMERIC, Words, mix, names_of_beginnings, words
 
 #: The model is fitted on at most so many labelled documents, by hash of the doc_id, and so many characters of them.
-TRAIN_DOCUMENTS, TRAIN_CHARACTERS = 10_000, 64_000_000
-BITS = 18
+TRAIN_DOCUMENTS, TRAIN_CHARACTERS = 10_000, 32_000_000
+BITS = 20
+BEGINNINGS = (4, 5, 6, 7, 8)
 BASE = -4.0
 
 _ENDS = np.zeros(256, bool)
@@ -54,44 +56,69 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) if x.size else np.empty(0, np.int64)
 
 
-def _instances(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Sentence and feature of each word, once for a sentence."""
-    both = np.unique((_sentences(w).astype(np.uint64) << np.uint64(BITS)) | (w.name >> np.uint64(64 - BITS)))
-    return (both >> np.uint64(BITS)).astype(np.int64), (both & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def _features(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each word in a table of its features, and the table: the word's own first, 0 where one is missing."""
+    unique, at, row = np.unique(w.name, return_index=True, return_inverse=True)
+    table = np.zeros((unique.size, 1 + len(BEGINNINGS)), np.int64)
+    table[:, 0] = unique >> np.uint64(64 - BITS)
+    length = w.end[at] - w.start[at]
+    for k, name in enumerate(names_of_beginnings(w, at, BEGINNINGS), 1):
+        table[:, k] = np.where(length > BEGINNINGS[k - 1], mix(name + np.uint64(k)) >> np.uint64(64 - BITS), 0)
+    return row, table
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 100, l1: float = 2e-3, step: float = 0.1) -> Model:
-    """Learn from documents' labels (0 or 1)."""
+def _distinct(group: np.ndarray, row: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Group and feature of the words, once for a group; ``table`` may have zeros, which count not at all."""
+    feature = table[row]
+    keep = feature > 0
+    both = np.unique((np.repeat(group, keep.sum(1)) << BITS) | feature[keep])
+    return both >> BITS, both & ((1 << BITS) - 1)
+
+
+def _tell(texts: pa.Array, toxic: np.ndarray) -> np.ndarray:
+    """Features in five documents or more, and at least twice as common in toxic ones as in others."""
+    counts = np.zeros((2, 1 << BITS))
+    for w in words(texts, ALPHANUMERIC):
+        doc, feature = _distinct(w.text, *_features(w))
+        for k in (0, 1):
+            counts[k] += np.bincount(feature[toxic[doc + w.first] == k], minlength=1 << BITS)
+    rate = counts / np.array([[len(toxic) - toxic.sum()], [toxic.sum()]])
+    return (counts.sum(0) >= 5) & (rate[1] >= 2 * rate[0])
+
+
+def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 150, l1: float = 2e-4, step: float = 0.1) -> Model:
+    """Learn from documents' labels (0 or 1); the texts are passed over twice, to choose features and to gather them."""
     size = 1 << BITS
     if not len(toxic) or not 0 < toxic.sum() < len(toxic):
         return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), float(np.log((toxic.sum() + 1) / (len(toxic) - toxic.sum() + 1)) if len(toxic) else -2.0))
-    feature, sentence, owner, word, word_doc = [], [], [], [], []
+    tell = _tell(texts, toxic)
+    feature, sentence, owner, word_doc, word_count = [], [], [], [], []
     base = 0
     for w in words(texts, ALPHANUMERIC):
-        s, f = _instances(w)
+        row, table = _features(w)
+        own = table[:, 0]
+        told = np.where(tell[table], table, 0)
+        hits = np.flatnonzero(told.any(1)[row])
         every = _sentences(w)
-        runs = _runs(every)
-        # Sentences are numbered anew, those with words only.
-        sentence.append(np.searchsorted(every[runs], s) + base)
-        owner.append(w.text[runs] + w.first)
+        s, f = _distinct(every[hits], row[hits], told)
+        runs = _runs(every[hits])
+        # Sentences are numbered anew, those with a feature only.
+        sentence.append(np.searchsorted(every[hits][runs], s) + base)
+        owner.append(w.text[hits][runs] + w.first)
         base += runs.size
         feature.append(f)
-        word.append((w.name >> np.uint64(64 - BITS)).astype(np.int64))
-        word_doc.append(w.text + w.first)
-    feature, sentence, owner, word, word_doc = (np.concatenate(x) for x in (feature, sentence, owner, word, word_doc))
+        flat, counts = np.unique((w.text + w.first) << BITS | own[row], return_counts=True)
+        word_doc.append(flat)
+        word_count.append(counts)
+    feature, sentence, owner, word_doc, word_count = (np.concatenate(x) for x in (feature, sentence, owner, word_doc, word_count))
     n = len(toxic)
-    # Documents that have a feature; rare ones can't be told from chance.
-    pairs = np.unique(owner[sentence] * size + feature)
-    seen = np.bincount(pairs % size, minlength=size)
-    known = seen[feature] >= 5
-    feature, sentence = feature[known], sentence[known]
-    common = seen >= max(5, 0.02 * n)
+    word = word_doc & (size - 1)
+    # Words of a fiftieth of the documents make up the mix.
+    common = np.bincount(word, minlength=size) >= max(5, 0.02 * n)
     keep = common[word]
-    word, word_doc = word[keep], word_doc[keep]
-    ids, word = np.unique(word, return_inverse=True)
-    flat, counts = np.unique(word_doc * max(ids.size, 1) + word, return_counts=True)
-    doc_of, id_of = np.divmod(flat, max(ids.size, 1))
-    share = counts / np.maximum(np.bincount(word_doc, minlength=n), 1)[doc_of]
+    ids, id_of = np.unique(word[keep], return_inverse=True)
+    doc_of, counts = word_doc[keep] >> BITS, word_count[keep]
+    share = counts / np.maximum(np.bincount(doc_of, counts, minlength=n), 1)[doc_of]
 
     tells, feature = np.unique(feature, return_inverse=True)
     weight, mixed, bias = np.zeros(tells.size), np.zeros(ids.size), float(np.log(toxic.mean() / (1 - toxic.mean())))
@@ -148,24 +175,24 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 def _chunk_scores(w: Words, texts: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Score of each text; sentence, text and score of each sentence with evidence."""
-    feature = (w.name >> np.uint64(64 - BITS)).astype(np.int64)
-    mixed = model.mix[feature]
+    row, table = _features(w)
+    mixed = model.mix[table[:, 0]][row]
     counted = ~np.isnan(mixed)
     total = np.bincount(w.text[counted], mixed[counted], minlength=texts) / np.maximum(np.bincount(w.text[counted], minlength=texts), 1)
-    tilt = model.bias + total
-    log_not = -np.logaddexp(0, tilt)
-    hits = np.flatnonzero(model.weight[feature] > 0)
+    log_not = -np.logaddexp(0, model.bias + total)
+    told = np.where(model.weight[table] > 0, table, 0)
+    hits = np.flatnonzero(told.any(1)[row])
     if not hits.size:
         none = np.empty(0, np.int64)
         return -np.expm1(log_not), none, none, np.empty(0)
-    sentence = _sentences(w)[hits]
-    both, at = np.unique(sentence * (1 << BITS) + feature[hits], return_index=True)
-    runs = _runs(both >> BITS)
-    z = np.add.reduceat(model.weight[both & ((1 << BITS) - 1)].astype(float), runs)
-    text = w.text[hits[at[runs]]]
+    every = _sentences(w)[hits]
+    sentence, feature = _distinct(every, row[hits], told)
+    runs = _runs(sentence)
+    z = np.add.reduceat(model.weight[feature].astype(float), runs)
+    text = w.text[hits[np.searchsorted(every, sentence[runs])]]
     gone = np.logaddexp(0, BASE) - np.logaddexp(0, BASE + z)
     log_not += np.bincount(text, gone, minlength=texts)
-    return -np.expm1(log_not), both[runs] >> BITS, text, -np.expm1(gone)
+    return -np.expm1(log_not), sentence[runs], text, -np.expm1(gone)
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
