@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,11 @@ def _column(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value`` as the variable of an array function, so that it stands in the plan, and is computed, once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def to_number(value: Column | str, strict: bool = False) -> Column:
     """A messy cell as a double, null if it is no number.
 
@@ -27,16 +33,19 @@ def to_number(value: Column | str, strict: bool = False) -> Column:
     know it, ``(-6.5)`` is 6.5 and ``-1,234`` is no number; ``strict`` reads
     them as -6.5 and -1234.
     """
-    text = F.regexp_replace(F.regexp_replace(F.trim(_column(value).cast("string")), " ", " "), "​", "")
-    wrapped = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
-    inner = F.when(wrapped, F.trim(F.regexp_extract(text, r"(?s)^\((.*)\)$", 1))).otherwise(text)
-    bare = F.trim(F.split(inner, r"\(", 2)[0])
-    bare = F.translate(F.regexp_replace(bare, "%$", ""), CURRENCY_SIGNS + " ", "")
     sign = "-?" if strict else ""
-    plain = F.when(bare.rlike(rf"^{sign}\d{{1,3}}(,\d{{3}})+(\.\d+)?$"), F.translate(bare, ",", "")).otherwise(bare)
-    number = F.when(plain.rlike(r"^-?\d+(\.\d+)?$"), plain.try_cast("double"))
-    turned = F.when(wrapped, -F.abs(number) if strict else -number).otherwise(number)
-    return F.when((F.length(text) > 0) & (F.length(text) <= LONGEST_NUMBER), turned)
+
+    def read(text: Column) -> Column:
+        wrapped = text.startswith("(") & text.endswith(")") & (F.length(text) > 1)
+        inner = F.when(wrapped, F.trim(F.regexp_extract(text, r"(?s)^\((.*)\)$", 1))).otherwise(text)
+        bare = F.translate(F.regexp_replace(F.trim(F.split(inner, r"\(", 2)[0]), "%$", ""), CURRENCY_SIGNS + " ", "")
+        thousands = rf"^{sign}\d{{1,3}}(,\d{{3}})+(\.\d+)?$"
+        plain = lambda t: F.when(t.rlike(thousands), F.translate(t, ",", "")).otherwise(t)
+        number = _bound(_bound(bare, plain), lambda t: F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t.try_cast("double")))
+        turned = _bound(number, lambda x: F.when(wrapped, -F.abs(x) if strict else -x).otherwise(x))
+        return F.when((F.length(text) > 0) & (F.length(text) <= LONGEST_NUMBER), turned)
+
+    return _bound(F.regexp_replace(F.regexp_replace(F.trim(_column(value).cast("string")), "\u00a0", " "), "\u200b", ""), read)
 
 
 def normalise_names(headers: list[str | None], width: int | None = None) -> list[str]:
