@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,16 @@ def typed(df: DataFrame) -> DataFrame:
     return coerce(named, numeric) if numeric else named
 
 
+def _decoded(raw: Column, encoding: str) -> Column:
+    """Lines of an encoding that Spark's readers refuse, as text."""
+
+    @F.pandas_udf("string")
+    def decode(lines: pd.Series) -> pd.Series:
+        return lines.map(lambda b: b.decode(encoding, "replace"))
+
+    return decode(raw)
+
+
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     """A delimited file; encoding and delimiter are found from its first three lines, the header may be missing.
 
@@ -65,7 +76,12 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     has_names = any(c and not c.replace(".", "", 1).replace("-", "", 1).isdigit() for c in cells)
     names = normalise_names(cells if has_names else [None] * len(cells))
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    rows = spark.read.schema(schema).option("sep", separator).option("encoding", encoding).option("mode", "PERMISSIVE").option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    options = {"sep": separator, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    if encoding in ("UTF-8", "ISO-8859-1"):
+        rows = spark.read.schema(schema).options(**options, encoding=encoding).csv(path)
+    else:
+        line = _decoded(F.col("value").cast("binary"), encoding)
+        rows = spark.read.text(path).select(F.from_csv(line, schema, options).alias("r")).select("r.*")
     col = lambda k: F.coalesce(F.col(f"`{names[k]}`"), F.lit(""))
     blank = F.forall(F.array(*[col(k) for k in range(len(names))]), lambda c: c == "")
     skip = [header] if has_names else []
