@@ -343,8 +343,9 @@ def matched_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     linked = members.mapInArrow(_verified, "node long, links long, doc long, line long")
     links = linked.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "line")).alias("match"))
 
-    named = classes.drop("tag").withColumnRenamed("doc", "class_doc").withColumnRenamed("line", "class_line").join(materialise(links, "links"), "node", "left")
-    out = lines.join(named, "node")
+    named = classes.drop("tag").withColumnRenamed("doc", "class_doc").withColumnRenamed("line", "class_line").join(links, "node", "left")
+    # Written, so that both sides of this join are plain shuffles and Spark can split the lines of a common class.
+    out = lines.join(materialise(named, "named"), "node")
     place, first = F.struct("doc", "line"), F.struct(F.col("class_doc").alias("doc"), F.col("class_line").alias("line"))
     removed = (place > first) | F.coalesce(F.col("match") < first, F.lit(False))
     real = lambda c: F.when(c != least, c)
