@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK, block_groups, forest, pairs_by_offset, whole_blocks
 from .components import components
+from .neardocs import near_documents
 from .storage import materialise
 
 SEGMENTS, BITS = 32, 2
@@ -153,17 +154,20 @@ def as_hex(fingerprint: Column | str) -> Column:
     return F.lower(F.lpad(F.hex(fingerprint), 16, "0"))
 
 
-def keep_one(docs: DataFrame, words: int = 5, radius: int = 4) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the least doc_id; columns stay.
 
-    Five-word shingles; ``radius`` differing bits of 64.  A null doc_id comes
-    after all others; of different texts with one doc_id the one with the least
-    hash stays, of repeated rows any one.
+    Groups are linked by an exact Jaccard similarity of 0.8 or more of the sets
+    of ``words``-word shingles.  A null doc_id comes after all others; of
+    different texts with one doc_id the one with the least hash stays, of
+    repeated rows any one.
     """
     tag = F.xxhash64("text")
-    prints = materialise(fingerprints(docs.select("doc_id", "text", tag.alias("tag")), words, ("doc_id", "tag")), "prints")
+    prints, groups = near_documents(docs, words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")))
-    kept = near_duplicates(prints, radius).groupBy("component").agg(first.alias("first")).select("first.__doc", "first.__tag")
+    # One row for each class, so that a common text is no bottleneck of the join.
+    named = prints.groupBy("node").agg(first.alias("first")).join(groups, "node", "left")
+    kept = named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.__doc", "first.__tag")
     counted = prints.groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.count(F.lit(1)).alias("__n"))
     kept = materialise(kept.join(counted, kept["__doc"].eqNullSafe(counted["__doc"]) & (kept["__tag"] == counted["__tag"])).select(kept["__doc"], kept["__tag"], "__n"), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (tag == F.col("__tag"))
