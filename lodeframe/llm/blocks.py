@@ -6,39 +6,41 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import tasks
-from .storage import materialise
+from .storage import broadcastable, materialise
 
 #: Most members of a group that one task is given in one block.
-BLOCK = 4096
-#: Rows of a table that a join may broadcast; beyond it both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+BLOCK = 2048
 
 
-def block_groups(rows: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
-    """Deal groups of ``key`` out so that every two members meet in a bounded block.
+def weighed_blocks(rows: DataFrame, key: str, member: str, weight: Column, most: int) -> DataFrame:
+    """Deal groups of ``key`` out so that every two members meet in a block of bounded weight.
 
-    A group of up to ``block`` rows stays one block (``i`` = ``j`` = 0).  A larger
-    one is cut by the hash of ``member`` into parts of about ``block`` rows, and
-    a block is made for each pair of parts, so each two members still meet and
-    no task is given the group as a whole.  Adds ``i``, ``j``: the parts of the
-    block, and ``part``: the row's own.  Rows come sorted by block, then member.
+    A group whose rows weigh up to ``most`` together stays one block (``i`` =
+    ``j`` = 0).  A heavier one is cut by the hash of ``member`` into parts of about
+    that weight, and a block is made for each pair of parts, so each two members
+    still meet and no task is given the group as a whole.  Adds ``i``, ``j``: the
+    parts of the block, and ``part``: the row's own.
     """
-    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > block)
-    cut = materialise(hot.select(key, F.ceil(F.col("__n") / block).cast("int").alias("__parts")), "hot")
-    found = cut.count()
-    if found:
-        dealt = rows.join(F.broadcast(cut) if found <= BROADCAST_ROWS else cut, key, "left")
+    hot = rows.groupBy(key).agg(F.sum(weight).alias("__w")).where(F.col("__w") > most)
+    cut = materialise(hot.select(key, F.ceil(F.col("__w") / most).cast("int").alias("__parts")), "hot")
+    if cut.take(1):
+        dealt = rows.join(broadcastable(cut), key, "left")
     else:
         dealt = rows.withColumn("__parts", F.lit(1))
     parts = F.coalesce("__parts", F.lit(1))
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64(member), parts).cast("int"))
     other = F.explode(F.sequence(F.lit(0), parts - 1))
     dealt = dealt.withColumn("__other", other).withColumn("i", F.least("part", "__other")).withColumn("j", F.greatest("part", "__other"))
-    dealt = dealt.drop("__parts", "__other")
+    return dealt.drop("__parts", "__other")
+
+
+def block_groups(rows: DataFrame, key: str, member: str, block: int = BLOCK) -> DataFrame:
+    """weighed_blocks() of up to ``block`` rows, dealt to tasks and sorted by block, then member."""
+    dealt = weighed_blocks(rows, key, member, F.lit(1), block)
     return dealt.repartition(tasks(rows), key, "i", "j").sortWithinPartitions(key, "i", "j", member)
 
 
@@ -118,30 +120,56 @@ def whole_blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("ke
         yield pa.Table.from_batches(held)
 
 
-def pairs_by_offset(starts: np.ndarray, n: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
-    """All row pairs a < b within the runs that begin at ``starts`` that ``keep`` accepts.
+def pairs_by_offset(starts: np.ndarray, n: int, keep: Callable[[np.ndarray, np.ndarray], np.ndarray], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All row pairs a < b within the runs that begin at ``starts`` that ``keep`` accepts, some at a time.
 
-    Runs are compared at offset 1, then 2 and so on, all of them at once; only
-    pairs that pass are held.
+    Runs are compared at offset 1, then 2 and so on, all of them at once.
     """
     size = np.diff(np.append(starts, n))
     end = np.repeat(starts + size, size)
     rows = np.arange(n)
     live = rows[end - rows > 1]
-    found_a, found_b = [], []
     offset = 1
     while live.size:
         for at in range(0, live.size, most):
             a = live[at : at + most]
             b = a + offset
             ok = keep(a, b)
-            found_a.append(a[ok])
-            found_b.append(b[ok])
+            if ok.any():
+                yield a[ok], b[ok]
         offset += 1
         live = live[live + offset < end[live]]
-    if not found_a:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+
+
+class Forest:
+    """Links among n rows, kept as the least row that each reaches, however many pairs are added."""
+
+    HELD = 1 << 19
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+        self.a: list[np.ndarray] = []
+        self.b: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        self.a.append(a)
+        self.b.append(b)
+        self.held += a.size
+        if self.held > self.HELD:
+            self._fold()
+
+    def _fold(self) -> None:
+        # Each row hangs under its root, so old roots that are joined carry theirs along.
+        a, b = (np.concatenate([self.root[x] for x in side]) if side else np.empty(0, np.int64) for side in (self.a, self.b))
+        self.root = forest(a, b, self.root.size)[self.root]
+        self.a, self.b, self.held = [], [], 0
+
+    def hung(self) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that hang under another, and that one."""
+        self._fold()
+        rows = np.flatnonzero(self.root != np.arange(self.root.size))
+        return rows, self.root[rows]
 
 
 def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:

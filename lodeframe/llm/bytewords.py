@@ -20,6 +20,9 @@ _VALUE[list(SPACES)] = 0
 _WORD = np.ones(256, bool)
 _WORD[list(SPACES)] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Values of a second family of names, independent of the first.
+_CHECK = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+_CHECK[np.arange(65, 91)] = _CHECK[np.arange(97, 123)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -39,7 +42,10 @@ def powers(n: int) -> np.ndarray:
 
 @dataclass
 class Words:
-    """Of rows ``first`` .. of a batch: bytes, text offsets, and for each word its span, text and name."""
+    """Of rows ``first`` .. of a batch: bytes, text offsets, and for each word its span, text and name.
+
+    For each byte: whether it is in a word, and its place there.
+    """
 
     first: int
     data: np.ndarray
@@ -48,6 +54,17 @@ class Words:
     end: np.ndarray
     text: np.ndarray
     name: np.ndarray
+    inside: np.ndarray
+    place: np.ndarray
+
+    def checks(self) -> np.ndarray:
+        """A second 64-bit name of each word, so that both together are 128 bits; each place has its own random factor."""
+        if not self.start.size:
+            return np.empty(0, np.uint64)
+        factor = mix(np.arange(1, int(self.place.max()) + 2, dtype=np.uint64) * _BASE) | np.uint64(1)
+        share = _CHECK[self.data] * factor[self.place]
+        share[~self.inside] = 0
+        return mix(np.add.reduceat(share, self.start) + (self.end - self.start).astype(np.uint64))
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """For each word its line within the chunk, counted over all texts, and the line within its text."""
@@ -94,13 +111,14 @@ def words(column: pa.Array, of: np.ndarray = _WORD) -> Iterator[Words]:
             base = np.zeros(n, np.int32)
             base[start] = start
             place = np.arange(n, dtype=np.int32) - np.maximum.accumulate(base)
+            place[~inside] = 0
             share = value[data]
             share *= powers(int(place.max()) + 1)[place]
             name = mix(np.add.reduceat(share, start))
         else:
-            name = np.empty(0, np.uint64)
+            name, place = np.empty(0, np.uint64), np.empty(0, np.int32)
         text = np.searchsorted(offsets, start, "right") - 1
-        yield Words(first, data, offsets, start, end, text, name)
+        yield Words(first, data, offsets, start, end, text, name, inside, place)
 
 
 def names_of_beginnings(w: Words, at: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:

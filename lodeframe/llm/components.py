@@ -13,15 +13,16 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
 
     Large star: each node hangs its larger neighbours under the least node of
     its neighbourhood.  Small star: it hangs its smaller neighbours and itself
-    under the least one.  The minimum is combined before the shuffle and joined
-    back, so no neighbourhood is gathered in one place.
+    under the least one.  The minimum is combined before the shuffle, written and
+    joined back: no neighbourhood is gathered in one place, and both sides of the
+    join are plain shuffles, so Spark can split a node with many neighbours.
     """
     if larger:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
         moved = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
         moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     return moved.where("u > v").distinct()
 
@@ -37,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = materialise(now, "edges")
     while True:
-        now = materialise(_star(_star(now, True), False), "edges")
+        now = materialise(_star(materialise(_star(now, True), "edges"), False), "edges")
         parents = now.groupBy("u").agg(F.count(F.lit(1)).alias("n"))
         split = parents.where("n > 1").limit(1)
         chained = now.join(now.select(F.col("u").alias("v")), "v", "left_semi").limit(1)

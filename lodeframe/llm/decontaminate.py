@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BROADCAST_ROWS
-from .storage import materialise
+from .storage import broadcastable, materialise
 
 WORDS, SHARE, SPREAD, SHORT = 5, 0.8, 4, 8
 
@@ -62,11 +61,6 @@ def _bits(size: Column) -> Column:
     return F.greatest(F.ceil(F.log2(size.cast("double"))), F.lit(0)).cast("int") + (SPREAD - 1).bit_length()
 
 
-def _limited(df: DataFrame) -> DataFrame:
-    """``df``, a written table, as a broadcast side if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment, tag) where a document holds ``share`` of an item or more.
 
@@ -82,15 +76,15 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE) ->
     long = item.where(F.col("size") >= SHORT).select("item", "h", F.explode(F.sequence(F.lit((SPREAD - 1).bit_length()), F.lit(40))).alias("bits"))
     long = materialise(long.select("item", "bits", F.explode(_minima(F.col("h"), F.col("bits"))).alias("least")), "signatures")
     signed = doc.select("tag", "h", _held(_bits(F.size("h"))).alias("bits")).select("tag", "bits", F.explode_outer(_minima(F.col("h"), F.col("bits"))).alias("least"))
-    found = signed.join(_limited(long), ["bits", "least"]).select("tag", "item")
+    found = signed.join(broadcastable(long), ["bits", "least"]).select("tag", "item")
     short = item.where(F.col("size") < SHORT)
     if short.take(1):
         every = materialise(short.select("item", F.explode("h").alias("least")), "short")
-        found = found.union(doc.select("tag", F.explode_outer("h").alias("least")).join(_limited(every), "least").select("tag", "item"))
+        found = found.union(doc.select("tag", F.explode_outer("h").alias("least")).join(broadcastable(every), "least").select("tag", "item"))
     pairs = materialise(found.distinct(), "candidates")
 
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("tag"))
-    met = texts.join(_limited(pairs), "tag").join(_limited(item.select("item", "item_id", "s")), "item")
+    met = texts.join(broadcastable(pairs), "tag").join(broadcastable(item.select("item", "item_id", "s")), "item")
     shared = met.select("doc_id", "item_id", "tag", "s", "item", _held(_words("text")).alias("w"))
     shared = shared.select("doc_id", "item_id", "tag", "item", _held(F.size(F.array_intersect(_shingles("w"), "s"))).alias("shared"), F.size("s").alias("item_shingles"))
     share_ = F.col("shared") / F.col("item_shingles")
@@ -101,4 +95,4 @@ def contained_items(docs: DataFrame, items: DataFrame, share: float = SHARE) ->
 def clean(docs: DataFrame, items: DataFrame, share: float = SHARE) -> DataFrame:
     """``docs`` without the documents that contain an item; columns as they were."""
     found = materialise(contained_items(docs, items, share).select(F.col("tag").alias("__tag")).distinct(), "contaminated")
-    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(_limited(found), F.col("__key") == F.col("__tag"), "left_anti").select(docs.columns)
+    return docs.withColumn("__key", F.xxhash64("doc_id", "text")).join(broadcastable(found), F.col("__key") == F.col("__tag"), "left_anti").select(docs.columns)

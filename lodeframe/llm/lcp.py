@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import mix, powers
 from .order import tasks
-from .storage import materialise
+from .storage import in_batches, materialise
 
 BINS = 64
 EMPTY = 0xFFFF
@@ -214,11 +214,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     ranged = rows.repartitionByRange(tasks(docs), *order).sortWithinPartitions(*order)
     ranged = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text")
-    seen = materialise(ranged.mapInArrow(_stream, f"{_SCHEMA}, part int, edge int, text string"), "fingerprints")
+    seen = materialise(in_batches(ranged, _stream, f"{_SCHEMA}, part int, edge int, text string"), "fingerprints")
     # Two rows for each partition, however many documents there are.
     parts = Window.orderBy("part")
     firsts = seen.where("edge = 2").select("part", F.col("text").alias("first"))
     wrap = F.first("first").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     after = firsts.select("part", F.coalesce(F.lead("first").over(parts), wrap).alias("following"))
     ends = seen.where("edge = 1").select("part", "doc_id", "text").join(after, "part")
-    return seen.where("edge = 0").select(*_NAMES).union(ends.mapInArrow(_join_edges, _SCHEMA))
+    return seen.where("edge = 0").select(*_NAMES).union(in_batches(ends, _join_edges, _SCHEMA))

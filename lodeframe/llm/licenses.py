@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALPHANUMERIC, Words, mix, words
+from .storage import in_batches
 
 GRAM, WINDOW, BAND, COVERAGE = 3, 3, 12, 0.8
 
@@ -158,4 +159,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     that share a doc_id are scanned one by one; a null doc_id is carried along.
     """
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(partial(_scan, index=Index(templates), least=least), _SCHEMA)
+    return in_batches(source, partial(_scan, index=Index(templates), least=least), _SCHEMA)

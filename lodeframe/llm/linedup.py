@@ -5,12 +5,10 @@ A-Z lower-cased).  Two lines match at a Jaccard similarity of 0.8 or more.  A
 line that matches any earlier line, by (doc_id, line), is removed; a line
 without words never is.
 
-Lines with the same tokens form a class, named by a 64-bit hash of the set, and
-only classes are joined.  Tokens are ordered by rarity, so the first
-``n - ceil(0.8 n) + 1`` of two matching lines share one.  Classes meet at those
-prefix tokens; length, position and a bitmap of the tokens filter the pairs,
-and the token sets decide.  Each task gives back one row for each member of a
-group, however many pairs the group has.
+Lines with the same tokens form a class, and only classes are joined: ordered by
+rarity, prefix tokens pick candidates, length, position and bitmap filters thin
+them out, and the sets decide (see setjoin).  Each task gives back one row for
+each member of a group, however many pairs the group has.
 """
 
 from __future__ import annotations
@@ -20,280 +18,82 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, BROADCAST_ROWS, block_groups, pairs_by_offset, small_or_over, whole_blocks
-from .bytewords import mix, words
-from .order import tasks
-from .storage import materialise
+from .blocks import BLOCK
+from .bytewords import Words, words
+from .setjoin import BUCKETS, CLASS, ELEMENTS, PREFIX_TYPES, Sets, bucket, candidates, count_rows, distinct, fresh, members, pack_sets, prefix_rows, rarity, verified_blocks
+from .storage import broadcastable, in_batches, materialise
 
-#: Token counts are kept for this many hash buckets: the table that tasks get is 4 MB, whatever the input.
-BUCKETS = 1 << 20
-PART = 4096
-#: Lines of up to so many tokens have bitmaps of 64 and of 128 bits; longer ones have 256.
-NARROW, MEDIUM = 96, 200
-_PREFIX = ["key", "node", "size", "b0", "b1", "b2", "b3"]
-_LOW = np.uint64((1 << 24) - 1)
-_TOKEN = np.uint64((1 << 44) - 1)
 
-
-def _line_tokens(w, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of each line, in the order of ``bucket`` (20 bits for each word) and 24 more bits.
-
-    Returns tokens, first index of each line's tokens, their number, and the
-    line's text and number in it.
-    """
+def _lines(w: Words, rank: np.ndarray | None = None) -> tuple[Sets, np.ndarray]:
+    """The chunk's lines as sets, and the number of each within its text."""
     line, within = w.lines()
-    token = (bucket.astype(np.uint64) << np.uint64(24)) | (w.name & _LOW)
-    opens = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if line.size else np.empty(0, np.int64)
-    rank = np.repeat(np.arange(opens.size), np.diff(np.append(opens, line.size)))
-    if opens.size < BUCKETS:
-        both = np.sort((rank.astype(np.uint64) << np.uint64(44)) | token)
-        both = both[np.concatenate(([True], both[1:] != both[:-1]))] if both.size else both
-        token, rank = both & _TOKEN, (both >> np.uint64(44)).astype(np.int64)
-    else:
-        order = np.lexsort((token, rank))
-        token, rank = token[order], rank[order]
-        new = np.concatenate(([True], (token[1:] != token[:-1]) | (rank[1:] != rank[:-1])))
-        token, rank = token[new], rank[new]
-    first = np.flatnonzero(np.concatenate(([True], rank[1:] != rank[:-1]))) if rank.size else np.empty(0, np.int64)
-    return token, first, np.diff(np.append(first, rank.size)), w.text[opens], within[opens]
-
-
-def _bucket(w) -> np.ndarray:
-    return w.name >> np.uint64(44)
-
-
-def _class(token: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Names of the token sets; the order of the tokens doesn't matter."""
-    return mix(np.add.reduceat(mix(token + np.uint64(1)), first) + n.astype(np.uint64)).view(np.int64) if first.size else np.empty(0, np.int64)
+    s = distinct(w.name, w.checks(), line, rank)
+    return s, within[s.opens]
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of two kinds: 0 for each line (doc, line, class, tag), 1 for PART word counts from a bucket on."""
+    """Rows of two kinds: 0 for each line (a: doc, line, class, tag), 1 for word counts from bucket a on."""
     counts = np.zeros(BUCKETS, np.int64)
-    names = ["kind", "a", "b", "c", "tag", "counts"]
+    names = ["kind", "a", "line", *CLASS, "tag", "counts"]
     for batch in batches:
         doc, tag = batch.column("doc_id"), batch.column("tag")
         for w in words(batch.column("text")):
-            bucket = _bucket(w)
-            counts += np.bincount(bucket.astype(np.int64), minlength=BUCKETS)
-            token, first, n, text, within = _line_tokens(w, bucket)
-            row = pa.array(text + w.first)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n.size, np.int32)), doc.take(row), pa.array(within), pa.array(_class(token, first, n)), tag.take(row), pa.nulls(n.size, pa.binary())], names)
-    yield from _count_rows(counts, names)
-
-
-def _count_rows(counts: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
-    n = BUCKETS // PART
-    zero = pa.array(np.zeros(n, np.int64))
-    data = [counts[at : at + PART].tobytes() for at in range(0, BUCKETS, PART)]
-    yield pa.RecordBatch.from_arrays([pa.array(np.ones(n, np.int32)), pa.array(np.arange(0, BUCKETS, PART)), zero, zero, zero, pa.array(data, pa.binary())], names)
-
-
-def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add up the counts of each part as they pass."""
-    total: dict[int, np.ndarray] = {}
+            counts += np.bincount(bucket(w.name), minlength=BUCKETS)
+            s, within = _lines(w)
+            row = pa.array(w.text[s.opens] + w.first)
+            n = s.opens.size
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(n, np.int32)), doc.take(row), pa.array(within), pa.array(s.node), pa.array(s.tail), tag.take(row), pa.nulls(n, pa.binary())], names)
+    parts = count_rows(counts)
+    n = parts.num_rows
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(np.ones(n, np.int32)), parts.column("a"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), parts.column("counts")], names
+    )
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch], rank: np.ndarray, single: int) -> Iterator[pa.RecordBatch]:
+    """Prefix rows of each class, once for a chunk, mostly once for a task."""
+    node, tail = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int32)
     for batch in batches:
-        for at, counts in zip(batch.column("a").to_pylist(), batch.column("counts"), strict=True):
-            total[at] = total.get(at, 0) + np.frombuffer(counts.as_py(), np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["a", "counts"])
-
-
-def _bitmaps(token: np.ndarray, first: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """256-bit bitmaps of token parities in four words; shorter lines have theirs folded to 64 or 128 bits."""
-    place = mix(token)
-    word, bit = place >> np.uint64(62), np.uint64(1) << ((place >> np.uint64(40)) & np.uint64(63))
-    b = [np.bitwise_xor.reduceat(np.where(word == np.uint64(k), bit, np.uint64(0)), first) for k in range(4)]
-    two, one = n <= MEDIUM, n <= NARROW
-    b[0], b[1] = np.where(two, b[0] ^ b[2], b[0]), np.where(two, b[1] ^ b[3], b[1])
-    b[0] = np.where(one, b[0] ^ b[1], b[0])
-    return [b[0], np.where(one, np.uint64(0), b[1]), np.where(two, np.uint64(0), b[2]), np.where(two, np.uint64(0), b[3])]
-
+        for w in words(batch.column("text")):
+            s, _ = _lines(w, rank)
+            slot = s.node & (BUCKETS - 1)
+            new = fresh(s) & ((node[slot] != s.node) | (tail[slot] != s.tail))
+            node[slot], tail[slot] = s.node, s.tail
+            yield prefix_rows(s, np.flatnonzero(new), single, wide=True)
 
-def _prefixes(batches: Iterator[pa.RecordBatch], order: np.ndarray, rank: np.ndarray, single: int) -> Iterator[pa.RecordBatch]:
-    """Prefix rows (key, node, size, b0..b3) of each class, once for a chunk, mostly once for a task.
 
-    ``size`` is the number of tokens and, below it, the place of the token.  Two
-    different sets of three or fewer tokens can't match, and a token in a bucket
-    with a count of one is in no other line; neither gets a row.
-    """
-    seen = np.zeros(BUCKETS, np.int64)
+def _elements(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(node, tail, doc, line, elements) of the given lines."""
     for batch in batches:
-        for w in words(batch.column("text")):
-            token, first, n, _, _ = _line_tokens(w, rank[_bucket(w).astype(np.int64)])
-            if not first.size:
-                continue
-            bucket = order[(token >> np.uint64(24)).astype(np.int64)]
-            name = _class((bucket.astype(np.uint64) << np.uint64(24)) | (token & _LOW), first, n)
-            slot = name & (BUCKETS - 1)
-            fresh = np.zeros(name.size, bool)
-            fresh[np.unique(name, return_index=True)[1]] = True
-            fresh &= seen[slot] != name
-            seen[slot] = name
-            pick = np.flatnonzero(fresh & (n > 3))
-            if not pick.size:
-                continue
-            size = n[pick] - (4 * n[pick] + 4) // 5 + 1
-            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            row = np.repeat(pick, size)
-            key = token[first[row] + place]
-            keep = (key >> np.uint64(24)) >= np.uint64(single)
-            row, place, key = row[keep], place[keep], key[keep]
-            bits = [pa.array(b[row].view(np.int64)) for b in _bitmaps(token, first, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(name[row]), pa.array((n[row].astype(np.int64) << 32) | place), *bits], _PREFIX)
-
-
-def _need(total: np.ndarray) -> np.ndarray:
-    """Least overlap of two sets of ``total`` tokens together at a Jaccard similarity of 0.8."""
-    return (4 * total + 8) // 9
-
-
-def _heads(cols: dict[str, np.ndarray], n: int) -> np.ndarray:
-    new = np.ones(n, bool)
-    new[1:] = (cols["key"][1:] != cols["key"][:-1]) | (cols["i"][1:] != cols["i"][:-1]) | (cols["j"][1:] != cols["j"][:-1])
-    return new
-
-
-def _near(cols: dict[str, np.ndarray], start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within the groups from ``start`` on that pass the length, position and bitmap filters."""
-    n, left = cols["size"] >> 32, (cols["size"] >> 32) - (cols["size"] & 0xFFFFFFFF)
-    b = [cols[f"b{k}"].view(np.uint64) for k in range(4)]
-    pair = [b[0] ^ b[2], b[1] ^ b[3]]
-    one = pair[0] ^ pair[1]
-    parts = cols.get("part")
-    apart = cols["i"] != cols["j"] if parts is not None else None
-
-    def keep(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        nx, ny = n[x], n[y]
-        need = _need(nx + ny)
-        most = nx + ny - 2 * need
-        ok = (5 * np.minimum(nx, ny) >= 4 * np.maximum(nx, ny)) & (np.minimum(left[x], left[y]) >= need)
-        ok &= np.bitwise_count(one[x] ^ one[y]) <= most
-        if parts is not None:
-            ok &= ~(apart[x] & (parts[x] == parts[y]))
-        for least, words_ in ((NARROW, pair), (MEDIUM, b)):
-            at = np.flatnonzero(ok & (np.minimum(nx, ny) > least))
-            if at.size:
-                differ = sum(np.bitwise_count(v[x[at]] ^ v[y[at]]).astype(np.int64) for v in words_)
-                ok[at[differ > most[at]]] = False
-        return ok
-
-    return pairs_by_offset(start, n.size, keep)
-
-
-_FOUND = "node long, key long, i int, j int, part int, others long"
-
-
-def _found(cols: dict[str, np.ndarray], new: np.ndarray, over: bool) -> list[pa.Array]:
-    """Columns of _FOUND: a row for each member with a candidate in its group; ``others`` names the set of them."""
-    again = np.zeros(new.size, bool)
-    again[1:] = ~new[1:] & (cols["node"][1:] == cols["node"][:-1])
-    cols = {c: v[~again] for c, v in cols.items()}
-    a, b = _near(cols, np.flatnonzero(new[~again]))
-    others = np.zeros(cols["node"].size, np.uint64)
-    name = mix(cols["node"].view(np.uint64))
-    np.add.at(others, a, name[b])
-    np.add.at(others, b, name[a])
-    pick = np.unique(np.concatenate((a, b)))
-    place = [cols[c][pick] if over else np.zeros(pick.size, np.int32) for c in ("i", "j", "part")]
-    return [pa.array(x) for x in (cols["node"][pick], cols["key"][pick], *place, others[pick].view(np.int64))]
-
-
-def _candidates(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Rows of _FOUND for groups of up to ``block`` rows; the rows of larger groups as they are, in the columns behind."""
-    names = [*(f.split()[0] for f in _FOUND.split(", ")), *(f"o_{c}" for c in _PREFIX)]
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
-    for table, over in small_or_over(batches, "key", block):
-        if over:
-            rows = table.combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, t) for t in types), *rows.columns], names)
-            continue
-        cols = {c: table.column(c).to_numpy() for c in _PREFIX}
-        out = _found(cols, np.concatenate(([True], cols["key"][1:] != cols["key"][:-1])), False)
-        yield pa.RecordBatch.from_arrays([*out, *(pa.nulls(len(out[0]), pa.int64()) for _ in _PREFIX)], names)
-
-
-def _block_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in whole_blocks(batches):
-        cols = {c: table.column(c).to_numpy() for c in (*_PREFIX, "i", "j", "part")}
-        yield pa.RecordBatch.from_arrays(_found(cols, _heads(cols, table.num_rows), True), [f.split()[0] for f in _FOUND.split(", ")])
-
-
-def _tokens(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """(node, tokens): each line's tokens in rarity order, as little-endian 64-bit values."""
-    for batch in batches:
-        node = batch.column("node")
-        for w in words(batch.column("line")):
-            token, first, n, text, _ = _line_tokens(w, rank[_bucket(w).astype(np.int64)])
-            data = [token[s : s + k].tobytes() for s, k in zip(first.tolist(), n.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([node.take(pa.array(text + w.first)), pa.array(data, pa.binary())], ["node", "tokens"])
-
-
-def _matches(sets: list[np.ndarray], key: int, cross: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of ``sets`` at 0.8 or more of which ``key`` is the first common token; ``cross``: parts that must differ."""
-    size = np.array([s.size for s in sets], np.int64)
-    if len(sets) == 2:
-        if cross is not None and cross[0] == cross[1]:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        both = np.intersect1d(sets[0], sets[1], assume_unique=True)
-        ok = both.size >= _need(size.sum()) and both[0] == key
-        return (np.array([0]), np.array([1])) if ok else (np.empty(0, np.int64), np.empty(0, np.int64))
-    flat = np.concatenate(sets)
-    token, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    row = np.repeat(np.arange(len(sets)), size)
-    here = count[column] > 1
-    before = int(shared[np.searchsorted(token, key)])
-    grid = np.zeros((len(sets), int(shared[-1]) + 1), np.float32)
-    grid[row[here], shared[column[here]]] = 1
-    found_a, found_b = [], []
-    step = max(1, (1 << 22) // len(sets))
-    for at in range(0, len(sets), step):
-        some = slice(at, at + step)
-        overlap = (grid[some] @ grid.T).astype(np.int64)
-        ok = overlap >= _need(size[some, None] + size[None, :])
-        ok &= np.arange(len(sets))[None, :] > np.arange(len(sets))[some, None]
-        if before:
-            ok &= (grid[some, :before] @ grid[:, :before].T) == 0
-        if cross is not None:
-            ok &= cross[some, None] != cross[None, :]
-        a, b = np.nonzero(ok)
-        found_a.append(a + at)
-        found_b.append(b)
-    return np.concatenate(found_a), np.concatenate(found_b)
+        for w in words(batch.column("words")):
+            s = distinct(w.name, w.checks(), w.text, rank)
+            row = pa.array(w.text[s.opens] + w.first)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(row) for c in (*CLASS, "doc", "line")), pack_sets(s)], [*CLASS, "doc", "line", "elements"])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, links, doc, line) for each member with a link that is counted in its block; doc, line: the earliest."""
-    for table in whole_blocks(batches, rows=8192):
-        cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "part", "node", "doc", "line")}
-        tokens = table.column("tokens").combine_chunks()
-        start = np.flatnonzero(_heads(cols, table.num_rows))
-        out: list[list[np.ndarray]] = []
-        for s, e in zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True):
-            if e - s < 2:
-                continue
-            sets = [np.frombuffer(t.as_py(), np.uint64) for t in tokens.slice(s, e - s)]
-            a, b = _matches(sets, int(cols["key"][s]), cols["part"][s:e] if cols["i"][s] != cols["j"][s] else None)
-            if not a.size:
-                continue
-            me, other = np.concatenate((a, b)) + s, np.concatenate((b, a)) + s
-            order = np.lexsort((cols["line"][other], cols["doc"][other], me))
-            me, other = me[order], other[order]
-            lead = np.flatnonzero(np.concatenate(([True], me[1:] != me[:-1])))
-            out.append([cols["node"][me[lead]], np.diff(np.append(lead, me.size)), cols["doc"][other[lead]], cols["line"][other[lead]]])
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["node", "links", "doc", "line"])
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """``df``, a written table, as a broadcast side if it has few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def matched_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(node, tail, links, doc, line) for each member with a link that is counted in its block; doc, line: the earliest."""
+    for block, rows in verified_blocks(batches, ("doc", "line")):
+        n = rows.num_rows
+        links, least = np.zeros(n, np.int64), np.full(n, n)
+        for at, ok in block.tiles():
+            links[at : at + len(ok)] += ok.sum(1)
+            links += ok.sum(0)
+            # Members are in order, so the first link is the earliest.
+            mine = least[at : at + len(ok)]
+            mine[:] = np.minimum(mine, np.where(ok.any(1), ok.argmax(1), n))
+            least = np.minimum(least, np.where(ok.any(0), ok.argmax(0) + at, n))
+        found = np.flatnonzero(links)
+        if found.size:
+            own, other = rows.take(pa.array(found)), rows.take(pa.array(least[found]))
+            cols = [own.column(c).combine_chunks() for c in CLASS] + [pa.array(links[found])] + [other.column(c).combine_chunks() for c in ("doc", "line")]
+            yield pa.RecordBatch.from_arrays(cols, [*CLASS, "links", "doc", "line"])
+
+
+def matched_lines(docs: DataFrame, block: int = BLOCK, elements: int = ELEMENTS) -> DataFrame:
     """A row for each line that has words.
 
     Columns: doc_id, line (from 0), class_doc_id and class_line (first line with
@@ -303,49 +103,30 @@ def matched_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Null text: no lines.  Null doc_id: such rows come before all others, as one
     document.  Rows that share a doc_id are taken as one document; lines that
-    then stand at the same place are not earlier than one another.
+    then stand at the same place are not earlier than one another.  ``block`` and
+    ``elements`` bound the rows and the words that are compared in one piece.
     """
     least = F.lit(-(1 << 63))
     source = docs.select(F.coalesce("doc_id", least).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tag"))
-    scan = materialise(source.mapInArrow(_scan, "kind int, a long, b long, c long, tag long, counts binary"), "lines", "kind")
-    lines = scan.where("kind = 0").select(F.col("a").alias("doc"), F.col("b").alias("line"), F.col("c").alias("node"), "tag")
-    # BUCKETS counts, whatever the input.
-    parts = scan.where("kind = 1").select("a", "counts").repartition(min(tasks(docs), BUCKETS // PART), "a")
-    summed = parts.mapInArrow(_sum_counts, "a long, counts binary").toArrow()
-    count = np.zeros(BUCKETS, np.int64)
-    for at, counts in zip(summed.column("a").to_pylist(), summed.column("counts").to_pylist(), strict=True):
-        count[at : at + PART] = np.frombuffer(counts, np.int64)
-    order = np.argsort(count, kind="stable").astype(np.int32)
-    rank = np.empty(BUCKETS, np.int32)
-    rank[order] = np.arange(BUCKETS, dtype=np.int32)
-    single = int((count <= 1).sum())
-
-    classes = materialise(lines.groupBy("node").agg(F.min(F.struct("doc", "line", "tag")).alias("first")).select("node", "first.*"), "classes")
-    fields = ", ".join(f"{c} long" for c in _PREFIX)
-    rows = source.select("text").mapInArrow(partial(_prefixes, order=order, rank=rank, single=single), fields)
-    dealt = rows.repartition(tasks(docs), "key").sortWithinPartitions("key", "node")
-    near = materialise(dealt.mapInArrow(partial(_candidates, block=block), f"{_FOUND}, " + ", ".join(f"o_{c} long" for c in _PREFIX)), "near")
-    over = near.where("o_key is not null").select(*(F.col(f"o_{c}").alias(c) for c in _PREFIX))
-    near = near.where("node is not null").drop(*(f"o_{c}" for c in _PREFIX))
-    if over.take(1):
-        near = near.union(block_groups(over, "key", "node", block).mapInArrow(_block_candidates, _FOUND))
-    # Where two blocks give a class the same candidates, the first is enough: a
-    # pair's first common block is kept by both of its classes.
-    met = near.groupBy("node", "others").agg(F.min(F.struct("key", "i", "j", "part")).alias("at")).select("node", "at.*").distinct()
-    met = materialise(met, "met")
-    active = materialise(met.select("node").distinct().join(classes, "node"), "active")
+    scan = materialise(in_batches(source, _scan, "kind int, a long, line long, node long, tail int, tag long, counts binary"), "lines", "kind")
+    lines = scan.where("kind = 0").select(F.col("a").alias("doc"), "line", *CLASS, "tag")
+    rank, single = rarity(scan.where("kind = 1"))
+
+    classes = materialise(lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line", "tag")).alias("first")).select(*CLASS, "first.*"), "classes")
+    rows = in_batches(source.select("text"), partial(_prefixes, rank=rank, single=single), ", ".join(f"{c} {t}" for c, t in PREFIX_TYPES.items()))
+    met = candidates(rows, block)
+    active = materialise(met.select(*CLASS).distinct().join(classes, CLASS), "active")
 
     text = source.select(F.col("doc_id").alias("doc"), "tag", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    picked = text.join(_small(active), ["doc", "line", "tag"]).dropDuplicates(["node"])
-    sets = picked.select("node", F.col("words").alias("line")).mapInArrow(partial(_tokens, rank=rank), "node long, tokens binary")
-    members = met.join(sets, "node").join(active.drop("tag"), "node")
-    members = members.repartition(tasks(docs), "key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
-    linked = members.mapInArrow(_verified, "node long, links long, doc long, line long")
-    links = linked.groupBy("node").agg(F.sum("links").alias("links"), F.min(F.struct("doc", "line")).alias("match"))
-
-    named = classes.drop("tag").withColumnRenamed("doc", "class_doc").withColumnRenamed("line", "class_line").join(links, "node", "left")
+    # Rows that share a doc_id and a text give a class more than once.
+    picked = text.join(broadcastable(active), ["doc", "line", "tag"]).dropDuplicates(CLASS)
+    sets = in_batches(picked.select(*CLASS, "doc", F.col("line").cast("long").alias("line"), "words"), partial(_elements, rank=rank), "node long, tail int, doc long, line long, elements binary")
+    linked = in_batches(members(met, sets, elements), _verified, "node long, tail int, links long, doc long, line long")
+    links = linked.groupBy(*CLASS).agg(F.sum("links").alias("links"), F.min(F.struct("doc", "line")).alias("match"))
+
+    named = classes.drop("tag").withColumnRenamed("doc", "class_doc").withColumnRenamed("line", "class_line").join(links, CLASS, "left")
     # Written, so that both sides of this join are plain shuffles and Spark can split the lines of a common class.
-    out = lines.join(materialise(named, "named"), "node")
+    out = lines.join(materialise(named, "named"), CLASS)
     place, first = F.struct("doc", "line"), F.struct(F.col("class_doc").alias("doc"), F.col("class_line").alias("line"))
     removed = (place > first) | F.coalesce(F.col("match") < first, F.lit(False))
     real = lambda c: F.when(c != least, c)
@@ -355,16 +136,33 @@ def matched_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def drop_matched_lines(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def _without(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose numbers ``gone`` has in order: what stands between them, joined."""
+
+    def between(both: Column) -> Column:
+        lines = both["lines"]
+        bounds = F.concat(F.array(F.lit(-1).cast("long")), both["gone"], F.array(F.size(lines).cast("long")))
+
+        def pieces(edge: Column) -> Column:
+            stay = lambda k: F.slice(lines, F.get(edge, k).cast("int") + 2, (F.get(edge, k + 1) - F.get(edge, k) - 1).cast("int"))
+            return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(edge) - 2), stay)), "\n")
+
+        return F.get(F.transform(F.array(bounds), pieces), F.lit(0))
+
+    # As variables of array functions the lines are split once, not once for each piece.
+    return F.get(F.transform(F.array(F.struct(F.split(text, "\n").alias("lines"), gone.alias("gone"))), between), F.lit(0))
+
+
+def drop_matched_lines(docs: DataFrame, block: int = BLOCK, elements: int = ELEMENTS) -> DataFrame:
     """``docs`` with the removed lines taken out of ``text``; other columns stay, n_chars is counted anew if there.
 
     Rows without a removed line stay as they are, as do null texts.
     """
-    gone = matched_lines(docs, block).where("removed").groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.collect_set("line").alias("__gone"))
+    removed = matched_lines(docs, block, elements).where("removed")
+    gone = removed.groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.sort_array(F.collect_set("line")).alias("__gone"))
     gone = materialise(gone, "gone")
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__tag")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda _, at: ~F.array_contains("__gone", at.cast("long")))
-    out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
+    out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__gone"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return out.select(docs.columns)

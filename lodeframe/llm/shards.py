@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import mix
 from .order import tasks
-from .storage import materialise
+from .storage import in_batches, materialise
 from .tokens import closed_documents
 
 STRIDE, SHARD, PAD_ID, END_ID, ROUNDS = 512, 8192, 0, 2, 6
@@ -79,7 +79,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, key: int, stride: in
     lost executor leaves no half-written shard.
     """
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = source.mapInArrow(partial(_sequences, path=tokenizer, stride=stride, end_id=end_id, pad_id=pad_id), "doc_id long, start long, tokens long, ids binary")
+    made = in_batches(source, partial(_sequences, path=tokenizer, stride=stride, end_id=end_id, pad_id=pad_id), "doc_id long, start long, tokens long, ids binary")
     placed = materialise(made.withColumn("at", F.monotonically_increasing_id()), "sequences")
     part = F.shiftright("at", 33)
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,7 +89,7 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, key: int, stride: in
     n = bases.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     index = F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)
     numbered = placed.withColumn("part", part).join(F.broadcast(bases.drop("n")), "part").select(index.alias("slot"), "doc_id", "start", "tokens", "ids")
-    slotted = numbered.mapInArrow(partial(_slots, n=n, key=key), numbered.schema).withColumn("shard", (F.col("slot") / shard).cast("long"))
+    slotted = in_batches(numbered, partial(_slots, n=n, key=key), numbered.schema).withColumn("shard", (F.col("slot") / shard).cast("long"))
     ranged = slotted.repartitionByRange(tasks(docs), "shard").sortWithinPartitions("shard", "slot")
     ranged.write.partitionBy("shard").option("compression", "zstd").parquet(out)
     return docs.sparkSession.read.schema(slotted.schema).parquet(out)

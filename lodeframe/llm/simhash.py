@@ -22,10 +22,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK, block_groups, forest, pairs_by_offset, whole_blocks
+from .blocks import BLOCK, Forest, block_groups, pairs_by_offset, whole_blocks
 from .components import components
 from .neardocs import near_documents
-from .storage import materialise
+from .setjoin import CLASS
+from .storage import in_batches, materialise
 
 SEGMENTS, BITS = 32, 2
 #: The lower bit of every segment.
@@ -70,7 +71,7 @@ def fingerprints(docs: DataFrame, words: int = 4, keep: tuple[str, ...] = ("doc_
     """``keep`` columns and the fingerprint (signed long) of each row's whole text; a null text is an empty one."""
     source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
     schema = docs.select(*keep).schema.add("fingerprint", "long")
-    return source.mapInArrow(partial(_fingerprint, words=words), schema)
+    return in_batches(source, partial(_fingerprint, words=words), schema)
 
 
 def segment_counts(fingerprint: Column | str) -> Column:
@@ -122,10 +123,11 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
             ok[ok] = np.bitwise_count(print_[a[ok]] ^ print_[b[ok]]) <= radius
             return ok
 
-        a, b = pairs_by_offset(np.flatnonzero(new), n, keep)
-        root = forest(a, b, n)
-        linked = np.flatnonzero(root != np.arange(n))
-        yield pa.RecordBatch.from_arrays([pa.array(cols["node"][linked]), pa.array(cols["node"][root[linked]])], ["a", "b"])
+        links = Forest(n)
+        for a, b in pairs_by_offset(np.flatnonzero(new), n, keep):
+            links.add(a, b)
+        linked, root = links.hung()
+        yield pa.RecordBatch.from_arrays([pa.array(cols["node"][linked]), pa.array(cols["node"][root])], ["a", "b"])
 
 
 def near_duplicates(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
@@ -142,11 +144,13 @@ def near_duplicates(prints: DataFrame, radius: int = 4, block: int = BLOCK) -> D
     # The fingerprint itself names the node; it is unique, whatever the doc_ids are.
     points = materialise(points.withColumn("node", F.col("fingerprint")), "points")
     dealt = block_groups(cells(points, radius), "key", "node", block)
-    edges = dealt.mapInArrow(partial(_links, radius=radius), "a long, b long")
+    edges = in_batches(dealt, partial(_links, radius=radius), "a long, b long")
     groups = components(edges).select(F.col("node").alias("fingerprint"), "component")
     named = points.join(groups, "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(ids, "component").select("fingerprint", "component_id", "component")
+    named = materialise(named, "named")
+    # Written, so that both sides of the joins are plain shuffles and Spark can split a large component and a common text.
+    ids = materialise(named.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
+    named = materialise(named.join(ids, "component").select("fingerprint", "component_id", "component"), "named")
     return prints.join(named, "fingerprint").select(*prints.columns, "component_id", "component")
 
 
@@ -166,8 +170,11 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     prints, groups = near_documents(docs, words)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")))
     # One row for each class, so that a common text is no bottleneck of the join.
-    named = prints.groupBy("node").agg(first.alias("first")).join(groups, "node", "left")
-    kept = named.groupBy(F.coalesce("component", "node").alias("component")).agg(F.min("first").alias("first")).select("first.__doc", "first.__tag")
+    classes = prints.groupBy(*CLASS).agg(first.alias("first"))
+    named = materialise(classes.join(groups, CLASS, "left"), "named")
+    alone = named.where("component is null").select("first")
+    joined = named.where("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first")
+    kept = alone.union(joined).select("first.__doc", "first.__tag")
     counted = prints.groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.count(F.lit(1)).alias("__n"))
     kept = materialise(kept.join(counted, kept["__doc"].eqNullSafe(counted["__doc"]) & (kept["__tag"] == counted["__tag"])).select(kept["__doc"], kept["__tag"], "__n"), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (tag == F.col("__tag"))

@@ -1,21 +1,34 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Intermediate tables in the folder that all executors share, and bounds on what tasks and the driver are sent."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
+
+#: Bytes of a table that a join may broadcast; beyond it both sides are shuffled.
+BROADCAST_BYTES = 48 << 20
+#: Bytes of an Arrow batch that a Python worker is handed; a longer row is handed over alone.
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (local tests) a folder of our own is made
-    and put into the setting, so that later calls agree on it.
+    Only in local mode, where driver and executors are one process, a folder of
+    our own is made if the setting is absent, and put into the setting, so that
+    later calls agree on it; a cluster without the setting is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -34,3 +47,40 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _bytes(column: Column, kind: DataType) -> Column:
+    """Bytes of a value, with some more for how Spark holds it."""
+    if isinstance(kind, StringType | BinaryType):
+        return 16 + F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(kind, ArrayType):
+        each = F.transform(column, lambda x: _bytes(x, kind.elementType).cast("long"))
+        return 24 + F.coalesce(F.aggregate(each, F.lit(0).cast("long"), lambda a, b: a + b), F.lit(0))
+    return F.lit(8)
+
+
+def broadcastable(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df``, a written table, as a broadcast side if its rows have ``most`` bytes or fewer; else as it is."""
+    size = df.agg(F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)))).first()[0]
+    return F.broadcast(df) if (size or 0) <= most else df
+
+
+def in_batches(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: StructType | str) -> DataFrame:
+    """``df.mapInArrow(function, schema)`` in bounded memory.
+
+    Python workers are handed batches of BATCH_BYTES, unless the session sets a
+    bound of its own, and as Spark uses a worker again, it gives freed memory
+    back to the system when a task ends.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not df.sparkSession.conf.get(name, None):
+        df.sparkSession.conf.set(name, str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return df.mapInArrow(run, schema)

@@ -10,8 +10,8 @@ import pyarrow as pa
 
 from .bytewords import words
 
-#: Slots of the word table and ids it may hold, which bound a worker's memory at about 100 MB.
-SLOTS, POOL = 1 << 21, 1 << 23
+#: Slots of the word table and ids it may hold, which bound it at some 20 MB in each worker.
+SLOTS, POOL = 1 << 19, 1 << 21
 
 
 class WordEncoder:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytewords import ALPHANUMERIC, Words, mix, names_of_beginnings, words
+from .storage import in_batches
 
 #: The model is fitted on at most so many labelled documents, by hash of the doc_id, and so many characters of them.
 TRAIN_DOCUMENTS, TRAIN_CHARACTERS = 10_000, 32_000_000
@@ -245,10 +246,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         yield from (b.rename_columns([*names, "score", "offending_sentences"]) for b in _score(renamed(), model))
 
-    return source.mapInArrow(run, kept.schema.add("score", "double").add("offending_sentences", "long"))
+    return in_batches(source, run, kept.schema.add("score", "double").add("offending_sentences", "long"))
 
 
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """(doc_id, start, end, score) of the sentences that score ``least`` or more, in code points from first to last word."""
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return source.mapInArrow(partial(_locate, model=model, least=least), "doc_id long, start long, end long, score double")
+    return in_batches(source, partial(_locate, model=model, least=least), "doc_id long, start long, end long, score double")

@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
-from lodeframe.llm import linedup
+from lodeframe.llm import linedup, setjoin
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -51,12 +52,12 @@ def corpus(seed: int, size: int) -> list[tuple[int, str | None]]:
     return out
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, linedup.BLOCK), (2, 3), (3, 20)])
-def test_join_equals_brute_force(spark, seed, block):
+@pytest.mark.parametrize(("seed", "block", "elements"), [(1, linedup.BLOCK, linedup.ELEMENTS), (2, 3, 60), (3, 20, 500)])
+def test_join_equals_brute_force(spark, seed, block, elements):
     docs = corpus(seed, 60)
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
     got = {}
-    for r in linedup.matched_lines(frame, block).collect():
+    for r in linedup.matched_lines(frame, block, elements).collect():
         other = None if r.match_doc_id is None else (r.match_doc_id, r.match_line)
         got[r.doc_id, r.line] = ((r.class_doc_id, r.class_line), r.links, other, r.removed)
     assert got == plain(docs)
@@ -70,6 +71,66 @@ def test_removed_lines_leave_the_text(spark):
     assert got[2].n_chars == len("first\n\nlast") and got[1].tag == "x"
 
 
+def test_words_of_equal_short_hashes_stay_apart(spark):
+    """These pairs agree in the first 20 and the last 24 bits of their names."""
+    for a, b in (("w730af1", "wf5898"), ("w4845e0", "wa6e03")):
+        docs = [(1, a), (2, b), (3, f"{a} one two three four five six"), (4, f"{b} one two three four five seven")]
+        kept = {r.doc_id: r.text for r in linedup.drop_matched_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+        assert kept == dict(docs)
+
+
+def test_two_words_of_one_name_stay_apart():
+    """Elements are told apart by both names; every place of the join keeps to that."""
+    rng = np.random.default_rng(3)
+    name = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    check = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    name[20:] = name[:20]  # as many collisions as can be
+    rows = [rng.permutation(40)[: rng.integers(4, 40)] for _ in range(60)] + [np.arange(12), np.arange(1, 13), np.arange(20, 32)]
+    s = setjoin.distinct(np.concatenate([name[r] for r in rows]), np.concatenate([check[r] for r in rows]), np.repeat(np.arange(len(rows)), [r.size for r in rows]))
+    assert s.n.tolist() == [r.size for r in rows] and len({*zip(s.node.tolist(), s.tail.tolist(), strict=True)}) == len({frozenset(r.tolist()) for r in rows})
+    packed = [x.as_py() for x in setjoin.pack_sets(s)]
+    got = set()
+    for key in np.unique(s.token).tolist():
+        own = [k for k, d in enumerate(packed) if key in np.frombuffer(d, np.uint64, len(d) // 16)]
+        if len(own) > 1:
+            for at, ok in setjoin.Block([packed[k] for k in own], key).tiles():
+                for a, b in zip(*np.nonzero(ok), strict=True):
+                    assert (pair := (own[a + at], own[b])) not in got
+                    got.add(pair)
+    sets = [set(r.tolist()) for r in rows]
+    assert got == {(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+
+
+@pytest.mark.parametrize(("members", "words"), [(300, 12), (150, 150)])
+def test_blocks_of_many_near_copies(members, words):
+    """Widely shared words go through a matrix, rare ones through lists; tiles don't change the links."""
+    rng = np.random.default_rng(members)
+    pool = rng.integers(0, 1 << 63, (2, 4000), dtype=np.uint64)
+    base = rng.permutation(4000)[:words]
+    base = base[np.argsort(pool[0][base])]  # the first is their key
+    rows = []
+    for _ in range(members):
+        own = base.copy()
+        at = rng.integers(1, words, rng.integers(0, words // 6 + 1))
+        own[at] = rng.integers(0, 4000, at.size)
+        rows.append(np.unique(np.append(own, base[0])))
+    s = setjoin.distinct(pool[0][np.concatenate(rows)], pool[1][np.concatenate(rows)], np.repeat(np.arange(members), [r.size for r in rows]))
+    data, token = [x.as_py() for x in setjoin.pack_sets(s)], setjoin.distinct(pool[0][base[:1]], pool[1][base[:1]], np.zeros(1, int)).token
+    block = setjoin.Block(data, int(token[0]))
+    block.CELLS, block.COLUMNS = 20 * members, 7
+    block.grids = None
+    got = {(int(a) + at, int(b)) for at, ok in block.tiles() for a, b in zip(*np.nonzero(ok), strict=True)}
+    order = {t: k for k, t in enumerate(np.sort(np.unique(s.token)).tolist())}
+    sets = [[order[t] for t in np.frombuffer(d, np.uint64, len(d) // 16).tolist()] for d in data]
+    want = set()
+    for b in range(members):
+        for a in range(b):
+            both = set(sets[a]) & set(sets[b])
+            if 5 * len(both) >= 4 * len(set(sets[a]) | set(sets[b])) and min(both) == order[int(token[0])]:
+                want.add((a, b))
+    assert got == want and want
+
+
 def test_null_ids_and_shared_ids(spark):
     line = "one two three four five six"
     frame = spark.createDataFrame([(None, line), (4, line), (4, "one two three four five six\nnew line here"), (4, line)], "doc_id long, text string")

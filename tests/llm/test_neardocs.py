@@ -63,11 +63,11 @@ def test_large_groups_are_dealt_in_blocks(spark):
     for k in range(20):
         texts.append(" ".join([*base[:k], f"own{k}", *base[k:]]))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    rows, groups = neardocs.near_documents(docs, block=4)
-    component = {r.node: r.component for r in groups.collect()}
-    least: dict[int, int] = {}
+    rows, groups = neardocs.near_documents(docs, block=4, elements=256)
+    component = {(r.node, r.tail): r.component for r in groups.collect()}
+    least: dict = {}
     for r in rows.orderBy("doc_id").collect():
-        least.setdefault(component.get(r.node, r.node), r.doc_id)
+        least.setdefault(component.get((r.node, r.tail), (r.node, r.tail)), r.doc_id)
     assert sorted(least.values()) == plain_kept(texts)
 
 
