@@ -29,6 +29,70 @@ def tokens(text: Column | str) -> Column:
     return F.concat(words, _grams(runs, 1), _grams(runs, 2))
 
 
+#: Characters that carry no meaning of their own, for phrases and for coverage; courtesies and fillers of questions.
+PHRASE_STOP = "的了是在我你他她它这那吗呢吧啊哦与及或就都也很只个对为被把让到着说从和"
+COVER_STOP = "的了吗呢啊呀哦吧和与及是在有这那个我你它把被对于为以"
+POLITE = "^(?:请问|麻烦你|帮我看看|帮我|我想问一下|我想知道|想问一下|能不能|拜托|帮忙)+"
+NOISE = "谢谢|打扰了|麻烦了|来着|的话|吗|呢|啊|呀|哦|吧|嗯"
+
+
+def _pieces(text: Column | str) -> tuple[Column, Column]:
+    """Latin words and CJK runs of a text."""
+    low = F.lower(F.coalesce(_column(text), F.lit("")))
+    return F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), F.regexp_extract_all(low, F.lit(f"[{CJK}]+"), F.lit(0))
+
+
+def phrase_tokens(text: Column | str) -> Column:
+    """Latin words; of CJK runs the pieces of one to three characters that aren't all stop characters, and runs of two to six whole.
+
+    A run of two or three characters is there twice, as a piece and as a run.
+    """
+    words, runs = _pieces(text)
+    told = lambda grams: F.filter(grams, lambda g: ~g.rlike(f"^[{PHRASE_STOP}]+$"))
+    return F.concat(words, *[told(_grams(runs, n)) for n in (1, 2, 3)], F.filter(runs, lambda r: F.char_length(r).between(2, 6)))
+
+
+def pair_tokens(text: Column | str) -> Column:
+    """Latin words and, of CJK runs, the pairs of characters; a run of one character is itself."""
+    words, runs = _pieces(text)
+    return F.concat(words, F.filter(runs, lambda r: F.char_length(r) == 1), _grams(runs, 2))
+
+
+def cover_tokens(text: Column | str) -> Column:
+    """Distinct words of two characters or more; of a piece with CJK characters its characters but for stop characters."""
+    low = F.lower(F.coalesce(_column(text), F.lit("")))
+    pieces = F.filter(F.split(F.regexp_replace(low, r"[^\p{L}\p{N}_]", " "), " "), lambda p: p != "")
+    cjk = lambda p: p.rlike(f"[{CJK}]")
+    chars = F.filter(F.split(F.array_join(F.filter(pieces, cjk), ""), ""), lambda c: (c != "") & ~c.rlike(f"[{COVER_STOP}]"))
+    return F.array_distinct(F.concat(F.filter(pieces, lambda p: ~cjk(p) & (F.char_length(p) > 1)), chars))
+
+
+def rewritten(question: Column | str) -> Column:
+    """A question without courtesies and fillers; itself if nothing else is left."""
+    base = F.trim(F.coalesce(_column(question), F.lit("")))
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(base, POLITE, ""), NOISE, ""), "^[ ，,。.？?、]+|[ ，,。.？?、]+$", "")
+    return F.when(bare == "", base).otherwise(bare)
+
+
+def line_key(line: Column | str) -> Column:
+    """A line without white space, bullets and numbering, to tell repeated lines."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(_column(line), F.lit("")), r"[\s　]+", ""), r"^[-*•·◦\d.、）)]+", "")
+
+
+def without_repeated_lines(text: Column | str) -> Column:
+    """A text without lines whose key, of six characters or more, an earlier line has."""
+    lines = F.split(F.coalesce(_column(text), F.lit("")), "\n")
+    keys = F.transform(lines, line_key)
+    both = F.arrays_zip(lines.alias("line"), keys.alias("key"))
+    kept = F.filter(both, lambda x, at: (F.char_length(x["key"]) < 6) | (F.array_position(keys, x["key"]) == at + 1))
+    return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+
+
+def headings(text: Column | str) -> Column:
+    """Headings of the first and second level of a Markdown text."""
+    return F.regexp_extract_all(F.coalesce(_column(text), F.lit("")), F.lit(r"(?m)^#{1,2}\s+(.+?)\s*$"), F.lit(1))
+
+
 def token_weight(token: Column | str) -> Column:
     """Single characters count little, longer CJK terms more."""
     t = _column(token)

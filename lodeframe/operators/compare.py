@@ -41,9 +41,8 @@ def numbers_in(text: Column | str) -> Column:
 
 
 def number_matches(answer: Column | str, truth: Column | str) -> Column:
-    """Whether a text gives ``truth``, as it is, by ten thousands or hundred millions, or as a share or percent,
-    within half a unit or half a percent."""
+    """Whether a text gives ``truth``, as it is or rounded, by ten thousands or by hundred millions, within half a unit or half a percent."""
     t = F.col(truth) if isinstance(truth, str) else truth
-    scaled = F.array(t, t / 1e4, t / 1e8, t * 100, t / 100)
+    forms = [t, *(F.bround(t, n) for n in (2, 1, 0)), t / 1e4, *(F.bround(t / 1e4, n) for n in (2, 1)), t / 1e8, F.bround(t / 1e8, 2)]
     near = lambda v, c: F.abs(v - c) <= F.greatest(F.lit(0.5), F.abs(c) * 0.005)
-    return F.exists(numbers_in(answer), lambda v: F.exists(scaled, lambda c: near(v, c)))
+    return F.exists(numbers_in(answer), lambda v: F.exists(F.array(*forms), lambda c: near(v, c)))

@@ -7,10 +7,13 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .written import written
+
 #: Grades of a correlation's size, and the most outliers that a report lists.
 GRADES = [(0.9, "极强"), (0.7, "强"), (0.4, "中等"), (0.2, "弱")]
 NO_GRADE = "极弱/无"
 REPORTED, FALLBACK, FEWEST = 15, 5, 8
+QUARTILES = [0.25, 0.5, 0.75]
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -19,17 +22,50 @@ def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(F.inline(cells))
 
 
+def cumulative(cells: DataFrame) -> DataFrame:
+    """(column, value, n, upto): how often each value of (column, value) rows occurs, and how many rows of its column come up to it.
+
+    Values are counted first, so a frequent one is one row.  The counts are
+    range-partitioned and written, summed inside each partition and shifted by
+    the sums of the partitions before; no column is gathered in one place.
+    """
+    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = cells.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    placed = written(counts.repartitionByRange(tasks, "column", "value").withColumn("__p", F.spark_partition_id()), "counts")
+    # One row for each partition and column.
+    before = placed.groupBy("column", "__p").agg(F.sum("n").alias("__t"))
+    shift = F.sum("__t").over(Window.partitionBy("column").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1))
+    before = before.select("column", "__p", F.coalesce(shift, F.lit(0)).alias("__b"))
+    inside = F.sum("n").over(Window.partitionBy("__p", "column").orderBy("value"))
+    return placed.withColumn("__in", inside).join(F.broadcast(before), ["column", "__p"]).select("column", "value", "n", (F.col("__b") + F.col("__in")).alias("upto"))
+
+
+def quantiles(cells: DataFrame, shares: list[float]) -> DataFrame:
+    """(column, q): exact quantiles, interpolated, of each column of (column, value) rows, as an array."""
+    found = written(cumulative(cells), "upto")
+    totals = found.groupBy("column").agg(F.max("upto").alias("__n"))  # one row for each column
+    first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
+    at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("__n") - 1) * p).alias("h")) for k, p in enumerate(shares)]))
+    wanted = totals.select("column", at.alias("w")).select("column", "w.k", "w.h")
+    hit = found.join(F.broadcast(wanted), "column").where((first <= F.ceil("h")) & (last >= F.floor("h")))
+    # One or two rows for each quantile: the neighbours of its place.
+    low, high = F.min("value"), F.max("value")
+    each = hit.groupBy("column", "k").agg((low + (high - low) * (F.max("h") - F.floor(F.max("h")))).alias("v"))
+    return each.groupBy("column").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"]).alias("q"))
+
+
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row for each column: n, missing, mean, std, least, quartiles, most, cv and skew; one pass over ``df``.
+    """One row for each column: n, missing, mean, std, least, quartiles, most, cv and skew.
 
     cv is std / mean, null for a mean of 0; skew is 3 (mean - median) / std, 0
     for a std of 0 or a single value.  Quartiles are exact and interpolated.
     """
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     v = F.col("value")
-    out = long_form(df, columns).groupBy("column").agg(
-        F.count(v).alias("n"), (1 - F.try_divide(F.count(v), F.count(F.lit(1)))).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), q.alias("q"), F.max(v).alias("most")
+    cells = long_form(df, columns)
+    out = cells.groupBy("column").agg(
+        F.count(v).alias("n"), (1 - F.try_divide(F.count(v), F.count(F.lit(1)))).alias("missing"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("least"), F.max(v).alias("most")
     )
+    out = out.join(F.broadcast(quantiles(cells, QUARTILES)), "column", "left")  # one row for each column
     p25, p50, p75 = (F.get("q", F.lit(k)) for k in range(3))
     std = F.when(F.col("n") > 0, F.coalesce("std", F.lit(0.0)))
     out = out.select("column", "n", "missing", "mean", std.alias("std"), "least", p25.alias("p25"), p50.alias("p50"), p75.alias("p75"), "most")
@@ -47,23 +83,15 @@ def filled(df: DataFrame, columns: list[str]) -> DataFrame:
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rank of each value, ties averaged, without a window over all rows.
 
-    Values are counted first, so a frequent one is one row; the counts are
-    range-partitioned, summed inside each partition, and shifted by the sums of
-    the partitions before.
+    A rank table has a row for each distinct value and is written, so that Spark
+    broadcasts a small one and can split a frequent value where it shuffles.
     """
-    spark = df.sparkSession
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranks = written(cumulative(long_form(df, columns)).select("column", "value", (F.col("upto") - (F.col("n") - 1) / 2.0).alias("__r")), "ranks")
     out = df
-    for c in columns:
-        counts = df.groupBy(c).agg(F.count(F.lit(1)).alias("__n")).repartitionByRange(tasks, c)
-        placed = counts.withColumn("__p", F.spark_partition_id())
-        inside = F.sum("__n").over(Window.partitionBy("__p").orderBy(c))
-        # One row for each partition.
-        before = placed.groupBy("__p").agg(F.sum("__n").alias("__t")).withColumn("__b", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        ranks = placed.withColumn("__in", inside).join(F.broadcast(before), "__p")
-        ranks = ranks.select(F.col(c).alias("__v"), (F.col("__b") + F.col("__in") - (F.col("__n") - 1) / 2.0).alias("__r"))
-        out = out.join(ranks, out[c] == ranks["__v"]).drop(c, "__v").withColumnRenamed("__r", c)
-    return out.select(*columns)
+    for k, c in enumerate(columns):
+        own = written(ranks.where(F.col("column") == c).select(F.col("value").alias(f"__v{k}"), F.col("__r").alias(f"__r{k}")), "rank")
+        out = out.join(own, F.col(f"`{c}`") == F.col(f"__v{k}"))
+    return out.select(*[F.col(f"__r{k}").alias(c) for k, c in enumerate(columns)])
 
 
 def correlations(df: DataFrame, columns: list[str], method: str = "pearson") -> DataFrame:
@@ -96,12 +124,14 @@ def outlier_votes(df: DataFrame, value: str) -> DataFrame:
     """
     v = F.col(value)
     have = df.where(v.isNotNull())
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    base = have.agg(F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__std"), q.alias("__q"))
-    with_base = have.crossJoin(F.broadcast(base))  # one row
+    cells = have.select(F.lit("v").alias("column"), v.cast("double").alias("value"))
+    q = quantiles(cells, QUARTILES).select(F.col("q").alias("__q"))
+    base = have.agg(F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__std"))
+    base = written(base.crossJoin(q), "base")  # one row
     low, mid, high = (F.get("__q", F.lit(k)) for k in range(3))
-    mad = with_base.agg(F.percentile(F.abs(v - mid), 0.5).alias("__mad"))
-    out = with_base.crossJoin(F.broadcast(mad))  # one row
+    off = cells.crossJoin(F.broadcast(base)).select("column", F.abs(F.col("value") - mid).alias("value"))
+    mad = quantiles(off, [0.5]).select(F.get("q", F.lit(0)).alias("__mad"))
+    out = have.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(mad))  # one row each
     z = F.coalesce(F.try_divide(F.abs(v - F.col("__mean")), F.col("__std")), F.lit(0.0))
     reach = 1.5 * (high - low)
     far = F.coalesce(0.6745 * F.try_divide(F.abs(v - mid), F.col("__mad")) > 3.5, F.lit(False))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.masking import FREE_TEXT, mask_text
+from ..functions.masking import MAIL, mask_text
 from ..functions.numbers import to_number
 from ..functions.text import estimate_tokens, word_count
 from ..operators import retrieval, stats
@@ -71,11 +71,10 @@ def clean_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("mask_mail", r"""
-SELECT doc_id, md5(regexp_replace(text, '([A-Za-z0-9])[A-Za-z0-9._%+-]*@([A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)', '\1***@\2', 'g')) AS masked FROM documents""")
+SELECT doc_id, md5(regexp_replace(text, '([A-Za-z\d])[\w.%+-]*@((?:[A-Za-z\d-]+\.)+[A-Za-z\d-]+)', '\1***@\2', 'g')) AS masked FROM documents""")
 def mask_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mail rule alone; DuckDB's expressions can't look behind, as the number rules do."""
-    rule = [r for r in FREE_TEXT if "@" in r[0]]
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(mask_text("text", rule)).alias("masked"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(mask_text("text", [MAIL])).alias("masked"))
 
 
 @register("mask_documents")
@@ -83,17 +82,27 @@ def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", mask_text("text").alias("masked"))
 
 
-@register("estimate_tokens", """
-SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE floor(length(text) / 4.0::double)::bigint + 1 END AS tokens FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[一-鿿]')""")
+#: Sentences that stand beside the documents, which have no CJK characters.
+CHINESE = ["员工报销流程需要提交发票", "出差乘坐飞机经济舱,并住宿标准酒店 3 晚", "请问咖啡机的水箱怎么清洗呢？", "是的", "报", "ab报销_9 cash", ""]
+_MIXED = "(SELECT doc_id, text FROM documents UNION ALL SELECT * FROM (VALUES " + ", ".join(f"({-k}, '{t}')" for k, t in enumerate(CHINESE, 1)) + ") AS v(doc_id, text))"
+
+
+def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text) of the documents and of the Chinese sentences, numbered -1, -2 and so on."""
+    own = spark.createDataFrame([(-k, t) for k, t in enumerate(CHINESE, 1)], "doc_id long, text string")
+    return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(own)
+
+
+@register("estimate_tokens", f"""
+SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 0 ELSE floor(length(regexp_replace(text, '[^一-鿿]', '', 'g')) / 1.4::double + length(regexp_replace(text, '[一-鿿]', '', 'g')) / 4.0::double)::bigint + 1 END AS tokens FROM {_MIXED}""")
 def estimate_tokens_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents; the SQL states the rule for those without CJK characters only."""
-    return table(spark, sf_dir, "documents").select("doc_id", estimate_tokens("text").alias("tokens"))
+    return mixed(spark, sf_dir).select("doc_id", estimate_tokens("text").alias("tokens"))
 
 
 @register("word_counts", r"""
-SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> ''))::bigint AS words FROM documents""")
+SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> ''))::bigint + length(regexp_replace(coalesce(text, ''), '[^一-鿿]', '', 'g')) AS words FROM """ + _MIXED)
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", word_count("text").alias("words"))
+    return mixed(spark, sf_dir).select("doc_id", word_count("text").alias("words"))
 
 
 _TOKENS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9_]+')"
