@@ -1,7 +1,7 @@
 """Text retrieval with DataFrames: weighted TF-IDF, vectors, fusion, coverage and diversity.
 
 Documents come as (key, text); several queries as (query, text), so one job
-answers them all.  Only tokens that a query has are gathered from the corpus.
+answers them all.
 """
 
 from __future__ import annotations
@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import token_weight, tokens
+from ..functions.text import cover_tokens, token_weight, tokens
+from .written import written
 
 #: Constants of reciprocal-rank fusion, of the coverage factor and of the reranking mix.
 RRF, COVERED, RERANK, THRESHOLD = 60, 0.55, 0.7, 0.15
@@ -18,17 +19,22 @@ RRF, COVERED, RERANK, THRESHOLD = 60, 0.55, 0.7, 0.15
 def tfidf(docs: DataFrame, queries: DataFrame, key: str = "key", text: str = "text") -> DataFrame:
     """(query, key, score): cosine of tf · idf · weight, times 0.45 + 0.55 of the query's tokens that the text has.
 
-    idf is ln((N + 1) / (df + 1)) + 1.  Only scores above 0.
+    idf is ln((N + 1) / (df + 1)) + 1.  Only scores above 0.  The corpus is
+    tokenised once and its counts are written: norms need every token, the
+    products only those of a query.
     """
-    counts = docs.select(F.col(key).alias("key"), F.explode(tokens(text)).alias("token")).groupBy("key", "token").agg(F.count(F.lit(1)).alias("tf"))
+    split = docs.select(F.col(key).alias("key"), F.explode(tokens(text)).alias("token"))
+    counts = written(split.groupBy("key", "token").agg(F.count(F.lit(1)).alias("tf")), "counts")
     n = docs.agg(F.count(F.lit(1)).alias("__n"))  # one row
     idf = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((F.col("__n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+    idf = written(idf, "idf")
     weighed = counts.join(idf, "token").select("key", "token", (F.col("tf") * F.col("idf") * token_weight("token")).alias("v"))
     norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     asked = queries.select("query", F.explode(tokens("text")).alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("tf"))
-    asked = asked.join(idf, "token", "left").select("query", "token", (F.col("tf") * F.coalesce("idf", F.lit(0.0)) * token_weight("token")).alias("qv"))
+    asked = written(asked.join(idf, "token", "left").select("query", "token", F.col("idf").alias("__idf"), (F.col("tf") * F.coalesce("idf", F.lit(0.0)) * token_weight("token")).alias("qv")), "asked")
     sides = asked.groupBy("query").agg(F.sqrt(F.sum(F.col("qv") * F.col("qv"))).alias("qnorm"), F.count(F.lit(1)).alias("qn"))
-    met = weighed.join(asked, "token").groupBy("query", "key").agg(F.sum(F.col("v") * F.col("qv")).alias("dot"), F.count(F.lit(1)).alias("hit"))
+    hits = counts.join(asked, "token").select("query", "key", (F.col("tf") * F.col("__idf") * token_weight("token")).alias("v"), "qv")
+    met = hits.groupBy("query", "key").agg(F.sum(F.col("v") * F.col("qv")).alias("dot"), F.count(F.lit(1)).alias("hit"))
     scored = met.join(sides, "query").join(norms, "key")
     cosine = F.try_divide(F.col("dot"), F.col("norm") * F.col("qnorm"))
     return scored.select("query", "key", (cosine * (1 - COVERED + COVERED * F.col("hit") / F.col("qn"))).alias("score")).where("score > 0")
@@ -38,18 +44,33 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key", vector: str = "vector") -> DataFrame:
-    """(query, key, score): the ``k`` vectors of greatest cosine above 0 for each of a stated, small set of queries.
+def scored_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """(query, key, score) of pairs of vectors, by cosine, above 0."""
+    norm = lambda v: F.sqrt(dot(v, v))
+    return pairs.select("query", "key", F.try_divide(dot(a, b), norm(a) * norm(b)).alias("score")).where("score > 0")
 
-    ``queries`` (query, vector) is checked to be small, then goes to every task.
-    Each task keeps its own best ``k`` before anything is shuffled.
+
+#: Queries that are compared in one pass over the vectors.
+QUERY_BLOCK = 1000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key", vector: str = "vector", above: float | None = 0.0) -> DataFrame:
+    """(query, key, score, place): the ``k`` vectors of greatest cosine ``above`` a bound for each of a stated set of queries.
+
+    ``queries`` (query, vector) go to the tasks QUERY_BLOCK at a time, and each
+    task keeps its own best ``k`` of each before anything is shuffled.
     """
-    if queries.count() > 10_000:
-        raise ValueError("at most 10000 queries at a time")
     side = lambda df, name, v: df.select(F.col(name), F.col(v).alias(f"__{v}_{name}"), F.sqrt(dot(v, v)).alias(f"__n_{name}"))
-    a, b = side(vectors.withColumnRenamed(vector, "v").withColumnRenamed(key, "key"), "key", "v"), side(queries.withColumnRenamed("vector", "v"), "query", "v")
-    scored = a.join(F.broadcast(b)).select("query", "key", F.try_divide(dot("__v_key", "__v_query"), F.col("__n_key") * F.col("__n_query")).alias("score")).where("score > 0")
-    return best(scored, k)
+    a = side(vectors.withColumnRenamed(vector, "v").withColumnRenamed(key, "key"), "key", "v")
+    b = written(side(queries.withColumnRenamed("vector", "v"), "query", "v"), "queries")
+    blocks = max(1, -(-b.count() // QUERY_BLOCK))
+    out = None
+    for n in range(blocks):
+        some = b if blocks == 1 else b.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n)
+        scored = a.join(F.broadcast(some)).select("query", "key", F.try_divide(dot("__v_key", "__v_query"), F.col("__n_key") * F.col("__n_query")).alias("score"))
+        one = best(scored if above is None else scored.where(F.col("score") > above), k)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def best(scored: DataFrame, k: int, by: str = "query") -> DataFrame:
@@ -68,10 +89,82 @@ def fuse(lists: list[DataFrame], k: int = RRF) -> DataFrame:
 
 def rerank_by_coverage(hits: DataFrame, asked: Column, text: Column, weight: float = RERANK) -> DataFrame:
     """Ranked ``hits`` (query, place, ...) with a new score: coverage of the query's tokens mixed with the old place."""
-    query, own = F.array_distinct(tokens(asked)), F.array_distinct(tokens(text))
+    query, own = cover_tokens(asked), cover_tokens(text)
     covered = F.coalesce(F.try_divide(F.size(F.array_intersect(query, own)), F.size(query)), F.lit(0.0))
     n = F.count(F.lit(1)).over(Window.partitionBy("query"))
-    return hits.withColumn("score", weight * covered + (1 - weight) * (1 - (F.col("place") - 1) / n))
+    return hits.withColumn("score", F.when(F.size(query) > 0, weight * covered).otherwise(0.0) + (1 - weight) * (1 - (F.col("place") - 1) / n))
+
+
+def with_evidence(hits: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Hits with a score of ``threshold`` or more; one without a score passes."""
+    return hits.where(F.col("score").isNull() | (F.col("score") >= threshold))
+
+
+def retrieve(docs: DataFrame, vectors: DataFrame | None, queries: DataFrame, asked: DataFrame | None, k: int, mode: str = "hybrid", per_list: int = 8) -> DataFrame:
+    """(query, key, score, place) by ``keyword`` (TF-IDF), ``vector`` (idf-weighed cosine of hashed vectors) or ``hybrid`` (both, fused by rank)."""
+    from .vectors import search
+
+    lists = []
+    if mode in ("keyword", "hybrid"):
+        lists.append(best(tfidf(docs, queries), per_list if mode == "hybrid" else k))
+    if mode in ("vector", "hybrid"):
+        lists.append(search(vectors, asked, per_list if mode == "hybrid" else k))
+    if not lists:
+        raise ValueError(f"no mode {mode}")
+    return best(fuse(lists), k) if mode == "hybrid" else lists[0]
+
+
+def smart_search(docs: DataFrame, vectors: DataFrame, queries: DataFrame, asked: DataFrame, source: str, k: int, threshold: float = THRESHOLD) -> DataFrame:
+    """A pool of four times ``k`` hits, twelve at least, reranked by coverage, spread over sources, without those below the threshold.
+
+    ``docs`` (key, text, ``source``), ``queries`` (query, text) already rewritten.
+    """
+    pool = retrieve(docs.select("key", "text"), vectors, queries, asked, max(4 * k, 12), per_list=max(4 * k, 12))
+    # Some dozen hits for each query from here on.
+    placed = written(pool, "pool").join(docs, "key").join(F.broadcast(queries.withColumnRenamed("text", "__asked")), "query")
+    ranked = rerank_by_coverage(placed, F.col("__asked"), F.col("text"))
+    return with_evidence(diversify(ranked.drop("place"), source, k), threshold).drop("__asked")
+
+
+def best_of(lists: list[DataFrame], key: str = "key") -> DataFrame:
+    """(query, key, score, engines): the best score of each hit over some lists (query, key, score, engine), and all engines that found it."""
+    rows = lists[0]
+    for more in lists[1:]:
+        rows = rows.unionByName(more)
+    return rows.groupBy("query", key).agg(F.max("score").alias("score"), F.array_sort(F.collect_set("engine")).alias("engines"))
+
+
+def expanded(text: Column, terms: dict[str, list[str]]) -> Column:
+    """Translations of the terms in a text, longest terms first, each taken out before shorter ones are looked for."""
+    out, left = F.array().cast("array<string>"), text
+    for term in sorted(terms, key=lambda t: (-len(t), t)):
+        out = F.concat(out, F.when(left.contains(term), F.array(*[F.lit(t) for t in terms[term]])).otherwise(F.array().cast("array<string>")))
+        left = F.regexp_replace(left, F.lit(term), F.lit("\u0000"))
+    return F.array_distinct(out)
+
+
+def recall_twice(catalog: DataFrame, questions: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
+    """recall_tables() for each question and for its translated terms; a table's better score counts."""
+    second = questions.select("query", F.array_join(expanded(F.col("text"), terms), " ").alias("text")).where("text <> ''")
+    named = lambda df, e: recall_tables(catalog, df).select("query", "key", "score", F.lit(e).alias("engine"))
+    return best_of([named(questions, "words"), named(second, "terms")])
+
+
+def memory_scores(notes: DataFrame, query: Column) -> Column:
+    """Score of a note (text, importance, uses) for a question: ten times the coverage, a little for importance and use; 0 without a hit."""
+    asked, own = F.array_distinct(tokens(query)), tokens(notes["text"])
+    hit = F.size(F.array_intersect(asked, own))
+    extra = F.least(notes["importance"], F.lit(5)) * 0.2 + F.least(notes["uses"], F.lit(5)) * 0.05
+    return F.when(F.size(asked) == 0, notes["importance"].cast("double")).when(hit == 0, 0.0).otherwise(hit / F.size(asked) * 10 + extra)
+
+
+def recall_experience(experiences: DataFrame, questions: DataFrame, k: int = 3) -> DataFrame:
+    """(query, key, score, place): past questions (key, text, hits) that share most tokens with a question, a little for their hits."""
+    have = experiences.select("key", F.explode(F.array_distinct(tokens("text"))).alias("token"))
+    asked = questions.select("query", F.explode(F.array_distinct(tokens("text"))).alias("token"))
+    sizes = asked.groupBy("query").agg(F.count(F.lit(1)).alias("__q"))
+    met = have.join(asked, "token").groupBy("query", "key").agg(F.count(F.lit(1)).alias("__o")).join(sizes, "query").join(experiences.select("key", "hits"), "key")
+    return best(met.select("query", "key", (F.col("__o") / F.col("__q") + 0.05 * F.col("hits")).alias("score")), k)
 
 
 def diversify(hits: DataFrame, source: str, k: int, most: int | None = None) -> DataFrame:

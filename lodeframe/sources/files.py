@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+from functools import partial
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numbers import coerce, normalise_names, numeric_votes
 
 #: The encodings that are tried, in turn, and keys that hold the records of a JSON document.
-ENCODINGS = ["UTF-8", "GB18030", "Big5", "ISO-8859-1"]
+ENCODINGS = ["utf-8", "gb18030", "big5", "latin-1"]
 DELIMITERS = ["\t", ",", ";", "|"]
 RECORD_KEYS = ["data", "records", "items", "rows", "result"]
 SUFFIXES = {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "parquet": "parquet", "pq": "parquet", "xml": "xml"}
@@ -22,20 +25,43 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(suffix.isin(*SUFFIXES) & ~name.startswith("~$")).orderBy(F.lower(name))
 
 
-def encoding_of(head: bytes) -> str:
-    """The first encoding of the ladder that reads ``head``, the beginning of a file, but for a cut last character."""
-    for name in ENCODINGS[:-1]:
-        try:
-            head.decode("utf-8-sig" if name == "UTF-8" else name.lower())
-        except UnicodeDecodeError as error:
-            if error.start < len(head) - 4:
-                continue
-        return name
-    return ENCODINGS[-1]
+def _count_bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bad = [0] * len(ENCODINGS)
+    for batch in batches:
+        for line in batch.column(0).to_pylist():
+            for k, name in enumerate(ENCODINGS):
+                try:
+                    line.decode(name)
+                except UnicodeDecodeError:
+                    bad[k] += 1
+    yield pa.RecordBatch.from_arrays([pa.array(ENCODINGS), pa.array(bad)], ["encoding", "bad"])
+
+
+def encoding_of(lines: DataFrame) -> str:
+    """The first encoding of the ladder that reads every line of a column of bytes; all of them are looked at."""
+    bad = lines.mapInArrow(_count_bad, "encoding string, bad long").groupBy("encoding").agg(F.sum("bad").alias("bad"))
+    found = {r.encoding for r in bad.where("bad > 0").collect()}  # a row for each encoding
+    return next(e for e in ENCODINGS if e not in found or e == ENCODINGS[-1])
 
 
-def delimiter_of(line: str) -> str:
-    return max(DELIMITERS, key=line.count) if any(map(line.count, DELIMITERS)) else ","
+def _body(batches: Iterator[pa.RecordBatch], encoding: str, skip: int) -> Iterator[pa.RecordBatch]:
+    """Decoded lines of (line, path, start), without the first ``skip`` lines of each file."""
+    now, left = None, 0
+    for batch in batches:
+        out = []
+        for line, path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if (path, start) != now:
+                now, left = (path, start), skip if start == 0 else 0
+            if left:
+                left -= 1
+            else:
+                out.append(line.decode(encoding, "replace").removeprefix("\ufeff"))
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["line"])
+
+
+def delimiter_of(lines: list[str]) -> str:
+    """The most frequent delimiter of the first line that has one."""
+    return next((max(DELIMITERS, key=line.count) for line in lines if any(map(line.count, DELIMITERS))), ",")
 
 
 def typed(df: DataFrame) -> DataFrame:
@@ -46,55 +72,44 @@ def typed(df: DataFrame) -> DataFrame:
     return coerce(named, numeric) if numeric else named
 
 
-def _decoded(raw: Column, encoding: str) -> Column:
-    """Lines of an encoding that Spark's readers refuse, as text."""
-
-    @F.pandas_udf("string")
-    def decode(lines: pd.Series) -> pd.Series:
-        return lines.map(lambda b: b.decode(encoding, "replace"))
-
-    return decode(raw)
-
-
 def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """A delimited file; encoding and delimiter are found from its first three lines, the header may be missing.
+    """A delimited file, or files of one shape; delimiter and header are found from the first lines, the encoding from all.
 
-    Spark splits and reads the file; a title row above the header, with at most
-    one cell, is skipped, as are blank rows.
+    A title row above the header (at most one cell, or half as many as the next
+    row) and the header are left out by their place, so a row that repeats them
+    stays.  The header may be missing.  Blank rows are dropped.
     """
-    # Spark keeps a line's bytes as they are, whatever the encoding; three lines only.
-    first = spark.read.text(path).select(F.col("value").cast("binary")).limit(3).collect()
-    raw = b"\n".join(bytes(r[0]) for r in first)
-    encoding = encoding_of(raw)
-    lines = raw.decode("utf-8-sig" if encoding == "UTF-8" else encoding.lower(), "replace").splitlines()
-    if not lines:
+    # Spark keeps a line's bytes as they are, whatever the encoding.
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("line"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    encoding = encoding_of(lines.select("line"))
+    # Three lines only.
+    head = [bytes(r[0]).decode(encoding, "replace").removeprefix("\ufeff") for r in lines.select("line").limit(3).collect()]
+    if not head:
         return spark.createDataFrame([], "col1 string")
-    separator = delimiter_of(lines[-1])
-    titled = len(lines) > 1 and sum(bool(c.strip()) for c in lines[0].split(separator)) <= 1 < len(lines[1].split(separator))
-    header = lines[1 if titled else 0]
-    cells = [c.strip().strip('"') for c in header.split(separator)]
+    separator = delimiter_of(head)
+    split = lambda line: [c.strip().strip('"') for c in line.split(separator)]
+    filled = [sum(map(bool, split(line))) for line in head]
+    titled = len(head) > 1 and (filled[0] <= 1 < filled[1] or 2 * filled[0] <= filled[1])
+    cells = split(head[1 if titled else 0])
     has_names = any(c and not c.replace(".", "", 1).replace("-", "", 1).isdigit() for c in cells)
     names = normalise_names(cells if has_names else [None] * len(cells))
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
     options = {"sep": separator, "mode": "PERMISSIVE", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
-    if encoding in ("UTF-8", "ISO-8859-1"):
-        rows = spark.read.schema(schema).options(**options, encoding=encoding).csv(path)
-    else:
-        line = _decoded(F.col("value").cast("binary"), encoding)
-        rows = spark.read.text(path).select(F.from_csv(line, schema, options).alias("r")).select("r.*")
-    col = lambda k: F.coalesce(F.col(f"`{names[k]}`"), F.lit(""))
-    blank = F.forall(F.array(*[col(k) for k in range(len(names))]), lambda c: c == "")
-    skip = [header] if has_names else []
-    out = rows.where(~blank)
-    if skip:
-        same = F.lit(True)
-        for k, c in enumerate(cells):
-            same &= F.regexp_replace(col(k), "^﻿", "") == c
-        out = out.where(~same)
-    if titled:
-        title = lines[0].strip(separator + " ﻿").strip('"')
-        out = out.where(~((F.concat(*[col(k) for k in range(len(names))]) == title) & (F.size(F.filter(F.array(*[col(k) for k in range(len(names))]), lambda c: c != "")) == 1)))
-    return typed(out)
+    body = lines.mapInArrow(partial(_body, encoding=encoding, skip=titled + has_names), "line string")
+    rows = body.select(F.from_csv("line", schema, options).alias("r")).select("r.*")
+    blank = F.forall(F.array(*[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in names]), lambda c: c == "")
+    return typed(rows.where(~blank))
+
+
+def read_folder(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """Tables of a folder's files by path, and what went wrong with those that can't be read; a bad file stops no other."""
+    tables, failed = {}, {}
+    for path in [r.path for r in discover(spark, folder).select("path").collect()]:
+        try:
+            tables[path] = read(spark, path)
+        except Exception as error:  # any reader's, of any kind of file
+            failed[path] = str(error).splitlines()[0][:200]
+    return tables, failed
 
 
 def read_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:

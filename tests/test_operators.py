@@ -1,13 +1,15 @@
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions import masking, numbers, text
-from lodeframe.operators import compare, retrieval, stats
+from lodeframe.operators import chunks, compare, forecast, lineage, measures, retrieval, stats, vectors
 from lodeframe.sources import files
-from lodeframe.streaming import sync
+from lodeframe.streaming import masker, sync
 
 
 def one(spark, column):
@@ -33,7 +35,7 @@ def test_masks(spark):
     assert {s: one(spark, masking.mask_text(F.lit(s))) for s in samples} == samples
     frame = spark.createDataFrame([("王小明", "13812345678", 120, None)], "patient_name string, contact_phone string, amount int, email string")
     assert masking.mask(frame).collect()[0] == ("王**", "138****5678", 120, None)
-    assert [masking.kind_of(c) for c in ("insurance_type", "month", "ClientName", "客户手机", "client_id")] == [None, None, "name", "phone", None]
+    assert [masking.kind_of(c) for c in ("insurance_type", "month", "ClientName", "客户手机", "client_id")] == [None, None, "name", "phone", "serial"]
 
 
 def test_tokens(spark):
@@ -88,10 +90,130 @@ def test_sync(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
         sync.upsert_stream(spark, stream, root, "k", "at", str(tmp_path / "checkpoint")).awaitTermination()
-    got = spark.read.parquet(sync.version_path(root, 1)).collect()
+    got = sync.read_table(spark, root).collect()
     assert {(r.k, r.v) for r in got} == {(1, "a"), (2, "d"), (5, "e")}
 
 
+def test_versions_and_signatures(spark, tmp_path):
+    root = str(tmp_path / "t")
+    for n in range(4):
+        assert sync.replace_table(spark.range(n), root) == n
+    assert sync.read_table(spark, root).count() == 3 and sorted(p.name for p in (tmp_path / "t").glob("v=*")) == ["v=2", "v=3"]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x")
+    listed = lambda: spark.read.format("binaryFile").load(str(tmp_path / "in")).select("path", "length", "modificationTime")
+    known = spark.createDataFrame(sync.signature(listed()).collect())
+    assert not sync.is_stale(listed(), known)
+    (tmp_path / "in" / "b.txt").write_text("y")
+    assert sync.is_stale(listed(), known) and sync.is_stale(listed(), known.limit(0))
+
+
+def test_stream_masker(spark, tmp_path):
+    said = "联系人：王小明，电话 13812345678。" + "其他内容，" * 30 + "身份证号：320101199001011234 完"
+    whole = spark.createDataFrame([(said,)], "t string").select(masking.mask_free_text("t")).first()[0]
+    pieces = [said[k : k + 7] for k in range(0, len(said), 7)]
+    schema = "stream long, seq int, chunk string, last boolean"
+    for part in range(3):
+        rows = [(1, k, c, k == len(pieces) - 1) for k, c in enumerate(pieces) if k * 3 // len(pieces) == part]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = masker.masked_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    rows = sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r.part)
+    assert "".join(r.text for r in rows) == whole and len(rows) > 1
+
+
+def test_safe_cuts():
+    assert masker.safe_cut("x" * 64) == 0 and masker.safe_cut("x" * 100) == 0 and masker.safe_cut("x" * 9000) == 9000
+    held = "a" * 40 + "姓名：" + "王小明" + "b" * 55 + "，"
+    assert held[: masker.safe_cut(held)].endswith("，")
+
+
+def test_chunks(spark):
+    rng = np.random.default_rng(1)
+    body = "".join("".join(rng.choice(list("甲乙丙丁戊"), rng.integers(1, 90))) + str(rng.choice(["。", "\n", "\n\n", "，", " "])) for _ in range(200))
+    made = chunks.cut(body.strip())
+    assert all(0 < len(c) <= chunks.SIZE for c in made) and set("".join(made)) == set(body.strip())
+    at = 0
+    for c in made:  # each chunk is a piece of the text and goes on where, or a little before, the last one ended
+        start = body.find(c, max(0, at - chunks.OVERLAP))
+        assert 0 <= start <= at
+        at = start + len(c)
+    assert at == len(body.strip())
+    rows = chunks.chunks(spark.createDataFrame([("a.md", body), ("b.md", ""), ("c.md", None)], "source string, text string"), "source", "text").collect()
+    assert {r.source for r in rows} == {"a.md"} and rows[0].ref == "a.md#0"
+    hits = spark.createDataFrame([(1, 1, "a#0", 0.9, "one"), (1, 2, "b#0", 0.1, "two"), (2, 1, "c#0", 0.05, "three")], "query int, place int, ref string, score double, chunk string")
+    context = {r.query: r.context for r in chunks.assembled(hits).collect()}
+    assert context == {1: "[a#0 0.900]\none", 2: chunks.NO_EVIDENCE}
+    long = "无关的话。" * 200 + "报销需要发票。"
+    short = spark.createDataFrame([(long, "报销发票")], "t string, q string").select(chunks.trimmed(F.col("t"), F.col("q"), 50)).first()[0]
+    assert len(short) <= 50 and "报销需要发票。" in short
+
+
+def test_vectors(spark):
+    docs = spark.createDataFrame([(1, "报销流程 abc abc"), (2, ""), (3, None)], "key long, text string")
+    want: dict[int, float] = {}
+    for token in ["abc", "abc", "报销", "销流", "流程"]:
+        code = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+        want[code % 512] = want.get(code % 512, 0) + (-1 if code >> 40 & 1 else 1)
+    want = {d: np.sign(s) * (1 + np.log(abs(s))) for d, s in want.items() if s}
+    norm = np.sqrt(sum(v * v for v in want.values()))
+    got = {r.dim: r.value for r in vectors.embed(docs).collect()}
+    assert got == pytest.approx({d: v / norm for d, v in want.items()})
+    rng = np.random.default_rng(2)
+    rows = [(k, [float(x) for x in rng.normal(0, 1, 8) + 4 * np.eye(8)[k % 8]]) for k in range(400)]
+    own = spark.createDataFrame(rows, "key long, vector array<double>")
+    asked = own.where("key % 20 = 0").withColumnRenamed("key", "query")
+    exact = {(r.query, r.key) for r in retrieval.nearest(own, asked, 5).collect()}
+    found = {(r.query, r.key) for r in vectors.InvertedLists(own).search(asked, 5).collect()}
+    assert len(exact & found) >= 0.95 * len(exact)
+
+
+def test_forecast(spark):
+    months = [f"{2015 + m // 12}-{m % 12 + 1:02d}" for m in range(60)]
+    rows = [("up", ym, 100.0 + 3 * m + 10 * np.sin(2 * np.pi * (m % 12) / 12)) for m, ym in enumerate(months)] + [("short", ym, 1.0) for ym in months[:11]]
+    series = spark.createDataFrame([(a, b, float(c)) for a, b, c in rows], "s string, ym string, v double")
+    made = forecast.forecast(series, ["s"], 30).collect()
+    ahead = sorted((r for r in made if r.kind == "future"), key=lambda r: r.ym)
+    assert len(ahead) == 24 and ahead[0].ym == "2020-01" and {r.s for r in made} == {"up"}
+    for m, r in enumerate(ahead, 60):
+        assert r.v == pytest.approx(100 + 3 * m + 10 * np.sin(2 * np.pi * (m % 12) / 12), rel=0.05)
+    tried = {r.model: r.rmse for r in made if r.kind == "model"}
+    assert set(tried) == set(forecast.MODELS) and ahead[0].model == min(tried, key=tried.get)
+    assert [forecast.held_count(n) for n in (12, 17, 24, 80)] == [2, 4, 4, 12]
+
+
+def test_measures_and_ranks(spark):
+    rows = [(k, k % 2, 100.5 + k, float("nan") if k % 3 else 1.0) for k in range(200)]
+    frame = spark.createDataFrame(rows, "client_id int, status int, amount double, gap double")
+    assert measures.measures(frame) == ["amount", "gap"] or measures.measures(frame) == ["amount"]
+    values = [float(v) for v in np.random.default_rng(3).integers(0, 30, 500)]
+    ranks = sorted(r.v for r in stats.average_ranks(spark.createDataFrame([(v,) for v in values], "v double").repartition(7), ["v"]).collect())
+    ordered = np.sort(values)
+    assert ranks == sorted(((np.searchsorted(ordered, v) + 1 + np.searchsorted(ordered, v, "right")) / 2) for v in values)
+    q = stats.quantiles(stats.long_form(spark.createDataFrame([(v,) for v in values], "v double"), ["v"]), [0, 0.1, 0.333, 1]).first().q
+    assert q == pytest.approx(np.quantile(values, [0, 0.1, 0.333, 1]).tolist())
+
+
+def test_column_kinds():
+    names = {"patient_name": "name", "client_id": "serial", "product_name": None, "ClientName": "name", "id_card_no": "id", "email": "email", "home_address": "address", "dob": "birth", "api_key": None, "token": "secret", "card_no": "card", "手机号": "phone", "o_totalprice": None}
+    assert {n: masking.kind_of(n) for n in names} == names
+
+
+def test_cells_of_each_kind(spark):
+    cases = [("name", "John Smith", "J*** S****"), ("name", "王小明", "王**"), ("phone", "138-1234-5678", "138****5678"), ("phone", "123456", "******"), ("id", "AB1234567", "AB1234*4567"), ("address", "北京市朝阳区建国路88号", "北京市朝阳区******"),
+             ("serial", "MR20240001", "******0001"), ("birth", "1990-05-17", "1990-05-**"), ("secret", "hunter2", "*******"), ("ip", "10.1.2.3", "10.1.*.*"), ("card", "6222 0212 3456 7890", "6222********7890"), ("email", "me@x.org", "m***@x.org")]
+    for kind, value, want in cases:
+        assert one(spark, masking.mask_cell(F.lit(value), kind)) == want, kind
+    assert one(spark, masking.mask_cell(F.lit("6222021234567890"), "card", strict=True)) == "*" * 16
+
+
+def test_owners():
+    tables = {"a": ["x", "y"], "b": ["y", "z"]}
+    assert lineage.owners(tables, ["x"]) == "a" and lineage.owners(tables, ["b.y"]) == "b"
+    with pytest.raises(ValueError):
+        lineage.owners(tables, ["y"])
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "客户.csv").write_bytes("编号,名称,消费额\n1,张三,\"1,200\"\n2,李四,$ 30\n3,王五,(4)\n".encode("gb18030"))
     (tmp_path / "指标.tsv").write_text("指标\t数值\na\t1\nb\t2\n")
@@ -114,6 +236,19 @@ def test_files(spark, tmp_path):
         read("x.pdf")
 
 
+def test_files_are_read_by_place_and_by_all_their_lines(spark, tmp_path):
+    read = lambda name, data: (tmp_path / name).write_bytes(data) and files.read(spark, str(tmp_path / name))
+    late = read("late.csv", "id,name\n1,a\n2,b\n3,张三\n".encode("gb18030"))
+    assert [r["name"] for r in late.orderBy("id").collect()] == ["a", "b", "张三"]
+    again = read("again.csv", b"k;v\nx;y\nk;v\n\nz;w\n")
+    assert sorted(tuple(r) for r in again.collect()) == [("k", "v"), ("x", "y"), ("z", "w")]
+    titled = read("titled.csv", "all of it\na,b\n1,2\nall of it,\n".encode())
+    assert titled.columns[:2] == ["a", "b"] and titled.count() == 2
+    (tmp_path / "bad.parquet").write_bytes(b"no parquet")
+    tables, failed = files.read_folder(spark, str(tmp_path))
+    assert len(tables) == 3 and [p.rpartition("/")[2] for p in failed] == ["bad.parquet"]
+
+
 def test_markdown(spark):
     blocks = spark.createDataFrame([("t1", "| a | b |\n|---|:-:|\n| 1 | 2 | 3 |\n| 4 |"), ("t2", "no table"), ("t3", None)], "id string, body string")
     got = [(r.id, r.row, r.cells) for r in files.markdown_tables(blocks, "id", "body").orderBy("row").collect()]
