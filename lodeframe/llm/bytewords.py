@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at once; a longer text is handled alone.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SPACES = b" \t\n\v\f\r"
 
 _rng = np.random.default_rng(20240229)
@@ -20,9 +22,12 @@ _VALUE[list(SPACES)] = 0
 _WORD = np.ones(256, bool)
 _WORD[list(SPACES)] = False
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Values of a second family of names, independent of the first.
-_CHECK = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+#: Values and base of a second family of names, independent of the first; longer words have a digest instead.
+_CHECK = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _CHECK[np.arange(65, 91)] = _CHECK[np.arange(97, 123)]
+_CHECK[list(SPACES)] = 0
+_CHECK_BASE = np.uint64(0xD1342543DE82EF95)
+DIGESTED = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,18 +39,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), _BASE, np.uint64)
+def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
+    out = np.full(max(n, 1), base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+@lru_cache(maxsize=2)
+def _scales(n: int, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of an odd base and of its inverse modulo 2**64."""
+    return powers(n, base), powers(n, np.uint64(pow(int(base), -1, 1 << 64)))
+
+
+def _sums(value: np.ndarray, data: np.ndarray, start: np.ndarray, base: np.uint64) -> np.ndarray:
+    """For each word the sum of its bytes' values times the powers of ``base``; bytes between words have none."""
+    up, down = _scales(max(CHUNK, 1 << (data.size - 1).bit_length()), base) if data.size else (data, data)
+    share = value[data]
+    share *= up[: data.size]
+    return np.add.reduceat(share, start) * down[start]
+
+
 @dataclass
 class Words:
-    """Of rows ``first`` .. of a batch: bytes, text offsets, and for each word its span, text and name.
-
-    For each byte: whether it is in a word, and its place there.
-    """
+    """Of rows ``first`` .. of a batch: bytes, text offsets, and for each word its span, text and name."""
 
     first: int
     data: np.ndarray
@@ -54,24 +70,24 @@ class Words:
     end: np.ndarray
     text: np.ndarray
     name: np.ndarray
-    inside: np.ndarray
-    place: np.ndarray
+    of: np.ndarray
 
     def checks(self) -> np.ndarray:
-        """A second 64-bit name of each word, so that both together are 128 bits; each place has its own random factor."""
+        """A second 64-bit name of each word, so that both together are 128 bits."""
         if not self.start.size:
             return np.empty(0, np.uint64)
-        factor = mix(np.arange(1, int(self.place.max()) + 2, dtype=np.uint64) * _BASE) | np.uint64(1)
-        share = _CHECK[self.data] * factor[self.place]
-        share[~self.inside] = 0
-        return mix(np.add.reduceat(share, self.start) + (self.end - self.start).astype(np.uint64))
+        size = self.end - self.start
+        out = mix(_sums(np.where(self.of, _CHECK, np.uint64(0)), self.data, self.start, _CHECK_BASE) + size.astype(np.uint64))
+        for k in np.flatnonzero(size > DIGESTED).tolist():
+            word = self.data[self.start[k] : self.end[k]].tobytes().lower()
+            out[k] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest())
+        return out
 
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """For each word its line within the chunk, counted over all texts, and the line within its text."""
-        breaks = np.cumsum(self.data == 10, dtype=np.int64)
-        before = np.concatenate(([0], breaks))[self.offsets[:-1]] if self.data.size else np.zeros(self.offsets.size - 1, np.int64)
-        at = breaks[self.start] if self.start.size else np.empty(0, np.int64)
-        return at + self.text, at - before[self.text]
+        breaks = np.flatnonzero(self.data == 10)
+        at = np.cumsum(np.bincount(np.searchsorted(self.start, breaks), minlength=self.start.size + 1)[:-1])
+        return at + self.text, at - np.searchsorted(breaks, self.offsets[:-1])[self.text]
 
 
 def chunks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -107,18 +123,9 @@ def words(column: pa.Array, of: np.ndarray = _WORD) -> Iterator[Words]:
         stop[:-1] &= ~inside[1:] | head[1:n]
         start = np.flatnonzero(begin)
         end = np.flatnonzero(stop) + 1
-        if start.size:
-            base = np.zeros(n, np.int32)
-            base[start] = start
-            place = np.arange(n, dtype=np.int32) - np.maximum.accumulate(base)
-            place[~inside] = 0
-            share = value[data]
-            share *= powers(int(place.max()) + 1)[place]
-            name = mix(np.add.reduceat(share, start))
-        else:
-            name, place = np.empty(0, np.uint64), np.empty(0, np.int32)
-        text = np.searchsorted(offsets, start, "right") - 1
-        yield Words(first, data, offsets, start, end, text, name, inside, place)
+        name = mix(_sums(value, data, start, _BASE)) if start.size else np.empty(0, np.uint64)
+        text = np.repeat(np.arange(offsets.size - 1), np.diff(np.searchsorted(start, offsets)))
+        yield Words(first, data, offsets, start, end, text, name, of)
 
 
 def names_of_beginnings(w: Words, at: np.ndarray, lengths: tuple[int, ...]) -> list[np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK
 from .bytewords import Words, words
-from .setjoin import BUCKETS, CLASS, ELEMENTS, PREFIX_TYPES, Sets, bucket, candidates, count_rows, distinct, fresh, members, pack_sets, prefix_rows, rarity, verified_blocks
+from .setjoin import BUCKETS, CLASS, ELEMENTS, PREFIX_TYPES, Seen, Sets, candidates, count, count_rows, distinct, members, pack_sets, prefix_rows, rarity, verified_blocks
 from .storage import broadcastable, in_batches, materialise
 
 
@@ -41,7 +41,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc, tag = batch.column("doc_id"), batch.column("tag")
         for w in words(batch.column("text")):
-            counts += np.bincount(bucket(w.name), minlength=BUCKETS)
+            count(counts, w.name)
             s, within = _lines(w)
             row = pa.array(w.text[s.opens] + w.first)
             n = s.opens.size
@@ -55,14 +55,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _prefixes(batches: Iterator[pa.RecordBatch], rank: np.ndarray, single: int) -> Iterator[pa.RecordBatch]:
     """Prefix rows of each class, once for a chunk, mostly once for a task."""
-    node, tail = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int32)
+    seen = Seen()
     for batch in batches:
         for w in words(batch.column("text")):
             s, _ = _lines(w, rank)
-            slot = s.node & (BUCKETS - 1)
-            new = fresh(s) & ((node[slot] != s.node) | (tail[slot] != s.tail))
-            node[slot], tail[slot] = s.node, s.tail
-            yield prefix_rows(s, np.flatnonzero(new), single, wide=True)
+            yield prefix_rows(s, seen.fresh(s), single, wide=True)
 
 
 def _elements(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:

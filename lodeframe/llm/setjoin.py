@@ -60,11 +60,18 @@ class Sets:
 
 
 def _ids(name: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place of each distinct (name, check), ordered by name, and each element's number among them."""
-    unique, at, inverse = np.unique(name, return_index=True, return_inverse=True)
-    if unique.size and (check != check[at][inverse]).any():  # two elements of one name
-        _, at, inverse = np.unique(np.stack((name, check), axis=1), axis=0, return_index=True, return_inverse=True)
-    return at, inverse.reshape(-1)
+    """A place of each distinct (name, check), ordered by name, and each element's number among them."""
+    order = np.argsort(name)
+    ordered, second = name[order], check[order]
+    new = np.ones(order.size, bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    if (~new[1:] & (second[1:] != second[:-1])).any():  # two elements of one name
+        order = np.lexsort((check, name))
+        ordered, second = name[order], check[order]
+        new[1:] = (ordered[1:] != ordered[:-1]) | (second[1:] != second[:-1])
+    number = np.empty(order.size, np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
 
 
 def bucket(name: np.ndarray) -> np.ndarray:
@@ -106,20 +113,32 @@ def distinct(name: np.ndarray, check: np.ndarray, group: np.ndarray, rank: np.nd
     return Sets(token[local], second[local], first, n, opens, node, tail)
 
 
-def fresh(s: Sets) -> np.ndarray:
-    """Whether a set is the first of its class."""
-    out = np.zeros(s.node.size, bool)
-    order = np.lexsort((s.tail, s.node))
-    node, tail = s.node[order], s.tail[order]
-    new = np.ones(order.size, bool)
-    new[1:] = (node[1:] != node[:-1]) | (tail[1:] != tail[:-1])
-    out[order[new]] = True
-    return out
+class Seen:
+    """The classes that a task has come across lately, to give most of them out once."""
+
+    def __init__(self) -> None:
+        self.node, self.tail = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int32)
+
+    def fresh(self, s: Sets) -> np.ndarray:
+        """Sets that are the first of their class here, as far as is known."""
+        order = np.lexsort((s.tail, s.node))
+        node, tail = s.node[order], s.tail[order]
+        new = np.ones(order.size, bool)
+        new[1:] = (node[1:] != node[:-1]) | (tail[1:] != tail[:-1])
+        slot = node & (BUCKETS - 1)
+        new &= (self.node[slot] != node) | (self.tail[slot] != tail)
+        self.node[slot], self.tail[slot] = node, tail
+        return np.sort(order[new])
 
 
 # How often elements occur
 
 
+def count(counts: np.ndarray, name: np.ndarray) -> None:
+    """Add the elements to ``counts`` of their buckets."""
+    np.add.at(counts, bucket(name), 1)
+
+
 def count_rows(counts: np.ndarray) -> pa.RecordBatch:
     """(a, counts) rows of PART buckets each, from bucket ``a`` on; 32 bits a count where they do."""
     kind = np.uint32 if counts.max() < 1 << 32 else np.uint64
