@@ -5,10 +5,11 @@ of its words, hashed: each word, and its beginnings of 4 to 8 bytes if it goes o
 after them, so that inflected words are known by their stems.  With non-negative weights w and z the sum over its
 words, its score is ``p = (s(b + z) - s(b)) / (1 - s(b))``, s the logistic
 function: no evidence, no score, however many sentences a text has.  A document
-is toxic if any sentence is, or by a leak that depends on its mix of common
-words: ``1 - (1 - leak) * product(1 - p)``.  Weights are learned from document
+is toxic if any sentence is, or by a leak, one small number for all documents:
+``1 - (1 - leak) * product(1 - p)``.  Weights and leak are learned from document
 labels by proximal gradient steps with an L1 penalty, which leaves the few words
-that tell; the same sentence scores then say where a document offends.
+that tell.  As the leak alone never makes a document toxic, each toxic one has a
+sentence to show for it.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytewords import ALPHANUMERIC, Words, mix, names_of_beginnings, words
 from .storage import in_batches
 
-#: The model is fitted on at most so many labelled documents, by hash of the doc_id, and so many characters of them.
-TRAIN_DOCUMENTS, TRAIN_CHARACTERS = 10_000, 32_000_000
+#: The model is fitted on at most so many labelled documents, by hash of the doc_id, and so many characters of them;
+#: labelled documents of over TRAIN_LONGEST characters are left out.
+TRAIN_DOCUMENTS, TRAIN_CHARACTERS, TRAIN_LONGEST = 10_000, 32_000_000, 320_000
+#: The leak is at most this.
+LEAK = 0.2
 BITS = 20
 BEGINNINGS = (4, 5, 6, 7, 8)
 BASE = -4.0
@@ -38,8 +42,7 @@ _ENDS[list(b".!?\n")] = True
 @dataclass
 class Model:
     weight: np.ndarray
-    mix: np.ndarray
-    bias: float
+    leak: float
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -91,13 +94,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 150, l1: float = 2e-4,
     """Learn from documents' labels (0 or 1); the texts are passed over twice, to choose features and to gather them."""
     size = 1 << BITS
     if not len(toxic) or not 0 < toxic.sum() < len(toxic):
-        return Model(np.zeros(size, np.float32), np.zeros(size, np.float32), float(np.log((toxic.sum() + 1) / (len(toxic) - toxic.sum() + 1)) if len(toxic) else -2.0))
+        return Model(np.zeros(size, np.float32), min(LEAK, float((toxic.sum() + 1) / (len(toxic) + 2))))
     tell = _tell(texts, toxic)
-    feature, sentence, owner, word_doc, word_count = [], [], [], [], []
+    feature, sentence, owner = [], [], []
     base = 0
     for w in words(texts, ALPHANUMERIC):
         row, table = _features(w)
-        own = table[:, 0]
         told = np.where(tell[table], table, 0)
         hits = np.flatnonzero(told.any(1)[row])
         every = _sentences(w)
@@ -108,34 +110,19 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 150, l1: float = 2e-4,
         owner.append(w.text[hits][runs] + w.first)
         base += runs.size
         feature.append(f)
-        flat, counts = np.unique((w.text + w.first) << BITS | own[row], return_counts=True)
-        word_doc.append(flat)
-        word_count.append(counts)
-    feature, sentence, owner, word_doc, word_count = (np.concatenate(x) for x in (feature, sentence, owner, word_doc, word_count))
+    feature, sentence, owner = (np.concatenate(x) for x in (feature, sentence, owner))
     n = len(toxic)
-    word = word_doc & (size - 1)
-    # Words of a fiftieth of the documents make up the mix.
-    common = np.bincount(word, minlength=size) >= max(5, 0.02 * n)
-    keep = common[word]
-    ids, id_of = np.unique(word[keep], return_inverse=True)
-    doc_of, counts = word_doc[keep] >> BITS, word_count[keep]
-    share = counts / np.maximum(np.bincount(doc_of, counts, minlength=n), 1)[doc_of]
-
     tells, feature = np.unique(feature, return_inverse=True)
-    weight, mixed, bias = np.zeros(tells.size), np.zeros(ids.size), float(np.log(toxic.mean() / (1 - toxic.mean())))
-    state = [[np.zeros_like(x), np.zeros_like(x)] for x in (weight, mixed, np.zeros(1))]
-    weight += 0.1
+    weight, tilt, most = np.full(tells.size, 0.1), -3.0, float(np.log(LEAK / (1 - LEAK)))
+    state = [[np.zeros(tells.size), np.zeros(tells.size)], [np.zeros(1), np.zeros(1)]]
     for t in range(1, rounds + 1):
         z = np.bincount(sentence, weight[feature], minlength=base)
-        log_not = np.bincount(owner, np.logaddexp(0, BASE) - np.logaddexp(0, BASE + z), minlength=n)
-        tilt = bias + np.bincount(doc_of, mixed[id_of] * share, minlength=n)
-        leak = _sigmoid(tilt)
-        log_not -= np.logaddexp(0, tilt)
+        log_not = np.bincount(owner, np.logaddexp(0, BASE) - np.logaddexp(0, BASE + z), minlength=n) - np.logaddexp(0, tilt)
         clean = np.clip(np.exp(log_not), 1e-12, 1 - 1e-6)
         # Slope of the loss along log(1 - score).
         slope = np.where(toxic == 1, clean / (1 - clean), -1.0) / n
         by_sentence = -slope[owner] * _sigmoid(BASE + z)
-        grads = (np.bincount(feature, by_sentence[sentence], minlength=tells.size), np.bincount(id_of, (-slope * leak)[doc_of] * share, minlength=ids.size) + 3e-5 * mixed, np.array([(-slope * leak).sum()]))
+        grads = (np.bincount(feature, by_sentence[sentence], minlength=tells.size), np.array([(-slope * _sigmoid(tilt)).sum()]))
         for k, (g, (m, v)) in enumerate(zip(grads, state, strict=True)):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
@@ -143,49 +130,53 @@ def fit(texts: pa.Array, toxic: np.ndarray, rounds: int = 150, l1: float = 2e-4,
             move = rate * m / (1 - 0.9**t)
             if k == 0:
                 weight = np.maximum(weight - move - rate * l1, 0)
-            elif k == 1:
-                mixed = mixed - move
             else:
-                bias -= float(move[0])
-    out = Model(np.zeros(size, np.float32), np.zeros(size, np.float32), bias)
-    out.weight[tells], out.mix[ids] = weight, mixed
-    # The mean is over common words only.
-    out.mix[~common] = np.nan
+                tilt = min(most, tilt - float(move[0]))
+    out = Model(np.zeros(size, np.float32), float(_sigmoid(tilt)))
+    out.weight[tells] = weight
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on a sample of the labelled rows whose crc32(doc_id) mod 5 is not 0.
 
-    The sample is bounded by TRAIN_DOCUMENTS and TRAIN_CHARACTERS, in the order
-    of a hash of the doc_id.  Rows without a label or a doc_id are not used; a
-    doc_id labelled twice takes the larger label.
+    The sample is bounded by TRAIN_DOCUMENTS, TRAIN_LONGEST and TRAIN_CHARACTERS,
+    in the order of a hash of the doc_id; a document that would pass the bound of
+    characters is left out, and those after it are not.  Rows without a label or a
+    doc_id are not used; a doc_id labelled twice takes the larger label; of
+    different texts with one doc_id the one with the least hash is learned from.
     """
+    spark = docs.sparkSession
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCUMENTS)
-    # At most TRAIN_DOCUMENTS rows.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"])
-    so_far = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    sized = rows.withColumn("__sum", F.sum(F.length("text")).over(so_far)).where(F.col("__sum") <= TRAIN_CHARACTERS)
-    sample = sized.select("text", "toxic").toArrow().combine_chunks()
+    # At most TRAIN_DOCUMENTS rows; lengths first, so that no text is moved that isn't learned from.
+    text = F.coalesce("text", F.lit(""))
+    sized = docs.select("doc_id", F.struct(F.xxhash64(text).alias("tie"), F.length(text).alias("n")).alias("size")).join(F.broadcast(some), "doc_id")
+    found = sized.groupBy("doc_id").agg(F.min("size").alias("size"), F.first("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    chosen, total = {}, 0
+    for r in found:
+        if r.size.n <= TRAIN_LONGEST and total + r.size.n <= TRAIN_CHARACTERS:
+            chosen[r.doc_id] = (r.doc_id, r.size.tie, float(r.toxic > 0))
+            total += r.size.n
+    picked = F.broadcast(spark.createDataFrame(list(chosen.values()), "doc_id long, tie long, toxic double"))
+    rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie")).join(picked, ["doc_id", "tie"]).dropDuplicates(["doc_id"])
+    sample = rows.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id").combine_chunks()
     if not sample.num_rows:
         return fit(pa.array([], pa.string()), np.empty(0))
-    return fit(sample.column("text").chunk(0), (sample.column("toxic").to_numpy() > 0).astype(float))
+    return fit(sample.column("text").chunk(0), sample.column("toxic").to_numpy())
 
 
-def _chunk_scores(w: Words, texts: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Score of each text; sentence, text and score of each sentence with evidence."""
+def _chunk_scores(w: Words, texts: int, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Score of each text; of each sentence with evidence its number, text and score, and whether it offends:
+    at 0.5 or more, or as the highest of a toxic text."""
     row, table = _features(w)
-    mixed = model.mix[table[:, 0]][row]
-    counted = ~np.isnan(mixed)
-    total = np.bincount(w.text[counted], mixed[counted], minlength=texts) / np.maximum(np.bincount(w.text[counted], minlength=texts), 1)
-    log_not = -np.logaddexp(0, model.bias + total)
+    log_not = np.full(texts, np.log1p(-model.leak))
     told = np.where(model.weight[table] > 0, table, 0)
     hits = np.flatnonzero(told.any(1)[row])
     if not hits.size:
         none = np.empty(0, np.int64)
-        return -np.expm1(log_not), none, none, np.empty(0)
+        return -np.expm1(log_not), none, none, np.empty(0), np.empty(0, bool)
     every = _sentences(w)[hits]
     sentence, feature = _distinct(every, row[hits], told)
     runs = _runs(sentence)
@@ -193,7 +184,10 @@ def _chunk_scores(w: Words, texts: int, model: Model) -> tuple[np.ndarray, np.nd
     text = w.text[hits[np.searchsorted(every, sentence[runs])]]
     gone = np.logaddexp(0, BASE) - np.logaddexp(0, BASE + z)
     log_not += np.bincount(text, gone, minlength=texts)
-    return -np.expm1(log_not), sentence[runs], text, -np.expm1(gone)
+    score, p = -np.expm1(log_not), -np.expm1(gone)
+    most = np.zeros(texts)
+    np.maximum.at(most, text, p)
+    return score, sentence[runs], text, p, (p >= 0.5) | ((score[text] >= 0.5) & (p == most[text]))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
@@ -201,25 +195,25 @@ def _score(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Recor
         scores, offending = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
         for w in words(batch.column("text"), ALPHANUMERIC):
             texts = w.offsets.size - 1
-            score, _, text, p = _chunk_scores(w, texts, model)
+            score, _, text, _, offends = _chunk_scores(w, texts, model)
             scores[w.first : w.first + texts] = score
-            offending[w.first : w.first + texts] = np.bincount(text[p >= 0.5], minlength=texts)
+            offending[w.first : w.first + texts] = np.bincount(text[offends], minlength=texts)
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores), pa.array(offending)], [*batch.schema.names[:-1], "score", "offending_sentences"])
 
 
-def _locate(batches: Iterator[pa.RecordBatch], model: Model, least: float) -> Iterator[pa.RecordBatch]:
+def _locate(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         doc = batch.column("doc_id")
         for w in words(batch.column("text"), ALPHANUMERIC):
-            _, sentence, text, p = _chunk_scores(w, w.offsets.size - 1, model)
+            _, sentence, text, p, offends = _chunk_scores(w, w.offsets.size - 1, model)
             every = _sentences(w)
             out: list[tuple] = []
-            for s, t, q in zip(sentence.tolist(), text.tolist(), p.tolist(), strict=True):
-                if q >= least:
-                    own = np.flatnonzero(every == s)
-                    raw, at = w.data[w.offsets[t] : w.offsets[t + 1]].tobytes(), int(w.offsets[t])
-                    begin, end = len(raw[: w.start[own[0]] - at].decode()), len(raw[: w.end[own[-1]] - at].decode())
-                    out.append((doc[t + w.first].as_py(), begin, end, q))
+            for k in np.flatnonzero(offends).tolist():
+                own, stop = np.searchsorted(every, [sentence[k], sentence[k] + 1])
+                t = int(text[k])
+                raw, at = w.data[w.offsets[t] : w.offsets[t + 1]].tobytes(), int(w.offsets[t])
+                begin, end = len(raw[: w.start[own] - at].decode()), len(raw[: w.end[stop - 1] - at].decode())
+                out.append((doc[t + w.first].as_py(), begin, end, float(p[k])))
             cols = list(zip(*out, strict=True)) or [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)], ["doc_id", "start", "end", "score"])
 
@@ -231,9 +225,10 @@ def held_out(doc_id: Column | str) -> Column:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with score (0 to 1) and offending_sentences (those at 0.5 or more) of the whole text.
+    """``docs`` with score (0 to 1) and offending_sentences of the whole text.
 
-    A null text is an empty one; an empty text has the leak of no words.
+    A sentence offends at 0.5 or more, or if it is the highest of a text with a
+    score of 0.5 or more.  A null text is an empty one, and its score is the leak.
     """
     names = [c for c in docs.columns if c not in ("score", "offending_sentences")]
     kept = docs.select(*names)
@@ -249,7 +244,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return in_batches(source, run, kept.schema.add("score", "double").add("offending_sentences", "long"))
 
 
-def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, score) of the sentences that score ``least`` or more, in code points from first to last word."""
+def offending(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, start, end, score) of the sentences that offend, in code points from first to last word."""
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return in_batches(source, partial(_locate, model=model, least=least), "doc_id long, start long, end long, score double")
+    return in_batches(source, partial(_locate, model=model), "doc_id long, start long, end long, score double")
