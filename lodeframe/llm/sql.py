@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .urlfilter import TWO_LABELS
+
 _RENDER = "'<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)"
 
 
@@ -48,7 +50,8 @@ parsed AS (
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 hosts AS (
-  SELECT host, regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  SELECT host, CASE WHEN TWO IN (WIDE) THEN regexp_extract(host, '([^.]*\\.)?([^.]*\\.)?[^.]*$') ELSE TWO END AS domain,
+    CASE WHEN TWO IN (WIDE) THEN TWO ELSE regexp_extract(host, '[^.]*$') END AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
   FROM parsed LEFT JOIN known USING (page_id) GROUP BY host),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
@@ -59,7 +62,7 @@ k2 AS (SELECT SPREAD AS rho FROM (SELECT d.*, post AS mean FROM domains d JOIN s
 d AS (SELECT domain, (bad + k * s.post) / (n + k) AS post FROM domains JOIN s USING (suffix), (SELECT STRENGTH AS k FROM k2)),
 k3 AS (SELECT SPREAD AS rho FROM (SELECT h.*, post AS mean FROM hosts h JOIN d USING (domain)) WHERE n > 0),
 h AS (SELECT host, n, k, (bad + k * d.post) / (n + k) AS post FROM hosts JOIN d USING (domain), (SELECT STRENGTH AS k FROM k3)),
-judged AS (SELECT p.*, post AS bad_mean, post - 1.0::double * sqrt(post * (1 - post) / (n + k + 1)) AS bad_bound FROM parsed p JOIN h USING (host)),
+judged AS (SELECT p.*, post AS bad_mean, post - 0.5::double * sqrt(post * (1 - post) / (n + k + 1)) AS bad_bound FROM parsed p JOIN h USING (host)),
 ruled AS (
   SELECT *, CASE
     WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
@@ -67,9 +70,9 @@ ruled AS (
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
     WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule FROM judged)
 SELECT page_id, host, path, rule,
-  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad_bound >= 0.15 THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad_bound >= (SELECT mean FROM overall) THEN 'block' ELSE 'allow' END AS verdict,
   round(bad_mean, 9) AS bad_mean, round(bad_bound, 9) AS bad_bound
-FROM ruled""".replace("SPREAD", "(sum(CASE WHEN mean * (1 - mean) > 0 THEN pow(bad - n * mean, 2) / n / (mean * (1 - mean)) END) - count(*) FILTER (mean * (1 - mean) > 0)) / nullif(sum(CASE WHEN mean * (1 - mean) > 0 THEN n - 1 END), 0)::double").replace(
-        "STRENGTH", "coalesce(least(1000.0::double, greatest(1.0::double, (1 - greatest(rho, 1e-9::double)) / greatest(rho, 1e-9::double))), 1000.0::double)"
+FROM ruled""".replace("WIDE", ", ".join(f"'{x}'" for x in TWO_LABELS)).replace("TWO", "regexp_extract(host, '([^.]*\\.)?[^.]*$')").replace("SPREAD", "(sum(CASE WHEN mean * (1 - mean) > 0 THEN pow(bad - n * mean, 2) / n / (mean * (1 - mean)) END) - count(*) FILTER (mean * (1 - mean) > 0)) / nullif(sum(CASE WHEN mean * (1 - mean) > 0 THEN n - 1 END), 0)::double").replace(
+        "STRENGTH", "coalesce(least(100.0::double, greatest(1.0::double, (1 - greatest(rho, 1e-9::double)) / greatest(rho, 1e-9::double))), 100.0::double)"
     ),
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from lodeframe.llm import chat, urlfilter
 from lodeframe.llm.queries import op4_preference_pairs, op8_url_filter
 from lodeframe.llm.sql import ORACLES
@@ -42,6 +44,24 @@ def test_reputation_shrinks_towards_the_domain(spark):
     assert all(0 <= r.bad_mean <= 1 and r.bad_bound <= r.bad_mean for r in got.values())
 
 
+def test_method_gives_both_verdicts(spark, smallest):
+    """Without a rule a host is blocked for its bad pages alone, and a new host of a bad domain with it."""
+    hosts = [f"bad{k}.worse.co.uk" for k in range(20)] + [f"h{k}.fine.com" for k in range(60)] + ["new.worse.co.uk", "other.co.uk"]
+    pages = [(n, f"http://{h}/{k}", int(h.startswith("bad"))) for n, (h, k) in enumerate((h, k) for h in hosts for k in range(5))]
+    frame = spark.createDataFrame([p[:2] for p in pages], "page_id long, url string")
+    outcomes = spark.createDataFrame([(p[0], p[2]) for p in pages[:400]], "page_id long, bad int")
+    got = {r.host: r.verdict for r in urlfilter.judge(frame, outcomes, rules=[]).collect()}
+    assert all(v == ("block" if "worse" in h else "allow") for h, v in got.items() if h != "other.co.uk")
+    real = [r.verdict for r in op8_url_filter(spark, "/root/testdata/sf0.1").where("rule is null").collect()]
+    assert set(real) == {"allow", "block"}
+
+
+def test_registered_domains(spark):
+    domain, suffix = urlfilter.registered(F.col("h"))
+    rows = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "b.co.uk", "co.uk", "x.y.com", "com", "")], "h string").select(domain, suffix).collect()
+    assert [tuple(r) for r in rows] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", "")]
+
+
 def test_no_pages_and_no_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     none = spark.createDataFrame([], "page_id long, bad int")
