@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
+import re
 
+import pyarrow as pa
 import pytest
 
-from lodeframe.llm import decontaminate, lcp, licenses, toxicity
+from lodeframe.llm import bytewords, decontaminate, lcp, licenses, toxicity
 from lodeframe.llm.queries import op6_benchmark_decontamination, op7_toxicity
 from lodeframe.llm.sql import ORACLES
 
@@ -61,30 +64,62 @@ def test_licenses_are_found_with_their_spans(spark):
     rng = random.Random(4)
     mit = licenses.TEMPLATES["MIT"]
     changed = mit.replace("free of charge", "without any charge").replace("Software", "Program", 1)
-    texts = {1: mit, 2: f"{prose(rng, 500)} é {changed} {prose(rng, 500)}", 3: prose(rng, 1000), 4: "", 5: None, 6: " ".join(mit.split()[:30]), 7: f"{mit}\n{prose(rng, 20)}\n{mit}"}
+    texts = {1: mit, 2: f"{prose(rng, 500)} é {changed} {prose(rng, 500)}", 3: prose(rng, 1000), 4: "", 5: None, 6: " ".join(mit.split()[:60]), 7: f"{mit}\n{prose(rng, 20)}\n{mit}"}
     docs = spark.createDataFrame([(d, t, "x") for d, t in texts.items()], "doc_id long, text string, license string")
     found = [r for r in licenses.scan(docs).collect() if r.license == "MIT"]
     assert sorted(r.doc_id for r in found) == [1, 2, 7, 7]
     for r in found:
         span = texts[r.doc_id][r.start : r.end]
-        assert span.startswith("Permission is hereby granted") and span.endswith("to do so") and 0.8 <= r.coverage <= 1
+        assert span.startswith("Permission is hereby granted") and span.endswith("IN THE SOFTWARE") and 0.8 <= r.coverage <= 1
     assert {r.doc_id: r.coverage for r in found if r.doc_id == 1} == {1: 1.0}
 
 
-def test_alignment_equals_the_full_one():
-    import numpy as np
-
-    rng = random.Random(5)
-    for _ in range(30):
-        a = [rng.randrange(6) for _ in range(rng.randint(1, 12))]
-        b = [rng.randrange(6) for _ in range(rng.randint(1, 12))]
-        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        matched, first, last = licenses.align(np.array(a), np.array(b), 0, band=16)
-        assert matched == best[-1][-1]
-        assert not matched or (b[first] in a and b[last - 1] in a)
+def test_repeated_notices_and_long_insertions(spark):
+    rng = random.Random(6)
+    notice, mit = licenses.TEMPLATES["MIT notice"], licenses.TEMPLATES["MIT"].split()
+    texts = [
+        "\n".join([notice] * 5), f"{notice} {notice}", "Licensed under the Apache Software License, Version 2.0", "Released under an MIT License.",
+        " ".join([*mit[:80], *prose(rng, 40).split(), *mit[80:]]), " ".join([*mit[:50], *prose(rng, 60).split(), *mit[50:]]),
+        " ".join(w if k % 6 else "changed" for k, w in enumerate(mit)), f"{prose(rng, 200_000)} {notice}", " ".join([notice] * 3000),
+    ]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    count = {(d, name): sum(r.doc_id == d and r.license == name for r in rows) for d in range(len(texts)) for name in licenses.TEMPLATES}
+    assert {k: n for k, n in count.items() if n} == {(0, "MIT notice"): 5, (1, "MIT notice"): 2, (2, "Apache-2.0 notice"): 1, (3, "MIT notice"): 1, (4, "MIT"): 1, (5, "MIT"): 1, (6, "MIT"): 1, (7, "MIT notice"): 1, (8, "MIT notice"): 3000}
+
+
+def best_alignment(template: list[str], document: list[str]) -> int:
+    """Matched words of the best alignment without a band, cell by cell."""
+    score = [(0, 0)] * (len(document) + 1)
+    for word in template:
+        last, row = score, [score[0]]
+        for j, other in enumerate(document):
+            hit = (last[j][0] + licenses.MATCH, last[j][1] + 1) if word == other else (0, 0)
+            row.append(max(last[j + 1], hit, (max(0, row[j][0] - 1), row[j][1] if row[j][0] > 1 else 0)))
+        score = row
+    return max(score)[1]
+
+
+def test_recall_of_edited_copies(spark):
+    """Copies with up to a fifth of their words changed, left out or added, against full alignment."""
+    rng = random.Random(8)
+    plain_words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    texts, owner = [], []
+    for name, template in licenses.TEMPLATES.items():
+        for _ in range(12):
+            own = plain_words(template)
+            for _ in range(round(rng.uniform(0, 0.25) * len(own))):
+                at, what = rng.randrange(len(own)), rng.random()
+                own[at : at + 1] = [] if what < 0.3 else ["other"] if what < 0.7 else [own[at], "added"]
+            texts.append(" ".join([*prose(rng, 30).replace("é", "e").split(), *own, *prose(rng, 30).replace("é", "e").split()]))
+            owner.append(name)
+    found = {(r.doc_id, r.license) for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = set()
+    for k, (text, name) in enumerate(zip(texts, owner, strict=True)):
+        template = plain_words(licenses.TEMPLATES[name])
+        if best_alignment(template, text.split()) >= 0.8 * len(template):
+            want.add((k, name))
+    assert len(want) > 100 and len(want & found) >= 0.9 * len(want), (len(want), len(want & found))
+    assert {(k, n) for k, n in found if n == owner[k]} <= want
 
 
 # Toxicity
@@ -103,6 +138,56 @@ def test_held_out_accuracy(spark):
     assert auc > 0.9 and right > 0.9, (auc, right)
 
 
+def plain_scores(text: str, model: toxicity.Model) -> tuple[float, list[float]]:
+    """Score of a text and of its sentences with evidence, one word at a time."""
+    sentences: list[set[int]] = [set()]
+    for piece in re.findall(rb"[A-Za-z0-9\x80-\xff]+|[.!?\n]", text.encode()):
+        if piece in b".!?\n":
+            sentences.append(set())
+            continue
+        row, table = toxicity._features(next(bytewords.words(pa.array([piece], pa.binary()), bytewords.ALPHANUMERIC)))
+        sentences[-1] |= {int(f) for f in table[row[0]] if f}
+    clean, found = 1 - model.leak, []
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    low = sigmoid(toxicity.BASE)
+    for s in sentences:
+        z = sum(float(model.weight[f]) for f in s)
+        if z > 0:
+            found.append((sigmoid(toxicity.BASE + z) - low) / (1 - low))
+            clean *= 1 - found[-1]
+    return 1 - clean, found
+
+
+def test_scores_equal_the_plain_noisy_or(spark, smallest):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert (model.weight > 0).sum() > 10 and model.leak <= toxicity.LEAK
+    rows = toxicity.score(docs.where("doc_id % 3 = 0").unionByName(docs.limit(0)), model).collect()
+    spans: dict = {}
+    for r in toxicity.offending(docs.where("doc_id % 3 = 0"), model).collect():
+        spans.setdefault(r.doc_id, []).append(r)
+    assert any(r.score >= 0.5 for r in rows)
+    for r in rows:
+        score, each = plain_scores(r.text or "", model)
+        most = max(each, default=0)
+        want = sum(p >= 0.5 or (score >= 0.5 and p > most - 1e-9) for p in each)
+        assert r.score == pytest.approx(score, abs=1e-6) and r.offending_sentences == want == len(spans.get(r.doc_id, []))
+        # What is toxic can be shown.
+        assert r.score < 0.5 or want
+        for s in spans.get(r.doc_id, []):
+            alone = plain_scores(r.text[s.start : s.end], model)[1]
+            assert len(alone) == 1 and alone[0] == pytest.approx(s.score, abs=1e-6)
+
+
+def test_long_documents_do_not_empty_the_sample(spark):
+    rows = [(k, "calm words about weather. " * 3 + f"vile grotz {k}! more" * (k % 2)) for k in range(100)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(100)] + [(1000 + k, 0) for k in range(5)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows + [(1000 + k, "long word " * 40_000) for k in range(5)] + [(1, "another text of this id")], "doc_id long, text string")
+    model = toxicity.train(docs, labels)
+    assert (toxicity.train(docs.repartition(9), labels).weight == model.weight).all()
+    assert {r.doc_id for r in toxicity.score(docs, model).where("score >= 0.5").collect()} == {k for k in range(100) if k % 2}
+
+
 def test_toxicity_edges(spark):
     rows = [(k, f"calm words about weather number {k}. more of it here.", 0) for k in range(40)] + [(100 + k, f"calm words about weather. you vile grotz number {k}! more here", 1) for k in range(20)]
     docs = spark.createDataFrame([(d, t, 3) for d, t, _ in rows] + [(500, None, 3), (None, "you vile grotz!", 3), (501, "", 3), (501, "word " * 200_000, 3)], "doc_id long, text string, score int")
