@@ -29,9 +29,9 @@ def safe_cut(held: str) -> int:
 
 def _pieces(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     held, part = state.get if state.exists else ("", 0)
-    rows = pd.concat(list(batches)).sort_values("seq") if not state.hasTimedOut else pd.DataFrame({"chunk": [], "last": []})
+    rows = pd.concat(list(batches)).sort_values("seq")
     held += "".join(c or "" for c in rows["chunk"])
-    done = state.hasTimedOut or bool(rows["last"].any())
+    done = bool(rows["last"].any())
     cut = len(held) if done else safe_cut(held)
     if cut:
         yield pd.DataFrame({"stream": [key[0]], "part": [part], "text": [held[:cut]]})
@@ -39,13 +39,12 @@ def _pieces(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> I
         state.remove()
     else:
         state.update((held[cut:], part + bool(cut)))
-        state.setTimeoutDuration(60_000)
 
 
 def masked_stream(chunks: DataFrame) -> DataFrame:
     """(stream, part, text) of a stream or table of (stream, seq, chunk, last): masked text, as soon as it is safe to give out.
 
-    Each stream's unsent text is its state; a last chunk, or a minute without one, sends the rest.
+    Each stream's unsent text is its state; its last chunk sends the rest.
     """
-    sent = chunks.groupBy("stream").applyInPandasWithState(_pieces, "stream long, part int, text string", "held string, part int", "append", GroupStateTimeout.ProcessingTimeTimeout)
-    return sent.withColumn("text", mask_free_text("text"))
+    sent = chunks.groupBy("stream").applyInPandasWithState(_pieces, "stream long, part int, text string", "held string, part int", "append", GroupStateTimeout.NoTimeout)
+    return sent.where("text <> ''").withColumn("text", mask_free_text("text"))
