@@ -215,10 +215,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ranged = rows.repartitionByRange(tasks(docs), *order).sortWithinPartitions(*order)
     ranged = ranged.select(F.spark_partition_id().alias("part"), "doc_id", "text")
     seen = materialise(in_batches(ranged, _stream, f"{_SCHEMA}, part int, edge int, text string"), "fingerprints")
-    # Two rows for each partition, however many documents there are.
+    # The numbers of the partitions are put in order alone, then their first texts are moved once, each by itself.
+    firsts = seen.where("edge = 2").select(F.col("part").alias("next"), F.col("text").alias("following"))
     parts = Window.orderBy("part")
-    firsts = seen.where("edge = 2").select("part", F.col("text").alias("first"))
-    wrap = F.first("first").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    after = firsts.select("part", F.coalesce(F.lead("first").over(parts), wrap).alias("following"))
-    ends = seen.where("edge = 1").select("part", "doc_id", "text").join(after, "part")
+    wrap = F.first("part").over(parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    after = seen.where("edge = 2").select("part").select("part", F.coalesce(F.lead("part").over(parts), wrap).alias("next"))
+    ends = seen.where("edge = 1").select("part", "doc_id", "text").join(after, "part").join(firsts, "next")
     return seen.where("edge = 0").select(*_NAMES).union(in_batches(ends, _join_edges, _SCHEMA))
