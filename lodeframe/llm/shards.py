@@ -1,30 +1,44 @@
 """Training-order materialisation: a keyed permutation gives every sequence its slot.
 
-Documents are cut into sequences of ``stride`` tokens, the last of a document
-padded.  Sequence k of n gets slot ``permute(k)``, a Feistel network over the
-next power of four at or above n, walked until the value is below n: a
-bijection of 0 .. n - 1 that needs no table.  Range partitions by slot write the
-shards; shard s holds slots ``s * size`` .. ``(s + 1) * size - 1`` in order, each
-a record of fixed size, so any slot is found by arithmetic and reading resumes
-anywhere.
+Documents, in order of doc_id, are cut into sequences of ``stride`` tokens, the
+last of a document padded.  Sequence k of n gets slot ``permute(k)``, a Feistel
+network over the next power of four at or above n, walked until the value is
+below n: a bijection of 0 .. n - 1 that needs no table.  k depends on the
+documents alone, so the same documents and key give the same order however
+Spark splits them.
+
+Shard s is one file with the records of slots ``s * shard`` .. ``(s + 1) * shard -
+1`` in order, all of one size: slot t begins at byte ``(t % shard) * record`` of
+its file, so reading is sequential and resumes anywhere.  A record is doc_id and
+start (64 bits each), tokens (32 bits), ``stride`` ids (16 bits, or 32 if the
+vocabulary needs them), all little-endian, and a line end, as the files are
+written by Spark's text writer.  ``manifest`` tells the sizes; it is written last.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytewords import mix
 from .order import tasks
 from .storage import in_batches, materialise
-from .tokens import closed_documents
+from .tokens import closed_documents, encoder
 
-STRIDE, SHARD, PAD_ID, END_ID, ROUNDS = 512, 8192, 0, 2, 6
+STRIDE, SHARD, PAD_ID, END_ID, ROUNDS = 128, 8192, 0, 2, 6
+#: Ids are moved compressed, each document by itself.
+CODEC = "zstd"
+#: Shards are written in so many goes, so that only a part of the sequences is in flight at once.
+GOES = 2
+HEAD = 20
+#: Stands for a null doc_id.
+NONE = -(1 << 63)
 
 
 def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -44,58 +58,142 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(batches: Iterator[pa.RecordBatch], path: str, stride: int, end_id: int, pad_id: int) -> Iterator[pa.RecordBatch]:
+_DOCUMENT = "part int, doc long, tie long, turn long, tokens long, ids binary"
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, kind: str, bounds: list[tuple]) -> Iterator[pa.RecordBatch]:
+    """Each document with its ids and the part that its place in the order falls in."""
+    codec = pa.Codec(CODEC)
     for batch in batches:
-        for first, ids, sizes in closed_documents(batch.column("text"), path, end_id):
-            count = -(-sizes // stride)
-            document = np.arange(sizes.size).repeat(count)
-            turn = np.arange(document.size) - (np.cumsum(count) - count)[document]
-            grid = np.full((document.size, stride), pad_id, "<u2")
-            place = np.arange(ids.size) - (np.cumsum(sizes) - sizes).repeat(sizes)
-            row = (np.cumsum(count) - count).repeat(sizes) + place // stride
-            grid[row, place % stride] = ids
-            offsets = (np.arange(document.size + 1) * stride * 2).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(document + first)), pa.array(turn * stride), pa.array(np.minimum(sizes[document] - turn * stride, stride)),
-                 pa.Array.from_buffers(pa.binary(), document.size, [None, pa.py_buffer(offsets), pa.py_buffer(grid)])],
-                ["doc_id", "start", "tokens", "ids"],
-            )
-
-
-def _slots(batches: Iterator[pa.RecordBatch], n: int, key: int) -> Iterator[pa.RecordBatch]:
+        place = list(zip(*(batch.column(c).to_pylist() for c in ("doc", "tie", "turn")), strict=True))
+        part = [bisect_right(bounds, p) for p in place]
+        for first, ids, size in closed_documents(batch.column("text"), path, end_id):
+            some = slice(first, first + size.size)
+            cols = [batch.column(c)[some] for c in ("doc", "tie", "turn")]
+            data, ends = ids.astype(kind), np.cumsum(size).tolist()
+            packed = [codec.compress(data[a:b].tobytes(), asbytes=True) for a, b in zip([0, *ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array(part[some], pa.int32()), *cols, pa.array(size), pa.array(packed, pa.binary())], [f.split()[0] for f in _DOCUMENT.split(", ")])
+
+
+def _counted(batches: Iterator[pa.RecordBatch], stride: int) -> Iterator[pa.RecordBatch]:
+    """Documents in order, with the number of sequences that come before in their part."""
+    now, made = -1, 0
     for batch in batches:
-        at = batch.schema.get_field_index("slot")
-        yield batch.set_column(at, "slot", pa.array(permute(batch.column("slot").to_numpy(), n, key)))
+        part, n = batch.column("part").to_numpy(), -(-batch.column("tokens").to_numpy() // stride)
+        before = np.cumsum(n) - n
+        new = np.flatnonzero(np.concatenate(([part[0] != now], part[1:] != part[:-1]))) if part.size else np.empty(0, np.int64)
+        base = np.full(part.size, made)
+        for at in new.tolist():
+            base[at:] = -before[at]
+        if part.size:
+            now, made = part[-1], int(base[-1] + before[-1] + n[-1])
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "doc", "tokens", "ids")), pa.array(base + before)], ["part", "doc", "tokens", "ids", "first"])
+
+
+def _records(batches: Iterator[pa.RecordBatch], base: dict[int, int], n: int, key: int, stride: int, pad_id: int, kind: str, low: int, high: int) -> Iterator[pa.RecordBatch]:
+    """(slot, record) of each sequence with a slot from ``low`` up to below ``high``."""
+    width, codec = np.dtype(kind).itemsize, pa.Codec(CODEC)
+    layout = np.dtype([("doc", "<i8"), ("start", "<i8"), ("tokens", "<i4"), ("ids", kind, (stride,))])
+    for whole in batches:
+        # Documents of about a megabyte of ids at once.
+        ends = np.cumsum(whole.column("tokens").to_numpy())
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(1 << 19, int(ends[-1]) if ends.size else 0, 1 << 19)), whole.num_rows)).tolist()
+        for begin, stop in zip([0, *cuts], cuts, strict=False):
+            batch = whole.slice(begin, stop - begin)
+            if not batch.num_rows:
+                continue
+            size = batch.column("tokens").to_numpy()
+            packed = zip(batch.column("ids").to_pylist(), (size * width).tolist(), strict=True)
+            ids = np.frombuffer(b"".join(codec.decompress(x, n, asbytes=True) for x, n in packed), kind)
+            count = -(-size // stride)
+            document = np.arange(size.size).repeat(count)
+            turn = np.arange(document.size) - (np.cumsum(count) - count)[document]
+            index = np.array([base[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("first").to_numpy()
+            slot = permute(index[document] + turn, n, key)
+            out = np.zeros(document.size, layout)
+            out["doc"], out["start"] = batch.column("doc").to_numpy()[document], turn * stride
+            out["tokens"] = np.minimum(size[document] - turn * stride, stride)
+            out["ids"] = pad_id
+            place = np.arange(ids.size) - (np.cumsum(size) - size).repeat(size)
+            out["ids"][(np.cumsum(count) - count).repeat(size) + place // stride, place % stride] = ids
+            wanted = np.flatnonzero((slot >= low) & (slot < high))
+            offsets = (np.arange(wanted.size + 1) * (HEAD + stride * width)).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), wanted.size, [None, pa.py_buffer(offsets), pa.py_buffer(out[wanted].tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(slot[wanted]), data], ["slot", "record"])
 
 
 def write_shards(docs: DataFrame, out: str, tokenizer: str, key: int, stride: int = STRIDE, shard: int = SHARD, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
-    """Write all sequences of ``docs`` to ``out`` and return the written rows.
-
-    Columns: shard, slot, doc_id, start, tokens (without padding), ids
-    (``stride`` little-endian unsigned 16-bit integers).  Sequences are numbered
-    in the order of the input's partitions before they are permuted.  A null or
-    empty text is a sequence of ``end_id`` and padding; repeated rows are
-    documents of their own.  The files are written by Spark's committer, so a
-    lost executor leaves no half-written shard.
+    """Write all sequences of ``docs`` under ``out`` and return them as read_slots() does.
+
+    Documents are ordered by doc_id, nulls first, then by a hash of the text;
+    equal rows may change places.  A null or empty text is a sequence of
+    ``end_id`` and padding; repeated rows are documents of their own.  Files are
+    written by Spark's committer, so a lost executor leaves no half-written shard.
+    """
+    spark = docs.sparkSession
+    kind = "<u2" if max(encoder(tokenizer).vocabulary, end_id + 1, pad_id + 1) <= 1 << 16 else "<u4"
+    text = F.coalesce("text", F.lit(""))
+    # ``turn`` differs between equal rows, so that many of them needn't meet in one part.
+    source = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("turn"), text.alias("text"))
+    order = ["doc", "tie", "turn"]
+    parts = tasks(docs)
+    ranged = source.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("least"))
+    # A row for each partition.
+    bounds = sorted(tuple(r.least) for r in ranged.collect())[1:]
+    made = in_batches(source, partial(_encoded, path=tokenizer, end_id=end_id, kind=kind, bounds=bounds), _DOCUMENT)
+    dealt = made.repartitionById(parts, "part").sortWithinPartitions("part", *order)
+    ordered = materialise(in_batches(dealt, partial(_counted, stride=stride), "part int, doc long, tokens long, ids binary, first long"), "ordered")
+    sizes = ordered.groupBy("part").agg(F.sum(F.ceil(F.col("tokens") / stride)).alias("n")).collect()
+    counts = {r.part: r.n for r in sizes}
+    base, n = {}, 0
+    for part in sorted(counts):
+        base[part], n = n, n + counts[part]
+
+    shards = -(-n // shard)
+    each = max(1, -(-shards // (GOES * parts)))
+    # Shards of one go: whole partitions of ``each`` shards.
+    own = max(1, -(-shards // (GOES * each))) * each
+    for go in range(max(1, -(-shards // own))):
+        low, high = go * own * shard, min(n, (go + 1) * own * shard)
+        records = in_batches(ordered, partial(_records, base=base, n=n, key=key, stride=stride, pad_id=pad_id, kind=kind, low=low, high=high), "slot long, record binary")
+        place = ((F.col("slot") - low) / (each * shard)).cast("int")
+        dealt = records.repartitionById(own // each, place).sortWithinPartitions("slot")
+        dealt.select(F.col("record").cast("string")).write.option("maxRecordsPerFile", shard).text(f"{out}/shards/{go}")
+    layout = {"sequences": n, "stride": stride, "shard": shard, "record": HEAD + stride * np.dtype(kind).itemsize + 1, "id_bits": 8 * np.dtype(kind).itemsize, "each": each, "own": own, "key": key}
+    spark.createDataFrame([tuple(layout.values())], ", ".join(f"{c} long" for c in layout)).coalesce(1).write.json(f"{out}/manifest")
+    return read_slots(spark, out, 0, n)
+
+
+def _little(data: Column, start: Column, size: int) -> Column:
+    """A little-endian number of ``size`` bytes at ``start`` (from 1)."""
+    turned = F.concat(*[F.substring(data, start + k, F.lit(1)) for k in range(size - 1, -1, -1)])
+    return F.conv(F.hex(turned), 16, -10).cast("long")
+
+
+def read_slots(spark: SparkSession, out: str, start: int, count: int) -> DataFrame:
+    """(slot, shard, doc_id, start, tokens, ids) of slots ``start`` .. ``start + count - 1``.
+
+    Only the files of their shards are opened, and each record is cut out at its
+    place.  ``ids`` is the padded sequence as it stands in the file.
     """
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    made = in_batches(source, partial(_sequences, path=tokenizer, stride=stride, end_id=end_id, pad_id=pad_id), "doc_id long, start long, tokens long, ids binary")
-    placed = materialise(made.withColumn("at", F.monotonically_increasing_id()), "sequences")
-    part = F.shiftright("at", 33)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-    # One row for each partition of the input.
-    bases = sizes.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    n = bases.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    index = F.col("base") + F.col("at").bitwiseAND((1 << 33) - 1)
-    numbered = placed.withColumn("part", part).join(F.broadcast(bases.drop("n")), "part").select(index.alias("slot"), "doc_id", "start", "tokens", "ids")
-    slotted = in_batches(numbered, partial(_slots, n=n, key=key), numbered.schema).withColumn("shard", (F.col("slot") / shard).cast("long"))
-    ranged = slotted.repartitionByRange(tasks(docs), "shard").sortWithinPartitions("shard", "slot")
-    ranged.write.partitionBy("shard").option("compression", "zstd").parquet(out)
-    return docs.sparkSession.read.schema(slotted.schema).parquet(out)
-
-
-def read_slots(spark: SparkSession, out: str, start: int, count: int, shard: int = SHARD) -> DataFrame:
-    """Slots ``start`` .. ``start + count - 1`` in training order; only their shards are opened."""
-    rows = spark.read.parquet(out).where(F.col("shard").between(start // shard, (start + count - 1) // shard))
-    return rows.where(F.col("slot").between(start, start + count - 1)).orderBy("slot")
+    layout = spark.read.json(f"{out}/manifest").first()
+    last = min(start + count, layout.sequences) - 1
+    none = "slot long, shard long, doc_id long, start long, tokens int, ids binary"
+    if last < start:
+        return spark.createDataFrame([], none)
+    # File c of partition p of go g is shard g * own + p * each + c.
+    name = r"/(\d+)/part-(\d+)-[^/]*-c(\d+)\.txt$"
+    go, part, file = (F.regexp_extract("path", name, k).cast("long") for k in (1, 2, 3))
+    number = go * layout.own + part * layout.each + file
+    files = spark.read.format("binaryFile").load(f"{out}/shards/*").select("path", "content", number.alias("shard")).where("length > 0")
+    wanted = files.where(F.col("shard").between(start // layout.shard, last // layout.shard))
+    first = F.greatest(F.lit(start), F.col("shard") * layout.shard)
+    stop = F.least(F.lit(last), (F.col("shard") + 1) * layout.shard - 1)
+    rows = wanted.select("shard", "content", F.explode(F.sequence(first, stop)).alias("slot"))
+    at = ((F.col("slot") % layout.shard) * layout.record + 1).cast("int")
+    record = rows.select("slot", "shard", F.substring("content", at, F.lit(layout.record - 1)).alias("r"))
+    doc = _little(F.col("r"), F.lit(1), 8)
+    return record.select(
+        "slot", "shard", F.when(doc != NONE, doc).alias("doc_id"), _little(F.col("r"), F.lit(9), 8).alias("start"), _little(F.col("r"), F.lit(17), 4).cast("int").alias("tokens"),
+        F.substring("r", F.lit(HEAD + 1), F.lit(layout.record - 1 - HEAD)).alias("ids"),
+    )

@@ -86,8 +86,54 @@ def test_shards_round_trip(spark, docs, encoded, tmp_path):
     for doc, ids in encoded.items():
         copies = 2 if doc == 5 else 1
         assert [i for _, piece in sorted(got[doc])[::copies] for i in piece] == ids
-    some = shards.read_slots(spark, out, 60, 10, shard=64).collect()
-    assert [r.slot for r in some] == list(range(60, min(70, len(rows))))
+    some = shards.read_slots(spark, out, 60, 10).collect()
+    assert sorted(r.slot for r in some) == list(range(60, min(70, len(rows))))
+
+
+def test_files_are_read_at_byte_offsets(spark, docs, tmp_path):
+    out = tmp_path / "shards"
+    rows = {r.slot: r for r in shards.write_shards(docs, str(out), PATH, key=9, shard=32).collect()}
+    record = 20 + 2 * shards.STRIDE + 1
+    files = sorted(p for p in (out / "shards").glob("*/part-*") if p.stat().st_size)
+    assert [p.stat().st_size for p in files[:-1]] == [32 * record] * (len(files) - 1) and len(files) == -(-len(rows) // 32)
+    for slot in (0, 31, 32, 77, len(rows) - 1):
+        with files[slot // 32].open("rb") as f:
+            f.seek(slot % 32 * record)
+            doc, start, tokens = struct.unpack("<qqi", f.read(20))
+            ids = f.read(2 * shards.STRIDE)
+        want = rows[slot]
+        assert (None if doc == shards.NONE else doc, start, tokens, ids) == (want.doc_id, want.start, want.tokens, bytes(want.ids))
+
+
+def test_slots_do_not_depend_on_partitions(spark, docs, tmp_path):
+    def order(n: int, partitions: str) -> list[tuple]:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        try:
+            rows = shards.write_shards(docs.repartition(n), str(tmp_path / f"s{n}"), PATH, key=5, shard=64).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        return sorted((r.slot, r.doc_id, r.start, bytes(r.ids)) for r in rows)
+
+    first = order(2, "4")
+    assert order(3, "2") == first and order(7, "5") == first
+
+
+def test_tokenizers_that_join_words_encode_whole_texts(spark, tmp_path):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["Two  Words here", "UPPER lower <|endoftext|> x", "", "  lead"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [] for r in packing.pieces(frame, path).collect()}
+    for r in packing.pieces(frame, path).orderBy("doc_id", "start").collect():
+        got[r.doc_id] += struct.unpack(f"<{r.length}I", r.ids)
+    assert got == {k: [*tokenizer.encode(t, add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+
+
+def test_special_tokens_keep_their_case(spark):
+    tokenizer = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "plain"]
+    got = {r.doc_id: r.doc_tokens for r in packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()}
+    assert got == {k: len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for k, t in enumerate(texts)}
 
 
 def test_empty_tables(spark, tmp_path):
