@@ -12,8 +12,8 @@ from ..operators.compare import number_matches, numbers_in
 from ..operators.written import written
 from ..sources import blocks
 from ..streaming import sync
-from .analytics import _MIXED, MEASURES, mixed
-from .recipes import MONTH, monthly
+from .analytics import _MIXED, mixed
+from .recipes import MONTH
 from .registry import register
 from .tables import table
 
