@@ -34,8 +34,8 @@ from .tokens import closed_documents, encoder
 STRIDE, SHARD, PAD_ID, END_ID, ROUNDS = 128, 8192, 0, 2, 6
 #: Ids are moved compressed, each document by itself.
 CODEC = "zstd"
-#: Shards are written in so many goes, so that only a part of the sequences is in flight at once.
-GOES = 2
+#: Shards are written in so many goes; more of them read the ordered documents again and move a part of the sequences each.
+GOES = 1
 HEAD = 20
 #: Stands for a null doc_id.
 NONE = -(1 << 63)
