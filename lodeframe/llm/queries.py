@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, lcp, licenses, linedup, packing, shards, simhash, sql, toxicity, urlfilter
+from . import chat, decontaminate, lcp, licenses, linedup, manifest, packing, shards, simhash, sql, toxicity, urlfilter
 from .storage import scratch_path
 
 
@@ -74,6 +74,10 @@ def op10_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(prints).select("doc_id", simhash.as_hex("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(_table(spark, sf_dir, "documents"), manifest.tampered())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

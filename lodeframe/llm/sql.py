@@ -14,7 +14,51 @@ def _spans(turns: str) -> str:
         lambda i: {start} || '-' || ({start} + length({turns}[i].text) + 7)), ',')"""
 
 
+def _framed(*values: str) -> str:
+    return " || ".join(f"coalesce(strlen(({v})::varchar) || ':' || ({v})::varchar, '-')" for v in values)
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Eight steps a byte; the byte comes in with the first of them.
+_CRC32 = """xor(list_reduce(list_concat([4294967295::bigint], flatten(list_transform(range(1, len(doc_id::varchar) + 1), lambda i: [ascii(substr(doc_id::varchar, i, 1))::bigint, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(xor(c, b) >> 1, 3988292384) ELSE xor(c, b) >> 1 END), 4294967295)"""
+
+#: Trees by level: one of each language, then that of the subroots.
+_MERKLE = f"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, lang, sha256({_framed("doc_id", "source", "lang", "n_chars", "text")}) AS leaf,
+    sha256({_framed("doc_id", "source", "lang", "n_chars", f"CASE WHEN {_CRC32} % 3 = 0 THEN {_LOWER} ELSE text END")}) AS now
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf),
+node AS (
+  SELECT lang, 0 AS level, pos, n, leaf AS d FROM placed
+  UNION ALL
+  SELECT lang, level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM node WHERE n > 1 GROUP BY lang, level, pos // 8),
+language AS (SELECT lang, d, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM node WHERE n = 1),
+upper_node AS (
+  SELECT 0 AS level, pos, n, d FROM language
+  UNION ALL
+  SELECT level + 1, pos // 8, (any_value(n) + 7) // 8, sha256(string_agg(d, '' ORDER BY pos)) FROM upper_node WHERE n > 1 GROUP BY level, pos // 8),
+fold AS (
+  SELECT id, lang, 0 AS level, pos, n, now AS d, '' AS others FROM placed
+  UNION ALL
+  SELECT f.id, any_value(f.lang), any_value(f.level) + 1, any_value(f.pos) // 8, (any_value(f.n) + 7) // 8,
+    sha256(string_agg(CASE WHEN s.pos = f.pos THEN f.d ELSE s.d END, '' ORDER BY s.pos)),
+    any_value(f.others) || coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (s.pos <> f.pos), '')
+  FROM fold f JOIN node s ON s.lang IS NOT DISTINCT FROM f.lang AND s.level = f.level AND s.pos // 8 = f.pos // 8 WHERE f.n > 1 GROUP BY f.id),
+upper_fold AS (
+  SELECT f.id, 0 AS level, l.pos, l.n, f.d, f.others, l.d AS subroot FROM fold f JOIN language l ON l.lang IS NOT DISTINCT FROM f.lang WHERE f.n = 1
+  UNION ALL
+  SELECT f.id, any_value(f.level) + 1, any_value(f.pos) // 8, (any_value(f.n) + 7) // 8,
+    sha256(string_agg(CASE WHEN s.pos = f.pos THEN f.d ELSE s.d END, '' ORDER BY s.pos)),
+    any_value(f.others) || coalesce(string_agg(s.d, '' ORDER BY s.pos) FILTER (s.pos <> f.pos), ''), any_value(f.subroot)
+  FROM upper_fold f JOIN upper_node s ON s.level = f.level AND s.pos // 8 = f.pos // 8 WHERE f.n > 1 GROUP BY f.id)
+SELECT p.doc_id, p.leaf, f.subroot, r.d AS root, sha256(f.others) AS proof_sha256, f.d AS folded_root, f.d = r.d AS verified
+FROM upper_fold f JOIN placed p USING (id), (SELECT d FROM upper_node WHERE n = 1) r WHERE f.n = 1"""
+
 ORACLES = {
+    "op11_merkle_manifest": _MERKLE,
     "op4_preference_pairs": f"""
 WITH talk AS (
   SELECT conv_id, list({{'role': coalesce(role, 'unknown'), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS t
