@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, chat, decontaminate, lcp, licenses, linedup, manifest, packing, shards, simhash, sql, toxicity, urlfilter
+from . import alignment, chat, decontaminate, lcp, licenses, linedup, manifest, packing, personal, shards, simhash, sql, toxicity, urlfilter
 from .storage import scratch_path
 
 
@@ -88,6 +88,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignments(_table(spark, sf_dir, "documents"), *aligned_tokenizers())
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_data(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
