@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .numbers import _bound
+
 #: CJK unified ideographs, and weights of tokens by their number of CJK characters.
 CJK = "一-鿿"
 WEIGHTS = {2: 1.0, 3: 1.35}
@@ -80,12 +82,16 @@ def line_key(line: Column | str) -> Column:
 
 
 def without_repeated_lines(text: Column | str) -> Column:
-    """A text without lines whose key, of six characters or more, an earlier line has."""
+    """A text without lines whose key, of six characters or more, an earlier line has.
+
+    Lines are sorted by key, so that each looks at its neighbour alone, and then
+    by place again.
+    """
     lines = F.split(F.coalesce(_column(text), F.lit("")), "\n")
-    keys = F.transform(lines, line_key)
-    both = F.arrays_zip(lines.alias("line"), keys.alias("key"))
-    kept = F.filter(both, lambda x, at: (F.char_length(x["key"]) < 6) | (F.array_position(keys, x["key"]) == at + 1))
-    return F.array_join(F.transform(kept, lambda x: x["line"]), "\n")
+    keyed = F.array_sort(F.transform(lines, lambda x, at: F.struct(line_key(x).alias("key"), at.alias("at"), x.alias("line"))))
+    first = lambda own: F.filter(own, lambda x, k: (F.char_length(x["key"]) < 6) | (k == 0) | (F.get(own, k - 1)["key"] != x["key"]))
+    placed = F.array_sort(F.transform(_bound(keyed, first), lambda x: F.struct(x["at"], x["line"])))
+    return F.array_join(F.transform(placed, lambda x: x["line"]), "\n")
 
 
 def headings(text: Column | str) -> Column:

@@ -23,10 +23,8 @@ def lag_count(n: int) -> int:
 
 def held_count(n: int) -> int:
     """Months held back for validation: a sixth, fewer where too few would be left to learn from."""
-    held = min(HELD[1], max(HELD[0], n // 6))
-    while n - held - lag_count(n) < 10 and held > 2:
-        held -= 1
-    return held
+    most = max(HELD[0], min(HELD[1], n // 6))
+    return min(most, max(2, n - lag_count(n) - 10))
 
 
 def features(series: DataFrame, by: list[str], k: int) -> DataFrame:

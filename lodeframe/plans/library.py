@@ -177,11 +177,16 @@ def tokens_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("rewritten_questions", """
-SELECT q, CASE WHEN b = '' THEN q ELSE b END AS asked FROM (SELECT q, trim(regexp_replace(regexp_replace(q, '^(?:请问|麻烦你|帮我看看|帮我|我想问一下|我想知道|想问一下|能不能|拜托|帮忙)+', ''), '谢谢|打扰了|麻烦了|来着|的话|吗|呢|啊|呀|哦|吧|嗯', '', 'g'), ' ，,。.？?、') AS b
-FROM (VALUES ('请问报销流程是什么呢？'), ('麻烦你帮我看看上月的销售额吧'), ('谢谢'), ('show orders')) AS v(q))""")
+WITH a AS (SELECT s_suppkey, ['请问', '麻烦你帮我看看', '', '我想知道'][s_suppkey % 4 + 1] || s_name || ['是什么呢？', '的销售额吧', ''][s_suppkey % 3 + 1] AS q FROM supplier UNION ALL SELECT -n_nationkey - 1, '谢谢' FROM nation)
+SELECT s_suppkey AS id, q, CASE WHEN b = '' THEN q ELSE b END AS asked FROM (SELECT s_suppkey, q, trim(regexp_replace(regexp_replace(q, '^(?:请问|麻烦你|帮我看看|帮我|我想问一下|我想知道|想问一下|能不能|拜托|帮忙)+', ''), '谢谢|打扰了|麻烦了|来着|的话|吗|呢|啊|呀|哦|吧|嗯', '', 'g'), ' ，,。.？?、') AS b FROM a)""")
 def rewritten_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(q,) for q in ("请问报销流程是什么呢？", "麻烦你帮我看看上月的销售额吧", "谢谢", "show orders")], "q string")
-    return rows.select("q", text.rewritten("q").alias("asked"))
+    """Polite questions about the suppliers, and one word of thanks for each nation, which is all that is left of it."""
+    key = F.col("s_suppkey")
+    polite = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (key % n + 1).cast("int"))
+    q = F.concat(polite(["请问", "麻烦你帮我看看", "", "我想知道"], 4), F.col("s_name"), polite(["是什么呢？", "的销售额吧", ""], 3))
+    asked = table(spark, sf_dir, "supplier").select(key.alias("id"), q.alias("q"))
+    thanks = table(spark, sf_dir, "nation").select((-F.col("n_nationkey") - 1).alias("id"), F.lit("谢谢").alias("q"))
+    return asked.unionByName(thanks).select("id", "q", text.rewritten("q").alias("asked"))
 
 
 @register("repeated_lines_in_texts", """
@@ -199,10 +204,15 @@ def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.md5("p_name").alias("m"), F.sha1("p_name").alias("s"), F.sha2("p_name", 256).alias("t"))
 
 
-@register("unit_numbers", "SELECT * FROM (VALUES ('约 1,234.5 万元', 12345000.0::double, true), ('2 亿', 200000000.0::double, true), ('涨了 23%', 23.0::double, true), ('没有数', NULL, false), ('3千', 3000.0::double, true)) AS v(t, first, fits)")
+@register("unit_numbers", """
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN p_size * 10000.0::double WHEN 1 THEN p_size * 100000000.0::double WHEN 2 THEN p_size::double WHEN 3 THEN p_size * 1000.0::double END AS first, p_partkey % 5 IN (0, 1, 3) AS fits FROM part""")
 def unit_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("约 1,234.5 万元", 12345000.0), ("2 亿", 200000000.0), ("涨了 23%", 23.0), ("没有数", 1.0), ("3千", 3000.0)], "t string, truth double")
-    return rows.select("t", F.get(numbers_in("t"), F.lit(0)).alias("first"), number_matches("t", "truth").alias("fits"))
+    """Sizes of parts told with units, read back; a percentage that is told wrong, and a text without a number, don't fit."""
+    size, kind = F.col("p_size").cast("string"), F.col("p_partkey") % 5
+    said = F.when(kind == 0, F.concat(F.lit("约 "), size, F.lit(" 万元"))).when(kind == 1, F.concat(size, F.lit(" 亿"))).when(kind == 2, F.concat(F.lit("涨了 "), size, F.lit("%"))).when(kind == 3, F.concat(size, F.lit("千"))).otherwise("没有数")
+    truth = F.col("p_size") * F.when(kind == 0, 1e4).when(kind == 1, 1e8).when(kind == 2, 1e5).otherwise(1e3)
+    rows = table(spark, sf_dir, "part").select("p_partkey", said.alias("t"), truth.alias("truth"))
+    return rows.select("p_partkey", F.get(numbers_in("t"), F.lit(0)).alias("first"), number_matches("t", "truth").alias("fits"))
 
 
 # Vectors
@@ -301,10 +311,16 @@ def pooled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = {"信用利差": ["credit spread"], "利差": ["spread"], "咖啡": ["coffee", "latte"], "收入": ["income"]}
 
 
-@register("expanded_terms", "SELECT * FROM (VALUES ('信用利差变化', 'credit spread'), ('咖啡收入和利差', 'spread,latte,coffee,income'), ('无', '')) AS v(q, terms)")
+@register("expanded_terms", """
+WITH q AS (SELECT p_partkey, ['信用利差', '咖啡收入', '无', '利差的咖啡'][p_partkey % 4 + 1] || p_name || ['', '和利差'][p_partkey % 2 + 1] AS q FROM part),
+t AS (SELECT p_partkey, list_concat(CASE WHEN q LIKE '%信用利差%' THEN ['credit spread'] ELSE [] END, CASE WHEN replace(q, '信用利差', ' ') LIKE '%利差%' THEN ['spread'] ELSE [] END,
+  CASE WHEN q LIKE '%咖啡%' THEN ['coffee', 'latte'] ELSE [] END, CASE WHEN q LIKE '%收入%' THEN ['income'] ELSE [] END) AS t FROM q)
+SELECT p_partkey, array_to_string(list_sort(t), ',') AS terms FROM t""")
 def expanded_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("信用利差变化",), ("咖啡收入和利差",), ("无",)], "q string")
-    return rows.select("q", F.array_join(F.sort_array(retrieval.expanded(F.col("q"), _TERMS), asc=False), ",").alias("t")).select("q", F.when(F.col("t") == "spread,latte,income,coffee", "spread,latte,coffee,income").otherwise(F.col("t")).alias("terms"))
+    """Terms of questions that name a part; a term within a longer one doesn't count again."""
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("p_partkey") % len(words) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat(pick(["信用利差", "咖啡收入", "无", "利差的咖啡"]), F.col("p_name"), pick(["", "和利差"])).alias("q"))
+    return rows.select("p_partkey", F.array_join(F.array_sort(retrieval.expanded(F.col("q"), _TERMS)), ",").alias("terms"))
 
 
 @register("experience_hits", """
@@ -364,10 +380,16 @@ def coerced_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coerce(table(spark, sf_dir, "orders").select("o_orderkey", price.alias("price")), ["price"])
 
 
-@register("dirty_numbers", "SELECT * FROM (VALUES ('$ 100.00', 100.0::double), ('1,234.5', 1234.5::double), ('23%', 23.0::double), ('(6.5)', -6.5::double), ('-6.5 ( 6.5 )', -6.5::double), ('1 234.5', 1234.5::double), ('(-6.5)', 6.5::double), ('-1,234', NULL), ('1e5', NULL), ('+5', NULL), ('.5', NULL), ('', NULL)) AS v(cell, number)")
+_DIRTY = ["({n}.5)", "{n}e5", "+{n}", "(-{n}.5)", "-{n}.5 ( {n}.5 )", "{n}%", "$ {n}.25", "-1,{n}"]
+
+
+@register("dirty_numbers", """
+SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN -(n + 0.5) WHEN 3 THEN n + 0.5 WHEN 4 THEN -(n + 0.5) WHEN 5 THEN n WHEN 6 THEN n + 0.25 END::double AS number FROM (SELECT o_orderkey, o_orderkey % 900 + 100 AS n FROM orders)""")
 def dirty_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = ["$ 100.00", "1,234.5", "23%", "(6.5)", "-6.5 ( 6.5 )", "1 234.5", "(-6.5)", "-1,234", "1e5", "+5", ".5", ""]
-    return spark.createDataFrame([(c,) for c in cells], "cell string").select("cell", to_number("cell").alias("number"))
+    """Numbers written in eight ways, of which three are none."""
+    n = (F.col("o_orderkey") % 900 + 100).cast("string")
+    ways = F.array(*[F.replace(F.lit(w), F.lit("{n}"), n) for w in _DIRTY])
+    return table(spark, sf_dir, "orders").select("o_orderkey", to_number(F.element_at(ways, (F.col("o_orderkey") % 8 + 1).cast("int"))).alias("number"))
 
 
 @register("masked_columns", """
@@ -378,10 +400,20 @@ def masked_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.mask(rows)
 
 
-@register("masked_sentences", "SELECT * FROM (VALUES ('身份证号：320101199001011234', '身份证号：32**************34'), ('客户李雷, 手机13812345678', '客户李*, 手机138****5678'), ('客户满意度高', '客户满意度高'), ('姓名：王小明', '姓名：王**'), ('联系地址：北京市朝阳区建国路88号', '联系地址：北京市朝阳区******'), ('卡 6222021234567 付 ¥1234567890123', '卡 6222*****4567 付 ¥1234567890123')) AS v(said, masked)")
+@register("masked_sentences", """
+SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '身份证号：32**************' || lpad((c_custkey % 100)::text, 2, '0') WHEN 1 THEN '客户李*, 手机138****' || lpad((c_custkey % 10000)::text, 4, '0')
+  WHEN 2 THEN '客户满意度高, ' || c_name WHEN 3 THEN '姓名：王**, 联系地址：北京市朝阳区******' ELSE '卡 6222*****' || lpad((c_custkey % 10000)::text, 4, '0') || ' 付 ¥1234567890123' END AS masked FROM customer""")
 def masked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = ["身份证号：320101199001011234", "客户李雷, 手机13812345678", "客户满意度高", "姓名：王小明", "联系地址：北京市朝阳区建国路88号", "卡 6222021234567 付 ¥1234567890123"]
-    return spark.createDataFrame([(s,) for s in said], "said string").select("said", masking.mask_free_text("said").alias("masked"))
+    """A sentence about each customer, of five kinds, masked by the rules for free text."""
+    key, four = F.col("c_custkey"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0")
+    said = (
+        F.when(key % 5 == 0, F.concat(F.lit("身份证号：3201011990010112"), F.lpad((key % 100).cast("string"), 2, "0")))
+        .when(key % 5 == 1, F.concat(F.lit("客户李雷, 手机1380000"), four))
+        .when(key % 5 == 2, F.concat(F.lit("客户满意度高, "), F.col("c_name")))
+        .when(key % 5 == 3, F.lit("姓名：王小明, 联系地址：北京市朝阳区建国路88号"))
+        .otherwise(F.concat(F.lit("卡 622202111"), four, F.lit(" 付 ¥1234567890123")))
+    )
+    return table(spark, sf_dir, "customer").select(key, masking.mask_free_text(said).alias("masked"))
 
 
 @register("capped_orders", """
@@ -397,11 +429,11 @@ def answered_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lineage.answered(rows, [F.desc("c_acctbal"), "customer_name"], 20)
 
 
-@register("used_tables", "SELECT * FROM (VALUES ('customer'), ('nation'), ('orders')) AS v(name)")
+@register("used_tables", "SELECT name, (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey) AS n_rows FROM (VALUES ('customer'), ('nation'), ('orders')) AS v(name)")
 def used_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tables that a query over three tables reads."""
+    """Tables that a query over three tables reads, with the rows that it gives."""
     df = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return spark.createDataFrame([(t,) for t in lineage.used_tables(df)], "name string")
+    return lineage.recorded(df, "joined", "SELECT ...").select(F.explode("tables").alias("name"), "n_rows")
 
 
 @register("recorded_sources", "SELECT 'query' AS kind, 'big' AS name, 'orders' AS tables, count(*) AS n_rows FROM orders WHERE o_totalprice > 100000")
@@ -535,19 +567,27 @@ def wasted_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("calls"), F.count_if("again").alias("wasted"))
 
 
-@register("noted_texts", "SELECT * FROM (VALUES ('Likes tea.', 'a,b', 3, 4), ('new', 'c', 1, 3)) AS v(text, tags, importance, seen)")
+@register("noted_texts", """
+WITH n AS (SELECT event_type, count(*) AS n, max(event_id) AS seen, list_sort(list_distinct(list(CASE WHEN value > 10 THEN 'high' ELSE 'low' END) || ['old'])) AS tags FROM events GROUP BY 1)
+SELECT 'About ' || event_type || '.' AS text, array_to_string(tags, ',') AS tags, least(5, 1 + n)::int AS importance, seen FROM n""")
 def noted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    old = spark.createDataFrame([("Likes tea.", ["a"], 1, 1)], "text string, tags array<string>, importance int, seen int")
-    new = spark.createDataFrame([("likes  TEA", ["b"], 2), ("new", ["c"], 3), ("likes tea!", ["a"], 4)], "text string, tags array<string>, seen int")
+    """A note on each kind of event, and every event as a new note that says the same with other signs and cases."""
+    events = table(spark, sf_dir, "events")
+    told = lambda c, end: F.concat(F.lit("About "), c, F.lit(end))
+    old = events.select("event_type").distinct().select(told(F.col("event_type"), ".").alias("text"), F.array(F.lit("old")).alias("tags"), F.lit(1).alias("importance"), F.lit(-1).cast("long").alias("seen"))
+    new = events.select(told(F.upper("event_type"), " !").alias("text"), F.array(F.when(F.col("value") > 10, "high").otherwise("low")).alias("tags"), F.col("event_id").cast("long").alias("seen"))
     return sync.noted(old, new, "text", "tags", "seen").withColumn("tags", F.array_join("tags", ","))
 
 
-@register("sync_with_nulls", "SELECT * FROM (VALUES (1, 'written'), (2, 'unchanged'), (3, 'removed'), (4, 'written')) AS v(k, change)")
+@register("sync_with_nulls", """
+SELECT o_orderkey, CASE o_orderkey % 5 WHEN 2 THEN 'removed' WHEN 4 THEN 'unchanged' WHEN 1 THEN 'unchanged' ELSE 'written' END AS change FROM orders""")
 def sync_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A value that moves from one column to another is a change; a null that stays is none."""
-    old = spark.createDataFrame([(1, "x", None), (2, None, "y"), (3, "z", None)], "k int, a string, b string")
-    new = spark.createDataFrame([(1, None, "x"), (2, None, "y"), (4, "n", None)], "k int, a string, b string")
-    return sync.changes(old, new, "k", ["a", "b"])
+    kind, status = F.col("o_orderkey") % 5, F.col("o_orderstatus")
+    orders = table(spark, sf_dir, "orders")
+    old = orders.where(kind != 3).select("o_orderkey", F.when(kind != 1, status).alias("a"), F.when(kind == 1, status).alias("b"))
+    new = orders.where(kind != 2).select("o_orderkey", F.when(~kind.isin(0, 1), status).alias("a"), F.when(kind.isin(0, 1), status).alias("b"))
+    return sync.changes(old, new, "o_orderkey", ["a", "b"])
 
 
 @register("pruned_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -556,11 +596,13 @@ def pruned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.vanished(table(spark, sf_dir, "customer").select("c_custkey"), keep, "c_custkey")
 
 
-@register("chinese_answers", """
-SELECT * FROM (VALUES (1, 'policy#1'), (2, 'policy#2'), (3, 'faq#1')) AS v(query, key)""")
+@register("chinese_answers", "SELECT n_nationkey AS query, n_nationkey AS key FROM nation")
 def chinese_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both engines, fused, over three Chinese texts."""
-    docs = spark.createDataFrame([("policy#1", "员工报销流程需要提交发票"), ("policy#2", "出差乘坐飞机经济舱并住宿标准酒店"), ("faq#1", "咖啡机的水箱需要定期清洗"), ("none", None)], "key string, text string")
-    asked = spark.createDataFrame([(1, "报销流程是什么"), (2, "飞机经济舱住宿多少钱"), (3, "咖啡机怎么清洗水箱")], "query int, text string")
+    """Both engines, fused, over three kinds of Chinese texts about the nations: a question finds its own nation's."""
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    nations = table(spark, sf_dir, "nation")
+    own_name = F.translate("n_name", " ", "_")
+    docs = nations.select(F.col("n_nationkey").alias("key"), F.concat(own_name, pick(["员工报销流程需要提交发票", "出差乘坐飞机经济舱并住宿标准酒店", "咖啡机的水箱需要定期清洗"])).alias("text"))
+    asked = nations.select(F.col("n_nationkey").alias("query"), F.concat(pick(["报销流程是什么", "飞机经济舱住宿多少钱", "咖啡机怎么清洗水箱"]), own_name).alias("text"))
     own, theirs = vectors.embed(docs), vectors.embed(asked.withColumnRenamed("query", "key")).withColumnRenamed("key", "query")
-    return retrieval.retrieve(docs, own, asked, theirs, 1).select("query", "key")
+    return retrieval.retrieve(docs, own, asked, theirs, 1).select("query", "key")
\ No newline at end of file

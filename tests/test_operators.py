@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -44,6 +45,56 @@ def test_tokens(spark):
     assert one(spark, text.chunk_ref(F.lit("a.pdf"), F.lit(2), F.lit(7))) == "a.pdf#2@p7"
 
 
+def test_questions_terms_and_units(spark):
+    frame = lambda *rows: spark.createDataFrame([(r,) for r in rows], "q string")
+    asked = {r.q: r.a for r in frame("请问报销流程是什么呢？", "麻烦你帮我看看上月的销售额吧", "谢谢", "show orders").select("q", text.rewritten("q").alias("a")).collect()}
+    assert asked == {"请问报销流程是什么呢？": "报销流程是什么", "麻烦你帮我看看上月的销售额吧": "上月的销售额", "谢谢": "谢谢", "show orders": "show orders"}
+    terms = {"信用利差": ["credit spread"], "利差": ["spread"], "咖啡": ["coffee", "latte"], "收入": ["income"]}
+    found = {r.q: r.t for r in frame("信用利差变化", "咖啡收入和利差", "无").select("q", retrieval.expanded(F.col("q"), terms).alias("t")).collect()}
+    assert {q: sorted(t) for q, t in found.items()} == {"信用利差变化": ["credit spread"], "咖啡收入和利差": ["coffee", "income", "latte", "spread"], "无": []}
+    rows = spark.createDataFrame([("约 1,234.5 万元", 12345000.0), ("2 亿", 200000000.0), ("涨了 23%", 23.0), ("没有数", 1.0), ("3千", 3000.0)], "t string, truth double")
+    told = [tuple(r) for r in rows.select(F.get(compare.numbers_in("t"), F.lit(0)), compare.number_matches("t", "truth")).collect()]
+    assert told == [(12345000.0, True), (200000000.0, True), (23.0, True), (None, False), (3000.0, True)]
+
+
+def test_masked_sentences(spark):
+    said = {"身份证号：320101199001011234": "身份证号：32**************34", "客户李雷, 手机13812345678": "客户李*, 手机138****5678", "客户满意度高": "客户满意度高", "姓名：王小明": "姓名：王**",
+            "联系地址：北京市朝阳区建国路88号": "联系地址：北京市朝阳区******", "卡 6222021234567 付 ¥1234567890123": "卡 6222*****4567 付 ¥1234567890123"}
+    rows = spark.createDataFrame([(s,) for s in said], "s string").select("s", masking.mask_free_text("s").alias("m")).collect()
+    assert {r.s: r.m for r in rows} == said
+
+
+def test_notes_and_changes(spark):
+    old = spark.createDataFrame([("Likes tea.", ["a"], 1, 1)], "text string, tags array<string>, importance int, seen int")
+    new = spark.createDataFrame([("likes  TEA", ["b"], 2), ("new", ["c"], 3), ("likes tea!", ["a"], 4)], "text string, tags array<string>, seen int")
+    assert sorted(map(tuple, sync.noted(old, new, "text", "tags", "seen").collect())) == [("Likes tea.", ["a", "b"], 3, 4), ("new", ["c"], 1, 3)]
+    old = spark.createDataFrame([(1, "x", None), (2, None, "y"), (3, "z", None)], "k int, a string, b string")
+    new = spark.createDataFrame([(1, None, "x"), (2, None, "y"), (4, "n", None)], "k int, a string, b string")
+    assert {r.k: r.change for r in sync.changes(old, new, "k", ["a", "b"]).collect()} == {1: "written", 2: "unchanged", 3: "removed", 4: "written"}
+
+
+def test_repeated_lines(spark):
+    def kept(body):
+        return spark.createDataFrame([(body,)], "t string").select(text.without_repeated_lines("t")).first()[0]
+
+    assert kept("- first line\nshort\n1. first line\nshort\n\nother line\n  • other  line") == "- first line\nshort\nshort\n\nother line"
+    assert kept(None) == "" and kept("") == ""
+    lines = [f"line number {k % 3000} of many" for k in range(20_000)]
+    began = time.time()
+    assert kept("\n".join(lines)) == "\n".join(lines[:3000])
+    assert time.time() - began < 20
+
+
+def test_trimmed_snippets(spark):
+    def short(body, asked, limit=20):
+        return spark.createDataFrame([(body, asked)], "t string, q string").select(chunks.trimmed(F.col("t"), F.col("q"), limit)).first()[0]
+
+    assert short("  abc  ", "q") == "abc" and short(None, None) == ""
+    assert short("无关的话。" * 9 + "报销需要发票。" + "别的内容。" * 9, "报销发票", 13) in ("无关的话。报销需要发票。", "报销需要发票。别的内容。")
+    assert short("x" * 15 + "。" + "y" * 30, "z") == "x" * 15 + "。"
+    assert short("y" * 50, "z") == "y" * 20 + "…" and len(short("y" * 3 + "。" + "y" * 50, None, 20)) <= 21
+
+
 def test_profile_and_correlation_with_gaps(spark):
     rng = np.random.default_rng(7)
     x = rng.normal(100, 15, 500)
