@@ -6,10 +6,14 @@ answers them all.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cover_tokens, token_weight, tokens
+from .closest import closest
 from .written import written
 
 #: Constants of reciprocal-rank fusion, of the coverage factor and of the reranking mix.
@@ -40,35 +44,31 @@ def tfidf(docs: DataFrame, queries: DataFrame, key: str = "key", text: str = "te
     return scored.select("query", "key", (cosine * (1 - COVERED + COVERED * F.col("hit") / F.col("qn"))).alias("score")).where("score > 0")
 
 
-def dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def scored_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """(query, key, score) of pairs of vectors, by cosine, above 0."""
-    norm = lambda v: F.sqrt(dot(v, v))
-    return pairs.select("query", "key", F.try_divide(dot(a, b), norm(a) * norm(b)).alias("score")).where("score > 0")
-
-
-#: Queries that are compared in one pass over the vectors.
-QUERY_BLOCK = 1000
+#: Bytes of query vectors that are compared in one pass over all vectors.
+QUERY_BYTES = 16 << 20
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, key: str = "key", vector: str = "vector", above: float | None = 0.0) -> DataFrame:
     """(query, key, score, place): the ``k`` vectors of greatest cosine ``above`` a bound for each of a stated set of queries.
 
-    ``queries`` (query, vector) go to the tasks QUERY_BLOCK at a time, and each
-    task keeps its own best ``k`` of each before anything is shuffled.
+    ``queries`` (query, vector) go to the tasks QUERY_BYTES at a time; each task
+    takes matrix products and keeps its own best ``k`` of each query before
+    anything is shuffled.  Null vectors, those of length 0 and those of another
+    number of dimensions than the query's have no cosine.
     """
-    side = lambda df, name, v: df.select(F.col(name), F.col(v).alias(f"__{v}_{name}"), F.sqrt(dot(v, v)).alias(f"__n_{name}"))
-    a = side(vectors.withColumnRenamed(vector, "v").withColumnRenamed(key, "key"), "key", "v")
-    b = written(side(queries.withColumnRenamed("vector", "v"), "query", "v"), "queries")
-    blocks = max(1, -(-b.count() // QUERY_BLOCK))
+    own = vectors.select(F.col(key).alias("key"), F.col(vector).alias("vector"))
+    asked = written(queries.select("query", "vector"), "queries")
+    schema = f"query {asked.schema['query'].dataType.simpleString()}, key {own.schema['key'].dataType.simpleString()}, score double"
+    size = asked.agg(F.sum(F.coalesce(F.size("vector"), F.lit(0)) * 8 + 32)).first()[0] or 0
+    blocks = max(1, -(-size // QUERY_BYTES))
     out = None
     for n in range(blocks):
-        some = b if blocks == 1 else b.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n)
-        scored = a.join(F.broadcast(some)).select("query", "key", F.try_divide(dot("__v_key", "__v_query"), F.col("__n_key") * F.col("__n_query")).alias("score"))
-        one = best(scored if above is None else scored.where(F.col("score") > above), k)
+        block = (asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == n)).toArrow()
+
+        def compare(batches: Iterator[pa.RecordBatch], block: pa.Table = block) -> Iterator[pa.RecordBatch]:
+            yield from closest(block, batches, k, above).to_batches()
+
+        one = best(own.mapInArrow(compare, schema), k)
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -3,20 +3,29 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType
 
 from ..functions.text import pair_tokens
+from .closest import by_dimensions, closest
 from .retrieval import best, nearest
 from .written import written
 
-#: Dimensions of a hashed vector, the bit of the hash that gives the sign, and lists that a search opens.
-DIMENSIONS, LEAST_DIMENSIONS, SIGN_BIT, PROBED = 512, 64, 40, 8
+#: Dimensions of a hashed vector, the bit of the hash that gives the sign, and vectors below which all are compared.
+DIMENSIONS, LEAST_DIMENSIONS, SIGN_BIT, EXACT_BELOW = 512, 64, 40, 5000
 #: The lists' centres are fitted on at most so many vectors, by hash of the key.
 FITTED = 100_000
+#: Lists at most, vectors of a part of a list, queries that a part meets at once.
+MOST_LISTS, PART, QUERY_BLOCK = 1024, 16_384, 50_000
+#: Vectors whose true neighbours set how far lists are opened, and the share of those neighbours to find.
+HELD, TARGET = 256, 0.97
 
 
 @F.pandas_udf(LongType())
@@ -76,40 +85,90 @@ def mismatched(vectors: DataFrame, vector: str, dimensions: int) -> DataFrame:
 
 
 class InvertedLists:
-    """Vectors (key, vector) in lists around KMeans centres; a search opens the lists nearest to a query.
-
-    Centres are fitted on a bounded sample; every vector is in one list.  A query
-    whose lists hold too few vectors (under 50, or a twentieth of all) is
-    answered from all of them.
+    """Vectors (key, vector) in lists around centres; a search opens the lists that are near enough to a query.
+
+    Below ``exact_below`` vectors there are no lists, and a search compares all.
+    Otherwise KMeans centres are fitted on a bounded sample, and every vector
+    stands in its two nearest lists.  How much farther than the nearest list a
+    list may be and still be opened, ``reach``, is found on held queries: for
+    HELD vectors their true ``k`` neighbours are searched exactly, and ``reach``
+    is what opens a list of ``target`` of them.
+
+    Large lists are split into parts, so that a list that holds a third of all
+    vectors is no single task.  Vectors without direction are in no list, as they
+    have no cosine.
     """
 
-    def __init__(self, vectors: DataFrame, lists: int | None = None, seed: int = 42) -> None:
+    def __init__(self, vectors: DataFrame, lists: int | None = None, seed: int = 42, exact_below: int = EXACT_BELOW, k: int = 10, target: float = TARGET) -> None:
         from pyspark.ml.clustering import KMeans
         from pyspark.ml.functions import array_to_vector
 
-        self.vectors = vectors
-        self.n = vectors.count()
-        lists = lists or max(2, min(64, int(self.n**0.5)))
-        unit = vectors.select("key", array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-        sample = unit.orderBy(F.xxhash64("key")).limit(FITTED)
-        self.model = KMeans(k=lists, seed=seed, distanceMeasure="cosine").fit(sample)
-        placed = self.model.transform(unit).select("key", F.col("prediction").alias("list"))
-        self.placed = written(vectors.join(placed, "key"), "lists")
-        self.sizes = {r.list: r.n for r in self.placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each list
-
-    def search(self, asked: DataFrame, k: int, probed: int = PROBED) -> DataFrame:
-        """(query, key, score, place) of a stated, small set of queries (query, vector)."""
-        spark = asked.sparkSession
-        centres = spark.createDataFrame([(i, [float(x) for x in c], self.sizes.get(i, 0)) for i, c in enumerate(self.model.clusterCenters())], "key long, vector array<double>, n long")
-        # All lists of a query by nearness: lists x queries rows.
-        ranked = nearest(centres.select("key", "vector"), asked, len(self.sizes) or 1, above=None).withColumnRenamed("key", "list").join(F.broadcast(centres.select(F.col("key").alias("list"), "n")), "list")
-        opened = ranked.where(F.col("place") <= probed)
-        few = opened.groupBy("query").agg(F.sum("n").alias("n")).where(F.col("n") < max(50, self.n // 20)).select("query")
-        few = written(few, "few")
-        from .retrieval import scored_pairs
-
-        pairs = self.placed.join(F.broadcast(opened.join(few, "query", "left_anti").select("query", "list").join(asked, "query").withColumnRenamed("vector", "__q")), "list")
-        out = best(scored_pairs(pairs, "vector", "__q"), k)
-        if few.take(1):
-            out = out.unionByName(nearest(self.vectors, asked.join(few, "query"), k))
-        return out
+        self.vectors = vectors.select("key", "vector")
+        told = self.vectors.where("exists(vector, x -> x <> 0) and not exists(vector, x -> x is null or isnan(x))")
+        sizes = told.groupBy(F.size("vector").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").take(1)
+        self.n = sizes[0].n if sizes else 0
+        self.exact = self.n < max(2, exact_below)
+        if self.exact:
+            return
+        told = told.where(F.size("vector") == sizes[0].d)
+        lists = lists or max(2, min(MOST_LISTS, int(self.n**0.5)))
+        sample = told.orderBy(F.xxhash64("key", F.lit(seed))).limit(FITTED)
+        model = KMeans(k=lists, seed=seed, distanceMeasure="cosine").fit(sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features")))
+        centres = np.array(model.clusterCenters())
+        self.centres = centres / np.maximum(np.sqrt((centres * centres).sum(1)), 1e-12)[:, None]
+        placed = written(self._listed(told, "key", lambda near: np.sort(near, axis=1)[:, -min(2, near.shape[1])]), "placed")
+        sizes = placed.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # a row for each list
+        parts = told.sparkSession.createDataFrame([(r.list, -(-r.n // PART)) for r in sizes], "list int, parts int")
+        self.placed = placed.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
+        self.parts = parts
+        self.reach = self._reach(told, placed, k, target, seed)
+
+    def _listed(self, df: DataFrame, name: str, least: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+        """Rows (``name``, vector) once for each list whose centre is as near as ``least`` of all nearnesses says."""
+        centres = self.centres
+        kind = df.schema[name].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for d, (rows, matrix) in by_dimensions(batch.column("vector")).items():
+                    if d == centres.shape[1]:
+                        near = matrix @ centres.T
+                        row, at = np.nonzero(near >= least(near)[:, None])
+                        of = pa.array(rows[row])
+                        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column(name).take(of), batch.column("vector").take(of)], ["list", name, "vector"])
+
+        vector = df.schema["vector"].dataType.simpleString()
+        return df.select(name, "vector").mapInArrow(run, f"list int, {name} {kind}, vector {vector}")
+
+    def _reach(self, told: DataFrame, placed: DataFrame, k: int, target: float, seed: int) -> float:
+        held = written(told.orderBy(F.xxhash64("key", F.lit(seed + 1))).limit(HELD).withColumnRenamed("key", "query"), "held")
+        true = nearest(told, held, k + 1).where("key <> query").select("query", "key")
+        # HELD x k neighbours in two lists each, and HELD vectors.
+        pairs = true.join(placed.select("key", "list"), "key").groupBy("query", "key").agg(F.collect_set("list").alias("lists")).collect()
+        asked = {r.query: np.array(r.vector, float) for r in held.collect()}
+        short = []
+        for r in pairs:
+            near = self.centres @ (asked[r.query] / np.sqrt((asked[r.query] ** 2).sum()))
+            short.append(near.max() - near[r.lists].max())
+        return float(np.quantile(short, target)) if short else 2.0
+
+    def search(self, asked: DataFrame, k: int, reach: float | None = None) -> DataFrame:
+        """(query, key, score, place) of a stated set of queries (query, vector); a ``reach`` of 2 opens every list."""
+        if self.exact:
+            return nearest(self.vectors, asked, k)
+        reach = self.reach if reach is None else reach
+        queries = written(asked.select("query", "vector"), "asked")
+        blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+        opened = self._listed(queries, "query", lambda near: near.max(1) - reach - 1e-12).join(F.broadcast(self.parts), "list")
+        opened = opened.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "query", "vector")
+        own = self.placed if blocks == 1 else self.placed.join(F.broadcast(opened.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))))
+        own = own.withColumn("block", F.lit(0)) if blocks == 1 else own
+        schema = f"query {queries.schema['query'].dataType.simpleString()}, key {own.schema['key'].dataType.simpleString()}, score double"
+
+        def compare(vectors: pa.Table, block: pa.Table) -> pa.Table:
+            return closest(block.select(["query", "vector"]), [vectors.select(["key", "vector"])], k, 0.0).cast(kind)
+
+        kind = pa.schema([("query", to_arrow_type(queries.schema["query"].dataType)), ("key", to_arrow_type(own.schema["key"].dataType)), ("score", pa.float64())])
+        by = ["list", "part", "block"]
+        found = own.groupBy(*by).cogroup(opened.groupBy(*by)).applyInArrow(compare, schema)
+        return best(found.groupBy("query", "key").agg(F.max("score").alias("score")), k)

@@ -210,13 +210,58 @@ def test_vectors(spark):
     norm = np.sqrt(sum(v * v for v in want.values()))
     got = {r.dim: r.value for r in vectors.embed(docs).collect()}
     assert got == pytest.approx({d: v / norm for d, v in want.items()})
+
+
+def recall(own, asked, index, k=5):
+    exact = {(r.query, r.key) for r in retrieval.nearest(own, asked, k).collect()}
+    found = {(r.query, r.key) for r in index.search(asked, k).collect()}
+    return len(exact & found) / len(exact)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_inverted_lists_hold_their_recall(spark, size):
+    """Against exact search, on the given vectors; with fewer lists opened than there are."""
+    own = spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
+    index = vectors.InvertedLists(own, exact_below=0)
+    assert not index.exact and 0 <= index.reach < 1
+    assert recall(own, own.where("key % 50 = 0").withColumnRenamed("key", "query"), index) >= 0.9
+    assert index.placed.groupBy("key").count().where("count <> 2").count() == 0
+
+
+def test_lists_of_clusters_and_of_copies(spark):
+    """Half of the vectors are one vector; some have no direction."""
     rng = np.random.default_rng(2)
-    rows = [(k, [float(x) for x in rng.normal(0, 1, 8) + 4 * np.eye(8)[k % 8]]) for k in range(400)]
+    rows = [(k, [float(x) for x in (np.ones(8) if k % 2 else rng.normal(0, 1, 8) + 4 * np.eye(8)[k % 8])]) for k in range(1200)] + [(5000, None), (5001, []), (5002, [0.0] * 8), (5003, [1.0])]
     own = spark.createDataFrame(rows, "key long, vector array<double>")
-    asked = own.where("key % 20 = 0").withColumnRenamed("key", "query")
-    exact = {(r.query, r.key) for r in retrieval.nearest(own, asked, 5).collect()}
-    found = {(r.query, r.key) for r in vectors.InvertedLists(own).search(asked, 5).collect()}
-    assert len(exact & found) >= 0.95 * len(exact)
+    asked = own.where("key % 20 = 0 or key > 4000 or key = 1").withColumnRenamed("key", "query")
+    index = vectors.InvertedLists(own, exact_below=0)
+    assert recall(own, asked, index) >= 0.9
+    copies = [r.key for r in index.search(asked.where("query = 1"), 4).orderBy("place").collect()]
+    assert copies == [1, 3, 5, 7]
+    assert vectors.InvertedLists(own).exact and recall(own, asked, vectors.InvertedLists(own)) == 1
+    assert vectors.InvertedLists(own.limit(0)).search(asked, 5).collect() == []
+
+
+def test_nearest_equals_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"v{k:03}", [float(x) for x in rng.integers(-2, 3, 3)]) for k in range(300)]
+    own = spark.createDataFrame(rows, "key string, vector array<double>").repartition(7)
+    asked = own.where("key < 'v040'").withColumnRenamed("key", "query")
+    cos = lambda a, b: float(np.dot(a, b) / (np.linalg.norm(a) * np.linalg.norm(b)))
+    want = set()
+    for q, a in rows[:40]:
+        if any(a):
+            ranked = sorted((-round(cos(a, b), 9), key) for key, b in rows if any(b) and cos(a, b) > 1e-12)
+            want |= {(q, key, place) for place, (_, key) in enumerate(ranked[:6], 1)}
+    got = retrieval.nearest(own, asked, 6).withColumn("r", F.round("score", 9))
+    from pyspark.sql import Window
+
+    again = got.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("r"), "key")))
+    assert {(r.query, r.place) for r in again.collect()} == {(q, p) for q, _, p in want}
+    best = {(r.query, r.key): r.score for r in got.collect()}
+    lookup = dict(rows)
+    assert all(abs(s - cos(lookup[q], lookup[k])) < 1e-9 for (q, k), s in best.items())
+    assert {q: sorted(round(s, 9) for (x, _), s in best.items() if x == q) for q, _, _ in want} == {q: sorted(round(cos(lookup[q], lookup[k]), 9) for x, k, _ in want if x == q) for q, _, _ in want}
 
 
 def test_forecast(spark):
