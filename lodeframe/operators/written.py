@@ -5,22 +5,26 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: the planner knows its size, branches share one result, lost executors cost nothing.
+def scratch(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables, below ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; only in local mode, if it is absent, a
-    temporary one is made and put into the setting.
+    Only in local mode, if the setting is absent, a temporary folder is made and
+    put into the setting.
     """
-    spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lodeframe-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/lodeframe/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/lodeframe"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once and read it back: the planner knows its size, branches share one result, lost executors cost nothing."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

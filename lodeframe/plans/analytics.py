@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.masking import MAIL, mask_text
 from ..functions.numbers import to_number
 from ..functions.text import estimate_tokens, word_count
-from ..operators import retrieval, stats
+from ..operators import postings, retrieval, stats
 from ..streaming.sync import changes, latest
 from .registry import register
 from .tables import table
@@ -128,6 +128,29 @@ def tfidf_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query", "key", F.round("score", 6).alias("score"))
 
 
+_ALL_ITEMS = """
+WITH d AS (SELECT doc_id AS key, unnest(TOKENS) AS token FROM documents),
+c AS (SELECT key, token, count(*) AS tf FROM d GROUP BY ALL),
+i AS (SELECT token, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)::double) + 1 AS idf FROM c GROUP BY token),
+w AS (SELECT key, c.token, tf * idf * CASE WHEN length(c.token) = 1 THEN 0.5::double ELSE 1 END AS v FROM c JOIN i USING (token)),
+n AS (SELECT key, sqrt(sum(v * v)) AS norm FROM w GROUP BY key),
+q AS (SELECT query, token, count(*) AS tf FROM (SELECT item_id AS query, unnest(TOKENS) AS token FROM benchmark) GROUP BY ALL),
+a AS (SELECT query, q.token, tf * coalesce(idf, 0) * CASE WHEN length(q.token) = 1 THEN 0.5::double ELSE 1 END AS qv FROM q LEFT JOIN i USING (token)),
+s AS (SELECT query, sqrt(sum(qv * qv)) AS qnorm, count(*) AS qn FROM a GROUP BY query),
+m AS (SELECT query, key, sum(v * qv) AS dot, count(*) AS hit FROM w JOIN a USING (token) GROUP BY ALL),
+f AS (SELECT query, key, round(dot / (norm * qnorm) * (0.45::double + 0.55::double * hit / qn), 9) AS score FROM m JOIN s USING (query) JOIN n USING (key))
+SELECT query, round(score, 6) AS score, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, key) AS place FROM f WHERE score > 0) WHERE place <= 3 GROUP BY ALL""".replace("TOKENS", _TOKENS.format("text"))
+
+
+@register("indexed_benchmark_items", _ALL_ITEMS)
+def indexed_benchmark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the three best documents for every benchmark item, by a text index written for it; copies of a document share a score."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    top = postings.build(docs).search(asked, 3)
+    return top.groupBy("query", F.round("score", 6).alias("score")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @register("nearest_vectors", """
 WITH q AS (SELECT vec_id AS query, embedding AS e FROM embeddings WHERE vec_id % 50 = 0),
 s AS (SELECT query, vec_id AS key, list_cosine_similarity(e::double[], embedding::double[]) AS score FROM q, embeddings)
