@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,8 +11,8 @@ from ..functions import masking, text
 from ..functions.numbers import coerce, numeric_votes, to_number
 from ..operators import chunks, forecast, lineage, measures, retrieval, stats, vectors
 from ..operators.compare import number_matches, numbers_in
-from ..operators.written import written
-from ..sources import blocks
+from ..operators.written import scratch, written
+from ..sources import blocks, files
 from ..streaming import sync
 from .analytics import _MIXED, mixed
 from .recipes import MONTH
@@ -389,6 +391,18 @@ def dumped_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cells", F.array_join("cells", ","))
 
 
+@register("quoted_orders", """
+SELECT o_orderkey::double AS "order, no", 'say "' || o_orderpriority || '"' || chr(10) || '  and, ' || o_orderstatus AS remark, o_totalprice AS price, CASE WHEN o_orderkey % 3 = 0 THEN o_clerk_like END AS note
+FROM (SELECT *, 'x,' || chr(10) || chr(10) || 'y' AS o_clerk_like FROM orders)""")
+def quoted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as quoted text, with delimiters, quotes, blanks and line ends in cells and header, and read back."""
+    remark = F.concat(F.lit('say "'), "o_orderpriority", F.lit('"\n  and, '), "o_orderstatus")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order, no"), remark.alias("remark"), F.concat(F.lit("$ "), F.format_number("o_totalprice", 2)).alias("price"), F.when(F.col("o_orderkey") % 3 == 0, "x,\n\ny").alias("note"))
+    path = f"{scratch(spark)}/orders-{uuid.uuid4().hex}"
+    rows.write.options(header=True, quoteAll=True, escape='"', nullValue="", emptyValue="").csv(path)
+    return files.read_delimited(spark, path).select("`order, no`", "remark", "price", "note")
+
+
 @register("voted_columns", """
 SELECT 'code' AS "column", count(*) FILTER (code <> '') AS filled, count(*) FILTER (regexp_full_match(code, '[0-9]+')) AS numeric, false AS is_numeric FROM (SELECT CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey::text ELSE 'x' END AS code FROM orders)
 UNION ALL SELECT 'price', count(*), count(*), true FROM orders""")

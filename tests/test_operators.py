@@ -345,6 +345,60 @@ def test_files_are_read_by_place_and_by_all_their_lines(spark, tmp_path):
     assert len(tables) == 3 and [p.rpartition("/")[2] for p in failed] == ["bad.parquet"]
 
 
+def test_quoted_cells(spark, tmp_path):
+    read = lambda name, data: (tmp_path / name).write_bytes(data.encode()) and files.read(spark, str(tmp_path / name))
+    rows = lambda df: sorted(map(tuple, df.select(*[F.col(f"`{c}`").cast("string") for c in df.columns]).collect()), key=repr)
+    ends = read("ends.csv", 'id,say\n1,"two\nlines"\n2,"a ""b"", c"\n3,plain\n')
+    assert rows(ends.select("id", "say")) == [("1.0", "two\nlines"), ("2.0", 'a "b", c'), ("3.0", "plain")]
+    header = read("header.csv", '"name, full",n\n"Li, Lei",1\n"Han\r\n\r\nMei",2\n')
+    assert header.columns[:2] == ["name, full", "n"] and rows(header.select("name, full", "n")) == [("Han\n\nMei", "2.0"), ("Li, Lei", "1.0")]
+    inches = read("inches.csv", 'size,what\n5" wide,a\n7 "x" y,b\n,"c\n')
+    assert [r[1].strip('"') for r in rows(inches)] == ["a", "b", "c"]
+    tall = read("tall.csv", '"a\nb",c\n' + '"1\n2",3\n')
+    assert tall.count() == 1 and tall.columns[0] == "a b"
+
+
+@pytest.mark.parametrize("broadcast", [files.SPLITS_BYTES, -1])
+def test_quoted_cells_over_many_splits(spark, tmp_path, monkeypatch, broadcast):
+    """Cells longer than a split, and records cut anywhere."""
+    import csv
+    import random
+
+    monkeypatch.setattr(files, "SPLITS_BYTES", broadcast)
+    rng = random.Random(8)
+    piece = lambda: "".join(rng.choice(['a"', "b,", "\n", " c", "d;e", "\n\n", '""', "é"]) for _ in range(rng.choice([1, 3, 40])))
+    rows = [(f"k{n}", "x" + piece() + "x" if n % 3 else "plain", "y" * 900 + "\n" + "z" * 900 + "\n" + "w" * 1900 if n % 40 == 0 else "s") for n in range(400)]
+    for name in ("a.csv", "b.csv"):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator="\n").writerows([("key", "cell", "long"), *rows])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        df = files.read_delimited(spark, str(tmp_path))
+        assert df.rdd.getNumPartitions() > 5
+        assert sorted(map(tuple, df.collect())) == sorted(rows * 2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_open_quotes():
+    inside = lambda line, state=False: files.ends_inside(line, state, ",")
+    assert [inside(x) for x in ("a,b", '"a', '"a"', 'a"', '"a""', '"a""",', '"a", "b', 'x"y,"', '  "q')] == [False, True, False, False, True, False, True, True, True]
+    assert [inside(x, True) for x in ("a", 'a"', 'a"",', '"', '","', '"",')] == [True, False, True, False, True, True]
+
+
+def test_xml_and_json_of_other_shapes(spark, tmp_path):
+    (tmp_path / "a.xml").write_text('<?xml version="1.0"?>\n<!-- <no/> -->\n<list kind="x">\n <item><a>1</a><b>x</b></item>\n <item><a>2</a></item>\n</list>')
+    (tmp_path / "b.json").write_text("[1, 2.5, 3]")
+    (tmp_path / "c.jsonl").write_text('"x"\n"y"\n')
+    (tmp_path / "d.json").write_text('{"data": [1, 2]}')
+    read = lambda name: files.read(spark, str(tmp_path / name))
+    assert sorted((r.a, r.b) for r in read("a.xml").collect()) == [(1, "x"), (2, None)]
+    assert sorted(r["value"] for r in read("b.json").collect()) == [1, 2.5, 3]
+    assert sorted(r["value"] for r in read("c.jsonl").collect()) == ["x", "y"]
+    assert sorted(r["value"] for r in read("d.json").collect()) == [1, 2]
+
+
 def test_markdown(spark):
     blocks = spark.createDataFrame([("t1", "| a | b |\n|---|:-:|\n| 1 | 2 | 3 |\n| 4 |"), ("t2", "no table"), ("t3", None)], "id string, body string")
     got = [(r.id, r.row, r.cells) for r in files.markdown_tables(blocks, "id", "body").orderBy("row").collect()]
