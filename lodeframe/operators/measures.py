@@ -66,9 +66,9 @@ def analyse(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame,
     return profile(df, kept), pairs.orderBy(F.desc(F.abs("r")), "a", "b").limit(6)
 
 
-def anomalies(df: DataFrame, value: str, label: str) -> DataFrame:
+def anomalies(df: DataFrame, value: str, label: str, forest: bool = True) -> DataFrame:
     """outliers() with labels masked as their column's name tells, else as free text."""
-    found = outliers(df.withColumn(label, F.col(label).cast("string")), value, label)
+    found = outliers(df.withColumn(label, F.col(label).cast("string")), value, label, forest)
     kind = kind_of(label)
     return found.withColumn(label, mask_cell(F.col(label), kind) if kind else mask_text(label))
 

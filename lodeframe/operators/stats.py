@@ -7,6 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import isolation
 from .written import written
 
 #: Grades of a correlation's size, and the most outliers that a report lists.
@@ -42,7 +43,11 @@ def cumulative(cells: DataFrame) -> DataFrame:
 
 def quantiles(cells: DataFrame, shares: list[float]) -> DataFrame:
     """(column, q): exact quantiles, interpolated, of each column of (column, value) rows, as an array."""
-    found = written(cumulative(cells), "upto")
+    return quantiles_of(written(cumulative(cells), "upto"), shares)
+
+
+def quantiles_of(found: DataFrame, shares: list[float]) -> DataFrame:
+    """quantiles() of what cumulative() has counted."""
     totals = found.groupBy("column").agg(F.max("upto").alias("__n"))  # one row for each column
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
     at = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), ((F.col("__n") - 1) * p).alias("h")) for k, p in enumerate(shares)]))
@@ -115,33 +120,32 @@ def grade(r: Column | str) -> Column:
     return out
 
 
-def outlier_votes(df: DataFrame, value: str) -> DataFrame:
+def outlier_votes(df: DataFrame, value: str, forest: bool = True) -> DataFrame:
     """``df`` with z, votes and the three votes that make them up; rows without a value are left out.
 
     Votes: over 3 standard deviations from the mean; over 1.5 interquartile
-    ranges beyond the quartiles; over 3.5 scaled median deviations from the
-    median.  The last stands in for an isolation forest, which Spark lacks.
+    ranges beyond the quartiles; odd to an isolation forest (of 20 values or
+    more).  Without ``forest`` the last is no vote.
     """
     v = F.col(value)
-    have = df.where(v.isNotNull())
-    cells = have.select(F.lit("v").alias("column"), v.cast("double").alias("value"))
-    q = quantiles(cells, QUARTILES).select(F.col("q").alias("__q"))
-    base = have.agg(F.count(F.lit(1)).alias("__n"), F.avg(value).alias("__mean"), F.stddev_samp(value).alias("__std"))
-    base = written(base.crossJoin(q), "base")  # one row
-    low, mid, high = (F.get("__q", F.lit(k)) for k in range(3))
-    off = cells.crossJoin(F.broadcast(base)).select("column", F.abs(F.col("value") - mid).alias("value"))
-    mad = quantiles(off, [0.5]).select(F.get("q", F.lit(0)).alias("__mad"))
-    out = have.crossJoin(F.broadcast(base)).crossJoin(F.broadcast(mad))  # one row each
-    z = F.coalesce(F.try_divide(F.abs(v - F.col("__mean")), F.col("__std")), F.lit(0.0))
+    have = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
+    found = written(cumulative(have.select(F.lit("v").alias("column"), v.cast("double").alias("value"))), "upto")
+    base = have.agg(F.count(F.lit(1)).alias("n"), F.avg(value).cast("double").alias("mean"), F.stddev_samp(value).alias("std")).first()
+    if base.n < FEWEST:
+        return have.limit(0).select(*df.columns, F.lit(0.0).alias("z"), *[F.lit(False).alias(c) for c in ("by_z", "by_range", "by_forest")], F.lit(0).alias("votes"))
+    low, high = quantiles_of(found, [QUARTILES[0], QUARTILES[-1]]).first().q
+    z = F.abs(v - base.mean) / base.std if base.std else F.lit(0.0)
+    odd = F.lit(False)
+    if forest and base.n >= isolation.FEWEST:
+        odd = isolation.scores(value, isolation.fit(found, base.n), base.n) > isolation.ODD
     reach = 1.5 * (high - low)
-    far = F.coalesce(0.6745 * F.try_divide(F.abs(v - mid), F.col("__mad")) > 3.5, F.lit(False))
-    out = out.where(F.col("__n") >= FEWEST).select(*df.columns, z.alias("z"), (z > 3).alias("by_z"), ((v < low - reach) | (v > high + reach)).alias("by_range"), far.alias("by_median"))
-    return out.withColumn("votes", F.col("by_z").cast("int") + F.col("by_range").cast("int") + F.col("by_median").cast("int"))
+    out = have.select(*df.columns, z.alias("z"), odd.alias("by_forest")).withColumn("by_z", F.col("z") > 3).withColumn("by_range", (v < low - reach) | (v > high + reach))
+    return out.select(*df.columns, "z", "by_z", "by_range", "by_forest", (F.col("by_z").cast("int") + F.col("by_range").cast("int") + F.col("by_forest").cast("int")).alias("votes"))
 
 
-def outliers(df: DataFrame, value: str, label: str) -> DataFrame:
+def outliers(df: DataFrame, value: str, label: str, forest: bool = True) -> DataFrame:
     """At most 15 rows (label, value, z, votes) with two votes or more; if there are none, 5 with one."""
-    voted = outlier_votes(df, value).where("votes >= 1").select(label, value, "z", "votes")
+    voted = outlier_votes(df, value, forest).where("votes >= 1").select(label, value, "z", "votes")
     sure = F.max("votes").over(Window.partitionBy()) >= 2
     top = voted.orderBy(F.desc("votes"), F.desc("z"), label).limit(REPORTED)  # so the window has 15 rows
     placed = top.withColumn("__sure", sure).withColumn("__k", F.row_number().over(Window.orderBy(F.desc("votes"), F.desc("z"), label)))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeframe.functions import masking, numbers, text
-from lodeframe.operators import chunks, compare, forecast, lineage, measures, retrieval, stats, vectors
+from lodeframe.operators import chunks, compare, forecast, isolation, lineage, measures, retrieval, stats, vectors
 from lodeframe.sources import files
 from lodeframe.streaming import masker, sync
 
@@ -125,6 +125,49 @@ def test_retrieval(spark):
     assert {r.key for r in retrieval.recall_tables(docs, asked.where("query = 3")).collect()} >= {"faq#1"}
 
 
+def plain_path(values, x, rng, depth, most):
+    """Path of one value through a tree that is grown on the way; the generator is asked in the order of the grown tree."""
+    values = sorted(values)
+    if depth < most and len(values) > 1 and values[0] < values[-1]:
+        cut = rng.uniform(values[0], values[-1])
+        low, high = [v for v in values if v < cut], [v for v in values if v >= cut]
+        if low and high:
+            below, above = plain_path(low, x, rng, depth + 1, most), plain_path(high, x, rng, depth + 1, most)
+            return below if x < cut else above
+    return depth + float(isolation.expected(len(values)))
+
+
+def test_forest_equals_plain_trees():
+    rng = np.random.default_rng(4)
+    for values in ([1.0], [2.0, 2.0, 2.0], rng.normal(0, 1, 40).tolist(), rng.integers(0, 4, 60).astype(float).tolist()):
+        asked = [-3.0, 0.0, 1.0, 2.0, 0.37, 9.0]
+        trees = [isolation.grown(np.array(values), np.random.default_rng([7, t])) for t in range(5)]
+        cuts, lengths = isolation.summed(trees)
+        most = int(np.ceil(np.log2(max(len(values), 2))))
+        want = [np.mean([plain_path(values, x, np.random.default_rng([7, t]), 0, most) for t in range(5)]) for x in asked]
+        assert lengths[np.searchsorted(cuts, asked, "right")] == pytest.approx(want)
+
+
+def test_forest_votes(spark):
+    rng = np.random.default_rng(5)
+    values = [*rng.normal(100, 5, 3000), 500.0, -300.0, 160.0]
+    frame = lambda parts: spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)] + [(-1, None), (-2, float("nan"))], "k long, v double").repartition(parts)
+    one, two = ({r.k: (r.by_forest, r.votes) for r in stats.outlier_votes(frame(p), "v").collect()} for p in (2, 7))
+    assert one == two and len(one) == len(values)
+    assert all(one[k] == (True, 3) for k in (3000, 3001, 3002))
+    # The median is no outlier to the forest, and the farther from it, the odder.
+    found = stats.cumulative(frame(3).where("k >= 0").select(F.lit("v").alias("column"), F.col("v").alias("value")))
+    forest = isolation.fit(found, len(values))
+    score = {r.v: r.s for r in frame(3).where("k >= 0").select("v", isolation.scores("v", forest, len(values)).alias("s")).collect()}
+    assert score[500.0] > score[160.0] > 0.5 > score[sorted(values)[1500]]
+    far = np.argsort(np.argsort([abs(v - 100) for v in values]))
+    odd = np.argsort(np.argsort([score[v] for v in values]))
+    assert np.corrcoef(far, odd)[0, 1] > 0.8
+    assert stats.outlier_votes(frame(1).limit(7), "v").count() == 0
+    same = spark.createDataFrame([(1.0,)] * 30, "v double")
+    assert stats.outlier_votes(same, "v").where("votes > 0").count() == 0
+
+
 def test_compare(spark):
     a = spark.createDataFrame([(1, 2.50, None), (1, 2.50, None)], "a int, b double, c string")
     b = spark.sql("select 1L as a, cast(2.5 as decimal(10,2)) as b, cast(null as string) as c union all select 1L, 2.5, null")
