@@ -13,7 +13,7 @@ from ..operators import chunks, forecast, lineage, measures, retrieval, stats, v
 from ..operators.compare import number_matches, numbers_in
 from ..operators.written import scratch, written
 from ..sources import blocks, files
-from ..streaming import sync
+from ..streaming import keyed, slots, sync
 from .analytics import _MIXED, mixed
 from .recipes import MONTH
 from .registry import register
@@ -628,6 +628,32 @@ def sync_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.changes(old, new, "o_orderkey", ["a", "b"])
 
 
+@register("keyed_orders", """
+SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM orders WHERE NOT (o_orderkey % 3 <> 0 AND o_orderstatus = 'P')""")
+def keyed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders taken in by four batches: all, new prices for some, the same batch again, and some taken away."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    own = keyed.KeyedTable(spark, f"{scratch(spark)}/keyed-{uuid.uuid4().hex}", "o_orderkey", "o_orderkey long, o_totalprice double", 16)
+    own.apply(orders, 0)
+    dearer = orders.where("o_orderkey % 3 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
+    own.apply(dearer, 1)
+    own.apply(orders, 1)
+    own.apply(orders.where("o_orderkey % 3 <> 0 and o_orderstatus = 'P'").withColumn("gone", F.lit(True)), 2, gone="gone")
+    return own.read()
+
+
+@register("published_tables", """
+SELECT 'nation' AS source, count(*) AS n_rows, (SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey) AS joined FROM nation UNION ALL SELECT 'region', count(*), (SELECT count(*) FROM nation JOIN region ON n_regionkey = r_regionkey) FROM region""")
+def published_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables and their catalog, written as one version and read back: the catalog, with the rows of their join."""
+    own = {n: table(spark, sf_dir, n) for n in ("nation", "region")}
+    root = f"{scratch(spark)}/published-{uuid.uuid4().hex}"
+    slots.publish(own, blocks.catalog(own, "places"), root)
+    tables, catalog, _ = slots.published(spark, root)
+    joined = tables["nation"].join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey")).agg(F.count(F.lit(1)).alias("joined"))
+    return catalog.select("source", "n_rows").crossJoin(F.broadcast(joined))  # one row
+
+
 @register("pruned_keys", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 def pruned_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))

@@ -45,11 +45,6 @@ def is_stale(files: DataFrame, known: DataFrame) -> bool:
     return signature(files).exceptAll(known).count() > 0
 
 
-def merged(old: DataFrame, new: DataFrame, key: str, prune: bool = False) -> DataFrame:
-    """``new`` over ``old``; with ``prune`` keys that ``new`` lacks go."""
-    return new if prune else old.join(new.select(key), key, "left_anti").unionByName(new)
-
-
 def version_path(root: str, version: int) -> str:
     return f"{root}/v={version}"
 
@@ -90,30 +85,6 @@ def read_table(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(version_path(root, current_version(spark, root)))
 
 
-def upsert_stream(spark: SparkSession, stream: DataFrame, root: str, key: str, order: str, checkpoint: str):
-    """Start a query that merges each micro-batch into a new version of the table under ``root``.
-
-    Batch n merges into version n - 1 and writes version n, so a batch that is run
-    again after a failure writes the same files anew; the two last versions stay.
-    A new checkpoint folder needs a new ``root``: batch 0 refuses one that has
-    versions of later batches.
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        rows = latest(batch, key, order)
-        now = current_version(spark, root)
-        if now is not None and now > number:
-            raise ValueError(f"{root} has version {now}, which batch {number} would fall behind")
-        if number:
-            rows = merged(spark.read.schema(batch.schema).parquet(version_path(root, number - 1)), rows, key)
-        rows.write.mode("overwrite").parquet(version_path(root, number))
-        if now != number:
-            spark.range(1).select(F.lit(number).alias("version")).coalesce(1).write.mode("append").json(f"{root}/current")
-        _drop_versions(spark, root, number - 2)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def running_counts(stream: DataFrame, key: str, at: str) -> DataFrame:
     """(key, hits, last) of each key of a batch or a stream: repeats count up, the newest time stays."""
     return stream.groupBy(key).agg(F.count(F.lit(1)).alias("hits"), F.max(at).alias("last"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodeframe.functions import masking, numbers, text
 from lodeframe.operators import chunks, compare, forecast, isolation, lineage, measures, retrieval, stats, vectors
 from lodeframe.sources import files
-from lodeframe.streaming import masker, sync
+from lodeframe.streaming import keyed, masker, slots, sync
 
 
 def one(spark, column):
@@ -183,11 +183,64 @@ def test_sync(spark, tmp_path):
     for k, rows in enumerate([[(1, "a", 1), (2, "b", 1)], [(2, "c", 2), (2, "d", 3), (5, "e", 3)]]):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(schema).parquet(source)
-        sync.upsert_stream(spark, stream, root, "k", "at", str(tmp_path / "checkpoint")).awaitTermination()
-    got = sync.read_table(spark, root).collect()
+        keyed.upsert_stream(spark, stream, root, "k", "at", str(tmp_path / "checkpoint"), 8).awaitTermination()
+    got = keyed.KeyedTable(spark, root, "k", schema).read().collect()
     assert {(r.k, r.v) for r in got} == {(1, "a"), (2, "d"), (5, "e")}
 
 
+def test_keyed_table_touches_its_buckets_alone(spark, tmp_path, monkeypatch):
+    import random
+
+    monkeypatch.setattr(keyed, "CHANGES", 3)
+    schema, rng, want = "k long, v string, at long", random.Random(11), {}
+    table = keyed.KeyedTable(spark, str(tmp_path / "t"), "k", schema, 16)
+    assert table.read().collect() == []
+    files = lambda: {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+    for batch in range(8):
+        rows = [(rng.choice([None, *range(40)]) if batch else k, f"{batch}-{n}", n, rng.random() < 0.2 and batch > 0) for n, k in enumerate(range(40 if batch == 0 else 10))]
+        before = files()
+        touched = table.apply(spark.createDataFrame(rows, f"{schema}, gone boolean"), batch, "at", "gone")
+        made = set(files()) - set(before)
+        assert len(touched) <= len({r[0] for r in rows}) and {int(p.parent.name.split("=")[1]) for p in made} == set(touched)
+        assert all(files()[p] == t for p, t in before.items()) and len(made) <= 2 * len(touched)
+        for k, v, at, gone in rows:
+            want[k] = (v, at, gone)
+        assert {(r.k, r.v, r.at) for r in table.read().collect()} == {(k, v, at) for k, (v, at, gone) in want.items() if not gone}
+    seen = files()
+    assert table.apply(spark.createDataFrame([(1, "again", 1)], schema), 7) == [] and files() == seen
+    keep = spark.createDataFrame([(3,), (4,)], "k long")
+    table.prune(keep, 8)
+    assert {r.k for r in keyed.KeyedTable(spark, str(tmp_path / "t"), "k", schema).read().collect()} == {k for k in (3, 4) if not want[k][2]}
+
+
+def test_slots_stay_whole_while_one_is_written(spark, tmp_path):
+    own = slots.Slots(spark, str(tmp_path / "s"), "a int")
+    assert own.read() == (-1, [])
+    for version in range(4):
+        own.write([(k,) for k in range(version + 1)], version)
+        assert own.read()[0] == version and len(own.read()[1]) == version + 1
+    # A write that stopped halfway: the version before is in use.
+    for p in (tmp_path / "s" / "slot=1").iterdir():
+        p.unlink()
+    assert own.read()[0] == 2
+
+
+def test_tables_are_published_together(spark, tmp_path):
+    root = str(tmp_path / "p")
+    with pytest.raises(ValueError):
+        slots.published(spark, root)
+    version = lambda n: {"a": spark.range(n), "b c": spark.range(2 * n)}
+    for n in range(1, 5):
+        assert slots.publish(version(n), spark.createDataFrame([(f"v{n}",)], "name string"), root, spark.range(n)) == n - 1
+        old = slots.published(spark, root)
+        assert [x.count() for x in (old[0]["a"], old[0]["b c"], old[2])] == [n, 2 * n, n] and old[1].first()[0] == f"v{n}"
+    assert sorted(p.name for p in (tmp_path / "p").glob("v=*")) == ["v=2", "v=3"]
+    # A rebuild that fails before its last write leaves all parts as they were.
+    with pytest.raises(Exception, match="boom"):
+        slots.publish({"a": spark.range(9), "b c": spark.range(9).select(F.expr("raise_error('boom')"))}, spark.range(1), root)
+    assert slots.published(spark, root)[0]["a"].count() == 4
+
+
 def test_versions_and_signatures(spark, tmp_path):
     root = str(tmp_path / "t")
     for n in range(4):
