@@ -13,7 +13,7 @@ from ..operators import chunks, forecast, lineage, measures, retrieval, stats, v
 from ..operators.compare import number_matches, numbers_in
 from ..operators.written import scratch, written
 from ..sources import blocks, files
-from ..streaming import keyed, slots, sync
+from ..streaming import keyed, masker, slots, sync
 from .analytics import _MIXED, mixed
 from .recipes import MONTH
 from .registry import register
@@ -454,6 +454,24 @@ def masked_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(key, masking.mask_free_text(said).alias("masked"))
 
 
+@register("streamed_sentences", """
+SELECT c_custkey AS stream, '客户李*, 手机138****' || lpad((c_custkey % 10000)::text, 4, '0') || ', ' || c_name AS text FROM customer""")
+def streamed_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence about each customer in pieces of six characters, every other piece two batches late, masked as a stream."""
+    said = F.concat(F.lit("客户李雷, 手机1380000"), F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0"), F.lit(", "), F.col("c_name"))
+    own = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("stream"), said.alias("said"))
+    cut = own.select("stream", "said", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("said") - 1) / 6).cast("int"))).alias("seq"))
+    pieces = cut.select("stream", "seq", F.substring("said", F.col("seq") * 6 + 1, F.lit(6)).alias("chunk"), ((F.col("seq") + 1) * 6 >= F.char_length("said")).alias("last"))
+    root = f"{scratch(spark)}/pieces-{uuid.uuid4().hex}"
+    for late in (1, 0):
+        pieces.where(F.col("seq") % 2 == late).coalesce(1).write.parquet(f"{root}/in/batch={late}")
+    stream = spark.readStream.schema(pieces.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+    with masker.ending_with_data(spark):
+        masker.masked_stream(stream).writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out").awaitTermination()
+    parts = spark.read.schema("stream long, part int, text string").parquet(f"{root}/out")
+    return parts.groupBy("stream").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "").alias("text"))
+
+
 @register("capped_orders", """
 SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) > 500 AS truncated FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 500""")
 def capped_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

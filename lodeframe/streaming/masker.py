@@ -1,50 +1,135 @@
-"""Masking of texts that arrive in pieces."""
+"""Masking of texts that arrive in pieces, in any order."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 from ..functions.masking import ADDRESS_LABELS, NAME_LABELS, NUMBER_LABELS, TITLES, mask_free_text
 
 #: Characters that wait for what follows, the most that may wait, and those that no pattern goes across.
 WAITING, MOST = 64, 8192
 BOUNDARIES = " \t\r\n,，。；;：:|、（）()【】[]「」\"'"
+_BOUNDARY = re.compile(f"[{re.escape(BOUNDARIES)}]")
 _ANNOUNCED = re.compile("(?:" + "|".join(sorted({*NUMBER_LABELS, *ADDRESS_LABELS, *NAME_LABELS, *TITLES}, key=len, reverse=True)) + r")\s*[:：]?\s*$")
+#: Milliseconds after which a stream that has gone silent is given out as far as it came.
+SILENT = 10 * 60 * 1000
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def safe_cut(held: str) -> int:
     """How much of a text can go: up to the first boundary among its last characters that doesn't part a label from its value."""
     if len(held) <= WAITING:
         return 0
-    for at in range(len(held) - WAITING, len(held)):
-        if held[at] in BOUNDARIES and not _ANNOUNCED.search(held[max(0, at - 30) : at + 1]):
-            return at + 1
-    return len(held) if len(held) >= MOST else 0
-
-
-def _pieces(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    held, part = state.get if state.exists else ("", 0)
-    rows = pd.concat(list(batches)).sort_values("seq")
-    held += "".join(c or "" for c in rows["chunk"])
-    done = bool(rows["last"].any())
-    cut = len(held) if done else safe_cut(held)
-    if cut:
-        yield pd.DataFrame({"stream": [key[0]], "part": [part], "text": [held[:cut]]})
-    if done:
-        state.remove()
-    else:
-        state.update((held[cut:], part + bool(cut)))
-
-
-def masked_stream(chunks: DataFrame) -> DataFrame:
-    """(stream, part, text) of a stream or table of (stream, seq, chunk, last): masked text, as soon as it is safe to give out.
-
-    Each stream's unsent text is its state; its last chunk sends the rest.
+    ends = (m.end() for m in _BOUNDARY.finditer(held, len(held) - WAITING))
+    free = next((e for e in ends if not _ANNOUNCED.search(held[max(0, e - 31) : e])), 0)
+    return free or (len(held) if len(held) >= MOST else 0)
+
+
+class _Pieces(StatefulProcessor):
+    """Holds the unsent text of a stream and the pieces that came before their turn."""
+
+    def __init__(self, silent: int) -> None:
+        self.silent = silent
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        whole = StructType([StructField("held", StringType()), StructField("next", IntegerType()), StructField("part", IntegerType())])
+        self.sent = handle.getValueState("sent", whole)
+        piece = StructType([StructField("chunk", StringType()), StructField("last", BooleanType())])
+        self.early = handle.getMapState("early", StructType([StructField("seq", IntegerType())]), piece)
+
+    def _told(self) -> tuple[str, int, int]:
+        return tuple(self.sent.get()) if self.sent.exists() else ("", 0, 0)
+
+    def _end(self) -> None:
+        self.sent.clear()
+        self.early.clear()
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+
+    @staticmethod
+    def _row(key, part: int, text: str) -> pd.DataFrame:
+        return pd.DataFrame({"stream": [key[0]], "part": [part], "text": [text]}).astype({"part": "int32"})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held, turn, part = self._told()
+        pieces = {}
+        for frame in rows:
+            for seq, chunk, last in zip(frame["seq"], frame["chunk"], frame["last"], strict=True):
+                # What was sent already, or comes again, is left out.
+                if seq >= turn:
+                    pieces.setdefault(int(seq), (chunk or "", bool(last)))
+        done = False
+        while not done:
+            if turn in pieces:
+                chunk, done = pieces.pop(turn)
+            elif self.early.containsKey((turn,)):
+                chunk, done = self.early.getValue((turn,))
+                self.early.removeKey((turn,))
+            else:
+                break
+            held, turn = held + chunk, turn + 1
+        cut = len(held) if done else safe_cut(held)
+        if cut:
+            yield self._row(key, part, held[:cut])
+        if done:
+            self._end()
+            return
+        for seq, piece in pieces.items():
+            self.early.updateValue((seq,), piece)
+        self.sent.update((held[cut:], turn, part + bool(cut)))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held, _, part = self._told()
+        late = sorted((k[0], v[0]) for k, v in self.early.iterator())
+        text = held + "".join(chunk for _, chunk in late)
+        self._end()
+        if text:
+            yield self._row(key, part, text)
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def ending_with_data(spark: SparkSession) -> Iterator[None]:
+    """Within this a query with the trigger ``availableNow`` ends when its data do; else it would go on for its timers."""
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name, "true")
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def masked_stream(chunks: DataFrame, silent: int = SILENT) -> DataFrame:
+    """(stream, part, text) of (stream, seq, chunk, last): masked text, as soon as it is safe to give out.
+
+    Pieces are numbered from 0 within their stream and may come in any order,
+    over any number of batches, and repeatedly; one that is before its turn
+    waits.  The last piece in turn ends a stream and its state.  A stream that
+    hears nothing for ``silent`` milliseconds ends with what there is, pieces that
+    still wait at its end.  Of a table, each stream is one part.
     """
-    sent = chunks.groupBy("stream").applyInPandasWithState(_pieces, "stream long, part int, text string", "held string, part int", "append", GroupStateTimeout.NoTimeout)
+    if not chunks.isStreaming:
+        told = chunks.dropDuplicates(["stream", "seq"]).groupBy("stream").agg(F.array_sort(F.collect_list(F.struct("seq", F.coalesce("chunk", F.lit("")).alias("chunk")))).alias("x"))
+        whole = told.select(F.col("stream").cast("long"), F.lit(0).alias("part"), F.array_join(F.transform("x", lambda p: p["chunk"]), "").alias("text"))
+        return whole.where("text <> ''").withColumn("text", mask_free_text("text"))
+    conf = chunks.sparkSession.conf
+    # Timers and several states need this store.
+    if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass", ""):
+        conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    sent = chunks.groupBy("stream").transformWithStateInPandas(_Pieces(silent), "stream long, part int, text string", "append", "processingTime")
     return sent.where("text <> ''").withColumn("text", mask_free_text("text"))

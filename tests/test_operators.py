@@ -264,11 +264,48 @@ def test_stream_masker(spark, tmp_path):
         rows = [(1, k, c, k == len(pieces) - 1) for k, c in enumerate(pieces) if k * 3 // len(pieces) == part]
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         stream = masker.masked_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
-        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+        with masker.ending_with_data(spark):
+            stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
     rows = sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=lambda r: r.part)
     assert "".join(r.text for r in rows) == whole and len(rows) > 1
 
 
+def run_masker(spark, folder, batches, silent=masker.SILENT, rounds=1):
+    schema = "stream long, seq int, chunk string, last boolean"
+    out = None
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+        stream = masker.masked_stream(spark.readStream.schema(schema).parquet(str(folder / "in")), silent)
+        with masker.ending_with_data(spark):
+            stream.writeStream.format("parquet").option("checkpointLocation", str(folder / "c")).trigger(availableNow=True).start(str(folder / "out")).awaitTermination()
+    for r in sorted(spark.read.parquet(str(folder / "out")).collect(), key=lambda r: (r.stream, r.part)):
+        out = out or {}
+        out[r.stream] = out.get(r.stream, "") + r.text
+    return out
+
+
+def test_pieces_in_any_order(spark, tmp_path):
+    """Pieces of several streams, shuffled over three batches, some twice."""
+    import random
+
+    rng = random.Random(2)
+    said = {1: "联系人：王小明，电话 13812345678。" + "其他内容，" * 30 + "身份证号：320101199001011234 完", 2: "客户李雷, 手机13812345678", 3: ""}
+    whole = {r.k: r.m for r in spark.createDataFrame(list(said.items()), "k long, t string").select("k", masking.mask_free_text("t").alias("m")).collect()}
+    pieces = [(k, n, t[a : a + 5] or None, a + 5 >= len(t)) for k, t in said.items() for n, a in enumerate(range(0, max(1, len(t)), 5))]
+    rng.shuffle(pieces)
+    third = len(pieces) // 3
+    batches = [pieces[:third] + pieces[:4], pieces[third : 2 * third], pieces[2 * third :]]
+    assert run_masker(spark, tmp_path, batches) == {k: t for k, t in whole.items() if t}
+    table = masker.masked_stream(spark.createDataFrame(sum(batches, []), "stream long, seq int, chunk string, last boolean"))
+    assert {r.stream: r.text for r in table.collect()} == {k: t for k, t in whole.items() if t}
+
+
+def test_silent_streams_end(spark, tmp_path):
+    first = [(1, 0, "手机13812345678，", False), (1, 2, "later", False)]
+    got = run_masker(spark, tmp_path, [first, [(2, 0, "x", True)]], silent=1)
+    assert got == {1: "手机138****5678，later", 2: "x"}
+
+
 def test_safe_cuts():
     assert masker.safe_cut("x" * 64) == 0 and masker.safe_cut("x" * 100) == 0 and masker.safe_cut("x" * 9000) == 9000
     held = "a" * 40 + "姓名：" + "王小明" + "b" * 55 + "，"
