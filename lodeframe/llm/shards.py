@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytewords import mix
 from .order import tasks
-from .storage import in_batches, materialise
+from .storage import in_batches, materialise, release
 from .tokens import closed_documents, encoder
 
 STRIDE, SHARD, PAD_ID, END_ID, ROUNDS = 128, 8192, 0, 2, 6
@@ -122,6 +122,20 @@ def _records(batches: Iterator[pa.RecordBatch], base: dict[int, int], n: int, ke
             yield pa.RecordBatch.from_arrays([pa.array(slot[wanted]), data], ["slot", "record"])
 
 
+def _ordered(docs: DataFrame, parts: int, tokenizer: str, stride: int, end_id: int, kind: str) -> DataFrame:
+    """Documents with their ids, written in order within each part, and the number of sequences that come before in the part."""
+    text = F.coalesce("text", F.lit(""))
+    # ``turn`` differs between equal rows, so that many of them needn't meet in one part.
+    source = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("turn"), text.alias("text"))
+    order = ["doc", "tie", "turn"]
+    ranged = source.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("least"))
+    # A row for each partition.
+    bounds = sorted(tuple(r.least) for r in ranged.collect())[1:]
+    made = in_batches(source, partial(_encoded, path=tokenizer, end_id=end_id, kind=kind, bounds=bounds), _DOCUMENT)
+    dealt = made.repartitionById(parts, "part").sortWithinPartitions("part", *order)
+    return materialise(in_batches(dealt, partial(_counted, stride=stride), "part int, doc long, tokens long, ids binary, first long"), "ordered")
+
+
 def write_shards(docs: DataFrame, out: str, tokenizer: str, key: int, stride: int = STRIDE, shard: int = SHARD, end_id: int = END_ID, pad_id: int = PAD_ID) -> DataFrame:
     """Write all sequences of ``docs`` under ``out`` and return them as read_slots() does.
 
@@ -132,17 +146,10 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, key: int, stride: in
     """
     spark = docs.sparkSession
     kind = "<u2" if max(encoder(tokenizer).vocabulary, end_id + 1, pad_id + 1) <= 1 << 16 else "<u4"
-    text = F.coalesce("text", F.lit(""))
-    # ``turn`` differs between equal rows, so that many of them needn't meet in one part.
-    source = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("turn"), text.alias("text"))
-    order = ["doc", "tie", "turn"]
     parts = tasks(docs)
-    ranged = source.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("least"))
-    # A row for each partition.
-    bounds = sorted(tuple(r.least) for r in ranged.collect())[1:]
-    made = in_batches(source, partial(_encoded, path=tokenizer, end_id=end_id, kind=kind, bounds=bounds), _DOCUMENT)
-    dealt = made.repartitionById(parts, "part").sortWithinPartitions("part", *order)
-    ordered = materialise(in_batches(dealt, partial(_counted, stride=stride), "part int, doc long, tokens long, ids binary, first long"), "ordered")
+    ordered = _ordered(docs, parts, tokenizer, stride, end_id, kind)
+    # The ids are written; their shuffle would stand on disk beside that of the records.
+    release(spark)
     sizes = ordered.groupBy("part").agg(F.sum(F.ceil(F.col("tokens") / stride)).alias("n")).collect()
     counts = {r.part: r.n for r in sizes}
     base, n = {}, 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -49,6 +50,16 @@ def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that nothing refers to any more.
+
+    Its cleaner waits for the driver's garbage to be collected, which on a driver
+    with little to do may take half an hour; between large steps that is too long.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _bytes(column: Column, kind: DataType) -> Column:
     """Bytes of a value, with some more for how Spark holds it."""
     if isinstance(kind, StringType | BinaryType):
