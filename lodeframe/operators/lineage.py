@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.masking import mask, mask_text
+from .written import written
 
 #: Rows of a shown result, at least and at most.
 FEWEST, MOST = 1, 500
@@ -37,6 +39,25 @@ def recorded(df: DataFrame, name: str, sql: str) -> DataFrame:
     return df.agg(F.lit("query").alias("kind"), F.lit(name).alias("name"), F.array(*[F.lit(t) for t in used_tables(df)]).alias("tables"), F.count(F.lit(1)).alias("n_rows"), mask_text(F.lit(sql)).alias("sql"))
 
 
+def observed(df: DataFrame, name: str, sql: str) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """``df`` that counts its rows as it runs, and what gives recorded()'s row once it has run, without another run."""
+    seen = Observation()
+    tables = used_tables(df)
+
+    def row() -> DataFrame:
+        made = [("query", name, tables, seen.get["n_rows"], sql)]
+        return df.sparkSession.createDataFrame(made, "kind string, name string, tables array<string>, n_rows long, sql string").withColumn("sql", mask_text("sql"))
+
+    return df.observe(seen, F.count(F.lit(1)).alias("n_rows")), row
+
+
+def answered_and_recorded(df: DataFrame, order: list[str], cap: int, name: str, sql: str, suffix: str = "") -> tuple[DataFrame, DataFrame]:
+    """answered() and the row about its source, of one execution of ``df``; n_rows counts all rows, not those shown."""
+    counted, row = observed(df, name, sql)
+    shown = written(answered(counted, order, cap, suffix), "shown")
+    return shown, row()
+
+
 def merged_sources(old: DataFrame, new: DataFrame) -> DataFrame:
     """Registry rows (kind, name, tables, n_rows, sql, at) by kind and name: all tables, the latest rows and statement."""
     both = old.unionByName(new)

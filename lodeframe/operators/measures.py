@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions.masking import kind_of, mask_cell, mask_text
 from .stats import clusters, correlations, outliers, portraits, profile
+from .written import written
 
 #: Words of column names that tell ids, codes and flags, and the bounds of the rules for whole numbers.
 ID_NAME = r"(^|_)(id|ids|code|no|num|seq|status|flag|version|is_[a-z_]+)($|_)"
 MOST_MISSING, UNIQUE, UNIQUE_ROWS, FLAG_VALUES, FLAG_ROWS = 0.6, 0.95, 30, 2, 20
 PLOTTED, CHART_SCAN, CHART_POINTS = 0.8, 200, 150
+#: Rows of a sample, at least and at most.
+SAMPLED = (100, 20_000)
 
 
 def to_float(value: Column) -> Column:
@@ -52,13 +55,26 @@ def measures(df: DataFrame, columns: list[str] | None = None) -> list[str]:
     return [c for c in columns if c in kept]
 
 
-def first_rows(df: DataFrame, limit: int = 20_000, least: int = 100) -> DataFrame:
-    """The first rows of a table, ``limit`` at most; a report on a sample, not on all."""
-    return df.limit(max(least, min(limit, 20_000)))
+def sampled(df: DataFrame, columns: list[str], limit: int = 5000, where: Column | str | None = None, key: list[str] | None = None, seed: int = 42) -> DataFrame:
+    """``columns`` of a sample of 100 to 20,000 rows: those whose keys (all columns, if none are named) have the least digest.
 
-
-def analyse(df: DataFrame, columns: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Profile and the correlations of the measure columns, strongest first."""
+    The sample depends on the rows alone, not on how they are split, and each
+    task hands on no more rows than are asked for.  ``where`` goes before it, down
+    to the files.
+    """
+    missing = [c for c in [*columns, *(key or [])] if c not in df.columns]
+    if missing:
+        raise ValueError(f"no columns {missing}")
+    rows = df if where is None else df.where(where)
+    told = F.concat_ws("\u001f", F.lit(str(seed)), *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in key or df.columns])
+    limit = max(SAMPLED[0], min(limit, SAMPLED[1]))
+    return rows.withColumn("__digest", F.md5(told)).orderBy("__digest").limit(limit).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def analyse(df: DataFrame, columns: list[str] | None = None, sample: int | None = None, key: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Profile and the correlations of the measure columns, strongest first; of all rows, or of a sampled() few."""
+    if sample is not None:
+        df = written(sampled(df, columns or df.columns, sample, key=key), "sampled")
     kept = measures(df, columns)
     if len(kept) < 2:
         raise ValueError("an analysis needs two measure columns")

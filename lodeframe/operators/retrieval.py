@@ -30,8 +30,16 @@ def tfidf(docs: DataFrame, queries: DataFrame, key: str = "key", text: str = "te
     split = docs.select(F.col(key).alias("key"), F.explode(tokens(text)).alias("token"))
     counts = written(split.groupBy("key", "token").agg(F.count(F.lit(1)).alias("tf")), "counts")
     n = docs.agg(F.count(F.lit(1)).alias("__n"))  # one row
-    idf = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("token", (F.log((F.col("__n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-    idf = written(idf, "idf")
+    return tfidf_of(counts, written(inverse_frequency(counts.groupBy("token").agg(F.count(F.lit(1)).alias("df")), n), "idf"), queries)
+
+
+def inverse_frequency(df: DataFrame, n: DataFrame) -> DataFrame:
+    """(token, idf) of (token, df) among ``n``, one row with ``__n`` documents."""
+    return df.crossJoin(F.broadcast(n)).select("token", (F.log((F.col("__n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
+
+
+def tfidf_of(counts: DataFrame, idf: DataFrame, queries: DataFrame) -> DataFrame:
+    """tfidf() of a corpus that is counted already: (key, token, tf) and (token, idf)."""
     weighed = counts.join(idf, "token").select("key", "token", (F.col("tf") * F.col("idf") * token_weight("token")).alias("v"))
     norms = weighed.groupBy("key").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
     asked = queries.select("query", F.explode(tokens("text")).alias("token")).groupBy("query", "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -87,6 +95,16 @@ def fuse(lists: list[DataFrame], k: int = RRF) -> DataFrame:
     return rows.groupBy("query", "key").agg(F.sum(1.0 / (F.col("place") + k)).alias("score"))
 
 
+def shown_scores(keyword: DataFrame, vector: DataFrame) -> DataFrame:
+    """(query, key, shown): what a reader is told of a fused hit, the mean of the likenesses (0 to 1) by the engines that found it.
+
+    Keyword scores count from 0 on; cosines are moved from -1 .. 1 to 0 .. 1.
+    """
+    told = keyword.select("query", "key", F.greatest("score", F.lit(0.0)).alias("s"))
+    told = told.unionByName(vector.select("query", "key", F.greatest((F.col("score") + 1) / 2, F.lit(0.0)).alias("s")))
+    return told.groupBy("query", "key").agg(F.avg("s").alias("shown"))
+
+
 def rerank_by_coverage(hits: DataFrame, asked: Column, text: Column, weight: float = RERANK) -> DataFrame:
     """Ranked ``hits`` (query, place, ...) with a new score: coverage of the query's tokens mixed with the old place."""
     query, own = cover_tokens(asked), cover_tokens(text)

@@ -12,7 +12,7 @@ from ..functions.numbers import coerce, numeric_votes, to_number
 from ..operators import chunks, forecast, lineage, measures, retrieval, stats, vectors
 from ..operators.compare import number_matches, numbers_in
 from ..operators.written import scratch, written
-from ..sources import blocks, files
+from ..sources import blocks, files, knowledge
 from ..streaming import keyed, masker, slots, sync
 from .analytics import _MIXED, mixed
 from .recipes import MONTH
@@ -499,6 +499,52 @@ def recorded_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("kind", "name", F.array_join("tables", ",").alias("tables"), "n_rows")
 
 
+@register("answered_and_recorded", """
+SELECT 'query' AS kind, 'big' AS name, 'customer,orders' AS tables, (SELECT count(*) FROM orders WHERE o_totalprice > 100000) AS n_rows, (SELECT least(20, count(*)) FROM orders WHERE o_totalprice > 100000) AS shown
+UNION ALL SELECT 'query', 'small', 'nation', (SELECT count(*) FROM nation), NULL""")
+def answered_and_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry of two sources, of which one is answered anew over other tables; its rows are counted while it is shown."""
+    old = lineage.recorded(table(spark, sf_dir, "customer"), "big", "SELECT 1").unionByName(lineage.recorded(table(spark, sf_dir, "nation"), "small", "SELECT 2")).withColumn("at", F.lit(1))
+    big = table(spark, sf_dir, "orders").where("o_totalprice > 100000")
+    shown, row = lineage.answered_and_recorded(big, [F.desc("o_totalprice"), "o_orderkey"], 20, "big", "SELECT * FROM orders WHERE o_totalprice > 100000")
+    kept = lineage.merged_sources(old, row.withColumn("at", F.lit(2)))
+    count = shown.agg(F.count(F.lit(1)).alias("__shown"))
+    return kept.crossJoin(F.broadcast(count)).select("kind", "name", F.array_join("tables", ",").alias("tables"), "n_rows", F.when(F.col("name") == "big", F.col("__shown")).alias("shown"))  # one row
+
+
+@register("sampled_parts", """
+SELECT p_partkey, p_size FROM (SELECT *, row_number() OVER (ORDER BY md5('42' || chr(31) || p_partkey)) AS k FROM part WHERE p_size > 10) WHERE k <= 500""")
+def sampled_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.sampled(table(spark, sf_dir, "part"), ["p_partkey", "p_size"], 500, "p_size > 10", ["p_partkey"])
+
+
+@register("shown_scores", """
+SELECT c_nationkey AS query, c_custkey AS key, round(CASE WHEN c_custkey % 3 = 0 THEN (greatest(c_acctbal / 10000, 0) + (c_acctbal / 10000 + 1) / 2) / 2 ELSE greatest(c_acctbal / 10000, 0) END, 9) AS shown FROM customer""")
+def shown_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("query"), F.col("c_custkey").alias("key"), (F.col("c_acctbal") / 10000).alias("score"))
+    return retrieval.shown_scores(own, own.where("key % 3 = 0")).select("query", "key", F.round("shown", 9).alias("shown"))
+
+
+@register("knowledge_terms", """
+WITH t AS (SELECT n_nationkey AS k, n_name || ' ' || r_name || ' nation' AS x FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 5 > 0 UNION ALL SELECT 100 + r_regionkey, r_name || ' region' FROM region),
+w AS (SELECT DISTINCT k, unnest(regexp_extract_all(lower(x), '[a-z0-9_]+')) AS token FROM t)
+SELECT token, count(*) AS df FROM w GROUP BY token""")
+def knowledge_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document frequencies of an index over a folder of texts, after files were added and taken away."""
+    root = f"{scratch(spark)}/knowledge-{uuid.uuid4().hex}"
+    nations = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    told = nations.select(F.concat_ws(" ", "n_name", "r_name", F.lit("nation")).alias("text"), (F.col("n_nationkey") % 5 > 0).alias("stays"), F.col("n_nationkey").alias("k"))
+    for stays in (True, False):
+        told.where(F.col("stays") == stays).select("text", "k").write.partitionBy("k").text(f"{root}/in/stays={stays}")
+    index = knowledge.KnowledgeIndex(spark, f"{root}/in", f"{root}/index")
+    index.refresh()
+    regions = table(spark, sf_dir, "region").select(F.concat(F.col("r_name"), F.lit(" region")).alias("text"), F.col("r_regionkey").alias("k"))
+    regions.write.partitionBy("k").text(f"{root}/in/more")
+    slots.remove(spark, f"{root}/in/stays=False")
+    index.refresh()
+    return index.terms.read()
+
+
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "part")}
     return blocks.catalog(own, "sales").unionByName(blocks.catalog({n: table(spark, sf_dir, n) for n in ("nation", "region")}, "places"))
