@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -56,8 +57,11 @@ def release(spark: SparkSession) -> None:
     Its cleaner waits for the driver's garbage to be collected, which on a driver
     with little to do may take half an hour; between large steps that is too long.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    # What Python lets go of reaches the JVM after a moment, in time for the second round.
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def _bytes(column: Column, kind: DataType) -> Column:
