@@ -94,9 +94,9 @@ parsed AS (
     regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM cut),
 known AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 hosts AS (
-  SELECT host, CASE WHEN TWO IN (WIDE) THEN regexp_extract(host, '([^.]*\\.)?([^.]*\\.)?[^.]*$') ELSE TWO END AS domain,
-    CASE WHEN TWO IN (WIDE) THEN TWO ELSE regexp_extract(host, '[^.]*$') END AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
-  FROM parsed LEFT JOIN known USING (page_id) GROUP BY host),
+  SELECT host, CASE WHEN bare IS_ADDRESS THEN bare WHEN TWO IN (WIDE) THEN regexp_extract(bare, '([^.]*\\.)?([^.]*\\.)?[^.]*$') ELSE TWO END AS domain,
+    CASE WHEN bare IS_ADDRESS THEN '[address]' WHEN TWO IN (WIDE) THEN TWO ELSE regexp_extract(bare, '[^.]*$') END AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad
+  FROM (SELECT *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.+$', '') AS bare FROM parsed LEFT JOIN known USING (page_id)) GROUP BY host, bare),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY domain, suffix),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY suffix),
 overall AS (SELECT (sum(bad) + 0.5::double) / (sum(n) + 1.0::double) AS mean FROM suffixes),
@@ -116,7 +116,7 @@ ruled AS (
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' WHEN bad_bound >= (SELECT mean FROM overall) THEN 'block' ELSE 'allow' END AS verdict,
   round(bad_mean, 9) AS bad_mean, round(bad_bound, 9) AS bad_bound
-FROM ruled""".replace("WIDE", ", ".join(f"'{x}'" for x in TWO_LABELS)).replace("TWO", "regexp_extract(host, '([^.]*\\.)?[^.]*$')").replace("SPREAD", "(sum(CASE WHEN mean * (1 - mean) > 0 THEN pow(bad - n * mean, 2) / n / (mean * (1 - mean)) END) - count(*) FILTER (mean * (1 - mean) > 0)) / nullif(sum(CASE WHEN mean * (1 - mean) > 0 THEN n - 1 END), 0)::double").replace(
+FROM ruled""".replace("WIDE", ", ".join(f"'{x}'" for x in TWO_LABELS)).replace("TWO", "regexp_extract(bare, '([^.]*\\.)?[^.]*$')").replace("bare IS_ADDRESS", "regexp_matches(bare, '^([0-9]{1,3}(\\.[0-9]{1,3}){3}|\\[.*\\])$')").replace("SPREAD", "(sum(CASE WHEN mean * (1 - mean) > 0 THEN pow(bad - n * mean, 2) / n / (mean * (1 - mean)) END) - count(*) FILTER (mean * (1 - mean) > 0)) / nullif(sum(CASE WHEN mean * (1 - mean) > 0 THEN n - 1 END), 0)::double").replace(
         "STRENGTH", "coalesce(least(100.0::double, greatest(1.0::double, (1 - greatest(rho, 1e-9::double)) / greatest(rho, 1e-9::double))), 100.0::double)"
     ),
 }

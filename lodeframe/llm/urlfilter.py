@@ -73,11 +73,25 @@ def _shrink(groups: DataFrame, key: str, above: DataFrame, link: str) -> DataFra
     return placed.crossJoin(F.broadcast(strength)).withColumn("post", F.try_divide(F.col("bad") + F.col("k") * F.col("mean"), F.col("n") + F.col("k"))).drop("mean")
 
 
+#: IPv4 addresses and what stands in brackets.
+_ADDRESS = r"^([0-9]{1,3}(\.[0-9]{1,3}){3}|\[.*\])$"
+#: The suffix of all addresses, which no name can have.
+ADDRESSES = "[address]"
+
+
+def bare(host: Column) -> Column:
+    """A host without user, port and final dots."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", ""), r"\.+$", "")
+
+
 def registered(host: Column) -> tuple[Column, Column]:
-    """Registered domain and public suffix of a host."""
-    two = F.substring_index(host, ".", -2)
+    """Registered domain and public suffix of a host; an address is a domain of its own, below one suffix of all."""
+    name = bare(host)
+    two = F.substring_index(name, ".", -2)
     wide = two.isin(TWO_LABELS)
-    return F.when(wide, F.substring_index(host, ".", -3)).otherwise(two), F.when(wide, two).otherwise(F.substring_index(host, ".", -1))
+    address = name.rlike(_ADDRESS)
+    domain = F.when(address, name).when(wide, F.substring_index(name, ".", -3)).otherwise(two)
+    return domain, F.when(address, ADDRESSES).when(wide, two).otherwise(F.substring_index(name, ".", -1))
 
 
 def reputations(pages: DataFrame) -> DataFrame:

@@ -62,6 +62,34 @@ def test_registered_domains(spark):
     assert [tuple(r) for r in rows] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("co.uk", "co.uk"), ("y.com", "com"), ("com", "com"), ("", "")]
 
 
+def test_ports_users_and_addresses(spark):
+    domain, suffix = urlfilter.registered(F.col("h"))
+    want = {
+        "a.example.com:8080": ("example.com", "com"), "a.example.com.": ("example.com", "com"), "me:x@a.b.co.uk:1": ("b.co.uk", "co.uk"), "10.0.0.1": ("10.0.0.1", "[address]"), "10.0.0.1:80": ("10.0.0.1", "[address]"),
+        "[::1]:443": ("[::1]", "[address]"), "1.2.3.com": ("3.com", "com"), ":80": ("", ""), "x:": ("x", "x"), "..": ("", ""),
+    }
+    rows = spark.createDataFrame([(h,) for h in want], "h string").select("h", domain.alias("d"), suffix.alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in rows} == want
+    # A host with a port shares its domain's reputation, and an address that of addresses alone.
+    hosts = [(f"h{k}.worse.com:8{k:03}", 1) for k in range(30) for _ in range(4)] + [(f"10.0.0.{k}", 0) for k in range(30) for _ in range(4)] + [("new.worse.com", None), ("new.worse.com:99", None), ("10.9.9.9:1", None), ("9.9", None)]
+    got = {r.host: r.bad_mean for r in urlfilter.reputations(spark.createDataFrame(hosts, "host string, bad int")).collect()}
+    assert got["new.worse.com"] == got["new.worse.com:99"] > 0.5 > got["10.9.9.9:1"] and got["10.9.9.9:1"] < got["9.9"]
+
+
+def test_query_states_ports_as_its_sql(spark, tmp_path, rows_of):
+    import duckdb
+
+    urls = [f"http://{h}/p" for h in ("a.b.com:80", "a.b.com", "u@a.b.com.", "1.2.3.4", "1.2.3.4:5", "[::1]:9", "co.uk:1", "x.y.co.uk", "")] * 4
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, k % 3 % 2, 0) for k in range(25)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(map(repr, con.execute(ORACLES["op8_url_filter"]).fetchall()))
+    columns = [d[0] for d in con.execute(ORACLES["op8_url_filter"]).description]
+    assert sorted(repr(tuple(r)) for r in op8_url_filter(spark, str(tmp_path)).select(columns).collect()) == want
+
+
 def test_no_pages_and_no_labels(spark):
     pages = spark.createDataFrame([(1, "http://a.b/c")], "page_id long, url string")
     none = spark.createDataFrame([], "page_id long, bad int")
