@@ -32,7 +32,7 @@ def test_names():
 
 
 def test_masks(spark):
-    samples = {"call 13812345678 now": "call 138****5678 now", "me.too@mail.example.org": "m***@mail.example.org", "at 10.20.30.40": "at 10.20.*.*", "plain 12345": "plain 12345"}
+    samples = {"call 13812345678 now": "call 138****5678 now", "me.too@mail.example.org": "m***@mail.example.org", "at 10.20.30.40": "at 10.20.*.*", "plain 12345": "plain 12345", "card 6222021234567890123 end": "card 6222***********0123 end"}
     assert {s: one(spark, masking.mask_text(F.lit(s))) for s in samples} == samples
     frame = spark.createDataFrame([("王小明", "13812345678", 120, None)], "patient_name string, contact_phone string, amount int, email string")
     assert masking.mask(frame).collect()[0] == ("王**", "138****5678", 120, None)
