@@ -126,3 +126,13 @@ def test_ranks_and_cuts():
         got = alignment.shared_cuts(np.diff(a, prepend=0), np.diff(b, prepend=0))
         shared = sorted(set(a) & set(b))
         assert [x.tolist() for x in got] == [[a.index(c) + 1 for c in shared], [b.index(c) + 1 for c in shared]]
+
+
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "a", "0123456789", "日本語の文字"])
+def test_long_texts_without_a_blank(pair, alphabet):
+    """One word of 200,000 characters, as one text."""
+    text = "".join(random.Random(4).choices(alphabet, k=200_000))
+    row = alignment.align(pair, alignment.Known(), [1], [text])[0][0]
+    groups = plain_groups(pair, text)
+    told = ";".join(",".join(map(str, a)) + "|" + ",".join(map(str, b)) for a, b in groups)
+    assert (row["n_groups"], row["n_links"], row["groups_sha256"]) == (len(groups), sum(len(a) * len(b) for a, b in groups), hashlib.sha256(told.encode()).hexdigest())
