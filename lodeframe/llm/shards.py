@@ -18,6 +18,7 @@ written by Spark's text writer.  ``manifest`` tells the sizes; it is written las
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
@@ -34,10 +35,10 @@ from .tokens import closed_documents, encoder
 STRIDE, SHARD, PAD_ID, END_ID, ROUNDS = 128, 8192, 0, 2, 6
 #: Ids are moved compressed, each document by itself.
 CODEC = "zstd"
-#: Shards are written in so many goes; more of them read the ordered documents again and move a part of the sequences each.
-GOES = 1
+#: Shards are written in so many goes, each of which reads the ordered documents and moves its own sequences: less stands on disk at once.
+GOES = 2
 HEAD = 20
-#: Stands for a null doc_id.
+#: Stands for a null doc_id; a doc_id of this value is read back as null.
 NONE = -(1 << 63)
 
 
@@ -100,26 +101,56 @@ def _records(batches: Iterator[pa.RecordBatch], base: dict[int, int], n: int, ke
         cuts = np.unique(np.append(np.searchsorted(ends, np.arange(1 << 19, int(ends[-1]) if ends.size else 0, 1 << 19)), whole.num_rows)).tolist()
         for begin, stop in zip([0, *cuts], cuts, strict=False):
             batch = whole.slice(begin, stop - begin)
-            if not batch.num_rows:
-                continue
             size = batch.column("tokens").to_numpy()
-            packed = zip(batch.column("ids").to_pylist(), (size * width).tolist(), strict=True)
-            ids = np.frombuffer(b"".join(codec.decompress(x, n, asbytes=True) for x, n in packed), kind)
             count = -(-size // stride)
             document = np.arange(size.size).repeat(count)
             turn = np.arange(document.size) - (np.cumsum(count) - count)[document]
             index = np.array([base[p] for p in batch.column("part").to_pylist()], np.int64) + batch.column("first").to_numpy()
             slot = permute(index[document] + turn, n, key)
-            out = np.zeros(document.size, layout)
-            out["doc"], out["start"] = batch.column("doc").to_numpy()[document], turn * stride
-            out["tokens"] = np.minimum(size[document] - turn * stride, stride)
-            out["ids"] = pad_id
-            place = np.arange(ids.size) - (np.cumsum(size) - size).repeat(size)
-            out["ids"][(np.cumsum(count) - count).repeat(size) + place // stride, place % stride] = ids
             wanted = np.flatnonzero((slot >= low) & (slot < high))
-            offsets = (np.arange(wanted.size + 1) * (HEAD + stride * width)).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), wanted.size, [None, pa.py_buffer(offsets), pa.py_buffer(out[wanted].tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(slot[wanted]), data], ["slot", "record"])
+            if not wanted.size:
+                continue
+            # Only documents with a sequence that is wanted now are decoded.
+            document, turn = document[wanted], turn[wanted]
+            used = np.unique(document)
+            packed = zip(batch.column("ids").take(pa.array(used)).to_pylist(), (size[used] * width).tolist(), strict=True)
+            ids = np.frombuffer(b"".join(codec.decompress(x, n, asbytes=True) for x, n in packed), kind)
+            begins = np.zeros(size.size, np.int64)
+            begins[used] = np.cumsum(size[used]) - size[used]
+            docs, place = batch.column("doc").to_numpy(), np.arange(stride, dtype=np.int32)
+            for at in range(0, wanted.size, 8192):
+                d, t = document[at : at + 8192], turn[at : at + 8192]
+                out = np.empty(d.size, layout)
+                out["doc"], out["start"], out["tokens"] = docs[d], t * stride, np.minimum(size[d] - t * stride, stride)
+                cut = ids.take((begins[d] + t * stride)[:, None] + place, mode="clip")
+                cut[place >= out["tokens"][:, None]] = pad_id
+                out["ids"] = cut
+                offsets = (np.arange(d.size + 1) * (HEAD + stride * width)).astype(np.int32)
+                data = pa.Array.from_buffers(pa.binary(), d.size, [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(slot[wanted[at : at + 8192]]), data], ["slot", "record"])
+
+
+def _bounds(source: DataFrame, parts: int) -> list[tuple]:
+    """Places (doc, tie, turn) at which the parts begin, the first part's left out: one scan of the doc_ids.
+
+    A doc_id that fills more than a part is cut by its texts' hashes and its rows'
+    turns as well, for which the rows of such doc_ids alone are read again.  The
+    bounds balance the parts; results don't depend on them.
+    """
+    shares = [k / parts for k in range(1, parts)]
+    if not shares:
+        return []
+    found = source.agg(F.percentile_approx("doc", shares, max(10000, 20 * parts)).alias("at")).first().at or []
+    times = Counter(found)
+    hot = [doc for doc, n in times.items() if n > 1]
+    bounds = [(doc, NONE, -1) for doc in times]
+    if hot:
+        order = ["doc", "tie", "turn"]
+        rows = source.where(F.col("doc").isin(hot)).select(*order)
+        ranged = rows.repartitionByRange(sum(times[d] for d in hot), *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("least"))
+        # A row for each partition.
+        bounds += [tuple(r.least) for r in ranged.collect()]
+    return sorted(set(bounds))
 
 
 def _ordered(docs: DataFrame, parts: int, tokenizer: str, stride: int, end_id: int, kind: str) -> DataFrame:
@@ -128,11 +159,9 @@ def _ordered(docs: DataFrame, parts: int, tokenizer: str, stride: int, end_id: i
     # ``turn`` differs between equal rows, so that many of them needn't meet in one part.
     source = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("turn"), text.alias("text"))
     order = ["doc", "tie", "turn"]
-    ranged = source.select(*order).repartitionByRange(parts, *order).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*order)).alias("least"))
-    # A row for each partition.
-    bounds = sorted(tuple(r.least) for r in ranged.collect())[1:]
+    bounds = _bounds(source, parts)
     made = in_batches(source, partial(_encoded, path=tokenizer, end_id=end_id, kind=kind, bounds=bounds), _DOCUMENT)
-    dealt = made.repartitionById(parts, "part").sortWithinPartitions("part", *order)
+    dealt = made.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", *order)
     return materialise(in_batches(dealt, partial(_counted, stride=stride), "part int, doc long, tokens long, ids binary, first long"), "ordered")
 
 
@@ -162,6 +191,8 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, key: int, stride: in
     own = max(1, -(-shards // (GOES * each))) * each
     for go in range(max(1, -(-shards // own))):
         low, high = go * own * shard, min(n, (go + 1) * own * shard)
+        if go:
+            release(spark)
         records = in_batches(ordered, partial(_records, base=base, n=n, key=key, stride=stride, pad_id=pad_id, kind=kind, low=low, high=high), "slot long, record binary")
         place = ((F.col("slot") - low) / (each * shard)).cast("int")
         dealt = records.repartitionById(own // each, place).sortWithinPartitions("slot")
@@ -192,7 +223,10 @@ def read_slots(spark: SparkSession, out: str, start: int, count: int) -> DataFra
     name = r"/(\d+)/part-(\d+)-[^/]*-c(\d+)\.txt$"
     go, part, file = (F.regexp_extract("path", name, k).cast("long") for k in (1, 2, 3))
     number = go * layout.own + part * layout.each + file
-    files = spark.read.format("binaryFile").load(f"{out}/shards/*").select("path", "content", number.alias("shard")).where("length > 0")
+    shards = range(start // layout.shard, last // layout.shard + 1)
+    # A resume of some shards opens these files alone.
+    paths = [f"{out}/shards/{s // layout.own}/part-{s % layout.own // layout.each:05d}-*-c{s % layout.own % layout.each:03d}.txt" for s in shards] if len(shards) <= 16 else f"{out}/shards/*"
+    files = spark.read.format("binaryFile").load(paths).select("path", "content", number.alias("shard")).where("length > 0")
     wanted = files.where(F.col("shard").between(start // layout.shard, last // layout.shard))
     first = F.greatest(F.lit(start), F.col("shard") * layout.shard)
     stop = F.least(F.lit(last), (F.col("shard") + 1) * layout.shard - 1)

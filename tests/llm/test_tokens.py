@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import bisect
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from lodeframe.llm import packing, shards
@@ -118,6 +121,27 @@ def test_slots_do_not_depend_on_partitions(spark, docs, tmp_path):
     assert order(3, "2") == first and order(7, "5") == first
 
 
+def test_a_doc_id_that_fills_parts_is_cut(spark, tmp_path):
+    texts = [f"word{k % 40} and more of it" for k in range(300)]
+    many = spark.createDataFrame([(7, t) for t in texts] + [(None, "none"), (1, "one"), (9, None)], "doc_id long, text string").repartition(3)
+    source = many.select(F.coalesce("doc_id", F.lit(shards.NONE)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), F.monotonically_increasing_id().alias("turn"))
+    bounds = shards._bounds(source, 8)
+    rows = [tuple(r) for r in source.collect()]
+    sizes = Counter(bisect.bisect_right(bounds, r) for r in rows)
+    assert max(sizes.values()) < 100 and sum(sizes.values()) == 303
+    made = shards.write_shards(many, str(tmp_path / "hot"), PATH, key=3, shard=16).collect()
+    assert sorted(r.slot for r in made) == list(range(303)) and Counter(r.doc_id for r in made) == {7: 300, None: 1, 1: 1, 9: 1}
+
+
+def test_a_resume_opens_its_own_shard(spark, docs, tmp_path):
+    out = str(tmp_path / "resume")
+    rows = {r.slot: r for r in shards.write_shards(docs, out, PATH, key=5, shard=32).collect()}
+    some = shards.read_slots(spark, out, 40, 10)
+    assert len(some.inputFiles()) == 1
+    assert {r.slot: r for r in some.collect()} == {k: rows[k] for k in range(40, 50)}
+    assert {r.slot: r for r in shards.read_slots(spark, out, 0, 10**6).collect()} == rows
+
+
 def test_tokenizers_that_join_words_encode_whole_texts(spark, tmp_path):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = Tokenizer.from_file(path)
