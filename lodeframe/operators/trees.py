@@ -31,7 +31,7 @@ SEED = 42
 #: The candidates, in order.  Their size is bounded, whatever the number of series.
 TREES = {
     "forest": lambda: RandomForestRegressor(labelCol="change", numTrees=60, maxDepth=6, minInstancesPerNode=2, seed=SEED),
-    "boosted": lambda: GBTRegressor(labelCol="change", maxIter=30, maxDepth=3, stepSize=0.2, seed=SEED),
+    "boosted": lambda: GBTRegressor(labelCol="change", maxIter=20, maxDepth=3, stepSize=0.3, seed=SEED),
 }
 OUT = ["ym", "v", "kind", "model", "rmse", "mae", "mape"]
 

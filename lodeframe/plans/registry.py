@@ -24,4 +24,4 @@ def register(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules whose queries register themselves."""
-    from . import analytics, library, recipes  # noqa: F401
+    from . import analytics, library, recipes, stated  # noqa: F401
