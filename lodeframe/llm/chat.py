@@ -53,7 +53,7 @@ def conversations(turns: DataFrame) -> DataFrame:
     return held.select("conv_id", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
-def random_negatives(talks: DataFrame) -> DataFrame:
+def next_as_rejected(talks: DataFrame) -> DataFrame:
     """(pair_id, chosen, rejected): each conversation against itself with the last reply of the next one.
 
     The next is by conv_id, the first after the last.  The reply takes the place

@@ -35,7 +35,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chat.format_pairs(chat.random_negatives(chat.conversations(_table(spark, sf_dir, "conversations"))))
+    made = chat.format_pairs(chat.next_as_rejected(chat.conversations(_table(spark, sf_dir, "conversations"))))
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     return made.select("pair_id", "prefix_turns", "prompt", "chosen", "rejected", spans("chosen_spans").alias("chosen_spans"), spans("rejected_spans").alias("rejected_spans"))
 

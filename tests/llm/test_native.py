@@ -116,6 +116,6 @@ def test_conversations_with_nulls_and_ties(spark):
     talks = chat.conversations(spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, turns string"))
     got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in talks.collect()}
     assert got == {1: [("unknown", ""), ("unknown", ""), ("assistant", "b")], 2: [("user", "q")], 3: [("assistant", ""), ("user", "")]}
-    pairs = chat.format_pairs(chat.random_negatives(talks)).collect()
+    pairs = chat.format_pairs(chat.next_as_rejected(talks)).collect()
     assert sorted(r.pair_id for r in pairs) == [1, 2, 3]
-    assert chat.format_pairs(chat.random_negatives(talks.limit(0))).collect() == []
+    assert chat.format_pairs(chat.next_as_rejected(talks.limit(0))).collect() == []
