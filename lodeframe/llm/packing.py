@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import in_batches, materialise
+from .storage import broadcastable, in_batches, materialise
 from .tokens import binary_array, closed_documents
 
 SEQUENCE, END_ID = 4096, 2
@@ -73,14 +73,19 @@ def bucket(pieces: DataFrame) -> DataFrame:
     """Number the pieces through the buckets, from the longest down: sequence_id, dense from 0, and offset, always 0.
 
     ``pieces`` is written once, as it stands.  A piece's number is its turn plus
-    the count of all that come before its task's share of its bucket; only those
-    counts, one row for each task and length, are put in order in one place.
+    the count of all that come before its task's share of its bucket: the longer
+    ones, and those of its length by earlier tasks.  The counts, a row for each
+    task and length, are put in order for each length by itself.
     """
     placed = materialise(pieces, "pieces")
-    before = Window.orderBy(F.col("length").desc(), "part").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    numbered = placed.join(F.broadcast(bases), ["length", "part"]).withColumn("sequence_id", F.col("base") + F.col("turn"))
+    # A row for each power of two up to the sequence length.
+    longer = Window.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = counts.groupBy("length").agg(F.sum("n").alias("n")).select("length", F.coalesce(F.sum("n").over(longer), F.lit(0)).alias("first"))
+    earlier = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    own = counts.select("length", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("own"))
+    bases = materialise(own.join(F.broadcast(firsts), "length").select("length", "part", (F.col("first") + F.col("own")).alias("base")), "bases")
+    numbered = placed.join(broadcastable(bases), ["length", "part"]).withColumn("sequence_id", F.col("base") + F.col("turn"))
     return numbered.withColumn("offset", F.lit(0).cast("long")).drop("base", "part", "turn")
 
 
