@@ -30,8 +30,12 @@ def cumulative(cells: DataFrame) -> DataFrame:
     range-partitioned and written, summed inside each partition and shifted by
     the sums of the partitions before; no column is gathered in one place.
     """
-    tasks = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = cells.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    return summed_up(cells.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def summed_up(counts: DataFrame) -> DataFrame:
+    """cumulative() of values that are counted already, (column, value, n)."""
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = written(counts.repartitionByRange(tasks, "column", "value").withColumn("__p", F.spark_partition_id()), "counts")
     # One row for each partition and column.
     before = placed.groupBy("column", "__p").agg(F.sum("n").alias("__t"))
@@ -125,22 +129,28 @@ def outlier_votes(df: DataFrame, value: str, forest: bool = True) -> DataFrame:
 
     Votes: over 3 standard deviations from the mean; over 1.5 interquartile
     ranges beyond the quartiles; odd to an isolation forest (of 20 values or
-    more).  Without ``forest`` the last is no vote.
+    more).  Without ``forest`` the third vote is ``by_median``, over 3.5 scaled
+    median deviations from the median, which SQL can state.
     """
-    v = F.col(value)
+    v, third = F.col(value), "by_forest" if forest else "by_median"
     have = df.where(v.isNotNull() & ~F.isnan(v.cast("double")))
     found = written(cumulative(have.select(F.lit("v").alias("column"), v.cast("double").alias("value"))), "upto")
     base = have.agg(F.count(F.lit(1)).alias("n"), F.avg(value).cast("double").alias("mean"), F.stddev_samp(value).alias("std")).first()
     if base.n < FEWEST:
-        return have.limit(0).select(*df.columns, F.lit(0.0).alias("z"), *[F.lit(False).alias(c) for c in ("by_z", "by_range", "by_forest")], F.lit(0).alias("votes"))
-    low, high = quantiles_of(found, [QUARTILES[0], QUARTILES[-1]]).first().q
+        return have.limit(0).select(*df.columns, F.lit(0.0).alias("z"), *[F.lit(False).alias(c) for c in ("by_z", "by_range", third)], F.lit(0).alias("votes"))
+    low, mid, high = quantiles_of(found, QUARTILES).first().q
     z = F.abs(v - base.mean) / base.std if base.std else F.lit(0.0)
     odd = F.lit(False)
     if forest and base.n >= isolation.FEWEST:
         odd = isolation.scores(value, isolation.fit(found, base.n), base.n) > isolation.ODD
+    if not forest:
+        # Values are counted already, so their distances from the median are too.
+        off = found.groupBy("column", F.abs(F.col("value") - mid).alias("value")).agg(F.sum("n").alias("n"))
+        mad = quantiles_of(written(summed_up(off), "upto"), [0.5]).first().q[0]
+        odd = 0.6745 * F.abs(v - mid) / mad > 3.5 if mad else F.lit(False)
     reach = 1.5 * (high - low)
-    out = have.select(*df.columns, z.alias("z"), odd.alias("by_forest")).withColumn("by_z", F.col("z") > 3).withColumn("by_range", (v < low - reach) | (v > high + reach))
-    return out.select(*df.columns, "z", "by_z", "by_range", "by_forest", (F.col("by_z").cast("int") + F.col("by_range").cast("int") + F.col("by_forest").cast("int")).alias("votes"))
+    out = have.select(*df.columns, z.alias("z"), odd.alias(third)).withColumn("by_z", F.col("z") > 3).withColumn("by_range", (v < low - reach) | (v > high + reach))
+    return out.select(*df.columns, "z", "by_z", "by_range", third, (F.col("by_z").cast("int") + F.col("by_range").cast("int") + F.col(third).cast("int")).alias("votes"))
 
 
 def outliers(df: DataFrame, value: str, label: str, forest: bool = True) -> DataFrame:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from lodeframe.operators import retrieval
+from lodeframe.plans import registry
+
+registry.load()
 
 
 def test_recall_compares_kinds_of_rows(spark, monkeypatch):
@@ -21,3 +24,13 @@ def test_recall_compares_kinds_of_rows(spark, monkeypatch):
     found = {(r.query, r.key): (round(r.score, 9), r.matched) for r in retrieval.recall_tables(catalog, asked).collect()}
     assert set(found) == {(q, k) for q in range(200) for k in range(600) if q % 3 == k % 3} and {m for _, m in found.values()} == {2}
     assert rows["kinds"] == 4 and rows["hits"] == 200
+
+
+def test_three_votes_that_sql_states(spark, smallest, duck):
+    """All three count: the votes of outlier_votes include the one by the median, and the report of outliers goes by all."""
+    votes = registry.QUERIES["outlier_votes"](spark, smallest)
+    assert {"by_z", "by_range", "by_median", "votes"} < set(votes.columns)
+    assert votes.count() == duck.execute("SELECT count(value) FROM events").fetchone()[0]
+    assert votes.where("votes <> cast(by_z as int) + cast(by_range as int) + cast(by_median as int)").count() == 0
+    assert votes.agg({"votes": "max"}).first()[0] == 3
+    assert {r.votes for r in registry.QUERIES["anomalous_events"](spark, smallest).collect()} == {3}
