@@ -122,6 +122,7 @@ class InvertedLists:
         self.placed = placed.join(F.broadcast(parts), "list").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("parts")
         self.parts = parts
         self.reach = self._reach(told, placed, k, target, seed)
+        self.spans = self._spans(told)
 
     def _listed(self, df: DataFrame, name: str, least: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
         """Rows (``name``, vector) once for each list whose centre is as near as ``least`` of all nearnesses says."""
@@ -140,6 +141,25 @@ class InvertedLists:
         vector = df.schema["vector"].dataType.simpleString()
         return df.select(name, "vector").mapInArrow(run, f"list int, {name} {kind}, vector {vector}")
 
+    def _spans(self, told: DataFrame) -> np.ndarray:
+        """The widest angle between each centre and a vector that it is the nearest to; -inf of a list that is nobody's nearest."""
+        centres = self.centres
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            widest = np.full(len(centres), -np.inf)
+            for batch in batches:
+                for d, (_, matrix) in by_dimensions(batch.column("vector")).items():
+                    if d == centres.shape[1]:
+                        near = matrix @ centres.T
+                        np.maximum.at(widest, near.argmax(1), np.arccos(np.clip(near.max(1), -1, 1)))
+            at = np.flatnonzero(widest > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(widest[at])], ["list", "span"])
+
+        spans = np.full(len(centres), -np.inf)
+        for r in told.select("vector").mapInArrow(run, "list int, span double").groupBy("list").agg(F.max("span").alias("span")).collect():  # a row for each list
+            spans[r.list] = r.span
+        return spans
+
     def _reach(self, told: DataFrame, placed: DataFrame, k: int, target: float, seed: int) -> float:
         held = written(told.orderBy(F.xxhash64("key", F.lit(seed + 1))).limit(HELD).withColumnRenamed("key", "query"), "held")
         true = nearest(told, held, k + 1).where("key <> query").select("query", "key")
@@ -158,8 +178,45 @@ class InvertedLists:
             return nearest(self.vectors, asked, k)
         reach = self.reach if reach is None else reach
         queries = written(asked.select("query", "vector"), "asked")
+        return self._within(queries, self._listed(queries, "query", lambda near: near.max(1) - reach - 1e-12), k)
+
+    def exactly(self, asked: DataFrame, k: int) -> DataFrame:
+        """search() that misses nothing: after the lists within reach, every list that can hold a vector nearer than the k-th found.
+
+        A vector is no nearer to a query than the angle between the query and
+        the vector's nearest centre, less the widest angle of that centre's list.
+        """
+        if self.exact:
+            return nearest(self.vectors, asked, k)
+        queries = written(asked.select("query", "vector"), "asked")
+        centres, spans, reach = self.centres, self.spans, self.reach
+        found = written(self._within(queries, self._listed(queries, "query", lambda near: near.max(1) - reach - 1e-12), k), "found")
+        # Of a query with fewer than k results every vector at less than a right angle counts.
+        least = found.groupBy("query").agg(F.when(F.count(F.lit(1)) == k, F.min("score")).otherwise(0.0).alias("least"))
+        asked = queries.join(least, "query", "left").select("query", "vector", F.coalesce("least", F.lit(0.0)).alias("least"))
+        kind = asked.schema["query"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bound = np.arccos(np.clip(batch.column("least").to_numpy(), -1, 1))
+                for d, (rows, matrix) in by_dimensions(batch.column("vector")).items():
+                    if d == centres.shape[1]:
+                        near = matrix @ centres.T
+                        # Lists of the first round are left out; angles round.
+                        more = (np.arccos(np.clip(near, -1, 1)) - spans <= bound[rows][:, None] + 1e-6) & (near < near.max(1)[:, None] - reach - 1e-12)
+                        row, at = np.nonzero(more)
+                        of = pa.array(rows[row])
+                        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), batch.column("query").take(of), batch.column("vector").take(of)], ["list", "query", "vector"])
+
+        vector = queries.schema["vector"].dataType.simpleString()
+        rest = self._within(queries, asked.mapInArrow(run, f"list int, query {kind}, vector {vector}"), k)
+        both = found.drop("place").unionByName(rest.drop("place"))
+        return best(both.groupBy("query", "key").agg(F.max("score").alias("score")), k)
+
+    def _within(self, queries: DataFrame, opened: DataFrame, k: int) -> DataFrame:
+        """(query, key, score, place): the best ``k`` within the ``opened`` lists (list, query, vector) of each query."""
         blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-        opened = self._listed(queries, "query", lambda near: near.max(1) - reach - 1e-12).join(F.broadcast(self.parts), "list")
+        opened = opened.join(F.broadcast(self.parts), "list")
         opened = opened.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int")).select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "query", "vector")
         own = self.placed if blocks == 1 else self.placed.join(F.broadcast(opened.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))))
         own = own.withColumn("block", F.lit(0)) if blocks == 1 else own

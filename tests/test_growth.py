@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from lodeframe.operators import retrieval
+import numpy as np
+
+from lodeframe.operators import retrieval, vectors
 from lodeframe.plans import registry
 
 registry.load()
@@ -34,3 +36,21 @@ def test_three_votes_that_sql_states(spark, smallest, duck):
     assert votes.where("votes <> cast(by_z as int) + cast(by_range as int) + cast(by_median as int)").count() == 0
     assert votes.agg({"votes": "max"}).first()[0] == 3
     assert {r.votes for r in registry.QUERIES["anomalous_events"](spark, smallest).collect()} == {3}
+
+
+def _vectors(spark, n, d=8, seed=3):
+    rng = np.random.default_rng(seed)
+    rows = [(k, rng.normal(size=d).tolist()) for k in range(n)]
+    # Vectors without direction, of other dimensions, and copies.
+    return rows, spark.createDataFrame(rows + [(n, [0.0] * d), (n + 1, [1.0]), (n + 2, None), (n + 3, rows[0][1])], "key int, vector array<double>")
+
+
+def test_index_answers_exactly(spark):
+    """With lists that a plain search opens too few of, exactly() finds what a comparison with all finds."""
+    rows, own = _vectors(spark, 400)
+    index = vectors.InvertedLists(own, exact_below=0, target=0.1)
+    asked = own.where("key % 9 = 0").withColumnRenamed("key", "query")
+    told = lambda df: {(r.query, r.key, r.place): round(r.score, 9) for r in df.collect()}
+    plain = told(retrieval.nearest(own, asked, 5))
+    assert told(index.search(asked, 5)) != plain
+    assert told(index.exactly(asked, 5)) == plain
