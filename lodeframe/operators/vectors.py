@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -22,6 +23,8 @@ from .written import written
 DIMENSIONS, LEAST_DIMENSIONS, SIGN_BIT, EXACT_BELOW = 512, 64, 40, 5000
 #: The lists' centres are fitted on at most so many vectors, by hash of the key.
 FITTED = 100_000
+#: Entries of dense vectors that are made at once.
+DENSE = 1 << 21
 #: Lists at most, vectors of a part of a list, queries that a part meets at once.
 MOST_LISTS, PART, QUERY_BLOCK = 1024, 16_384, 50_000
 #: Vectors whose true neighbours set how far lists are opened, and the share of those neighbours to find.
@@ -64,19 +67,38 @@ def dimension_idf(entries: DataFrame) -> DataFrame:
     return entries.groupBy("dim").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("dim", "df", F.log((F.col("__n") + 1) / (F.col("df") + 1)).alias("idf"))
 
 
+def _dense(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(name, vector) of (name, list of (dim, w)): a place for each of ``width`` dimensions, DENSE of them at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, max(1, DENSE // width)):
+            some = batch.slice(start, max(1, DENSE // width))
+            of = some.column("of")
+            matrix = np.zeros((some.num_rows, width))
+            entries = of.flatten()
+            matrix[np.repeat(np.arange(some.num_rows), of.value_lengths().to_numpy(zero_copy_only=False)), entries.field("dim").to_numpy()] = entries.field("w").to_numpy()
+            ends = pa.array(np.arange(some.num_rows + 1, dtype=np.int32) * width)
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(ends, pa.array(matrix.ravel()))], [some.schema.names[0], "vector"])
+
+
 def search(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(query, key, score, place): the ``k`` sparse vectors of greatest cosine above 0, both sides weighed by idf.
 
-    ``asked`` (query, dim, value) is a stated set of queries.  Dimensions meet
-    by a join; sums are combined before the shuffle.
+    ``asked`` (query, dim, value) is a stated set of queries.  Vectors are put
+    together and compared by matrix products, so that what is shuffled grows with
+    the entries and not with the pairs.
     """
     idf = dimension_idf(entries)
     weigh = lambda df, name: df.join(F.broadcast(idf.select("dim", "idf")), "dim").select(name, "dim", (F.col("value") * F.col("idf")).alias("w"))  # noqa: E731, a row for each dimension
-    a, b = weigh(entries, "key"), weigh(asked, "query")
-    norms = lambda df, name: df.groupBy(name).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(f"n_{name}"))
-    dots = a.join(b.withColumnRenamed("w", "u"), "dim").groupBy("query", "key").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
-    scored = dots.join(norms(a, "key"), "key").join(norms(b, "query"), "query")
-    return best(scored.select("query", "key", F.try_divide("dot", F.col("n_key") * F.col("n_query")).alias("score")).where("score > 0"), k)
+    size = entries.agg(F.max("dim")).first()[0]
+    if size is None:
+        return asked.select("query", F.lit(None).cast(entries.schema["key"].dataType).alias("key"), F.lit(0.0).alias("score"), F.lit(1).alias("place")).limit(0)
+
+    def dense(df: DataFrame, name: str) -> DataFrame:
+        told = df.groupBy(name).agg(F.collect_list(F.struct("dim", "w")).alias("of"))
+        return told.mapInArrow(partial(_dense, width=size + 1), f"{name} {df.schema[name].dataType.simpleString()}, vector array<double>")
+
+    found = nearest(written(dense(weigh(entries, "key"), "key"), "weighed"), dense(weigh(asked, "query"), "query"), k)
+    return found.select("query", "key", "score", "place")
 
 
 def mismatched(vectors: DataFrame, vector: str, dimensions: int) -> DataFrame:

@@ -54,3 +54,28 @@ def test_index_answers_exactly(spark):
     plain = told(retrieval.nearest(own, asked, 5))
     assert told(index.search(asked, 5)) != plain
     assert told(index.exactly(asked, 5)) == plain
+
+
+def test_idf_search_shuffles_entries_not_pairs(spark):
+    """Products of each pair and dimension are no rows, and the scores are those of plain sums."""
+    rows, own = _vectors(spark, 300)
+    entries = vectors.sparse(own, "key", "vector").where("value > 0.1")
+    asked = entries.where("key % 10 = 0").withColumnRenamed("key", "query")
+    found = vectors.search(entries, asked, 4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "sum((w" not in plan
+    x = np.array([[v if v > 0.1 else 0 for v in (rows[k % 303] if k < 300 else rows[0])[1]] for k in [*range(300), 303]])
+    have = np.array([*range(300), 303])
+    # The one of another dimension counts for the frequencies.
+    df = (x > 0).sum(0) + np.eye(8)[0]
+    n = (x > 0).any(1).sum() + 1
+    w = x * np.log((n + 1) / (df + 1))
+    w = w / np.maximum(np.sqrt((w * w).sum(1)), 1e-12)[:, None]
+    got = {}
+    for r in found.orderBy("query", "place").collect():
+        got.setdefault(r.query, []).append((r.key, round(r.score, 9)))
+    for q in range(10, 300, 10):
+        score = np.round(w @ w[q], 9)
+        order = sorted((-s, k) for s, k in zip(score.tolist(), have.tolist()) if s > 0 and k != 301)[:6]
+        assert [s for _, s in got[q]] == [-s for s, _ in order][:4]
+    assert vectors.search(entries.limit(0), asked, 4).collect() == []
