@@ -15,6 +15,8 @@ GRADES = [(0.9, "极强"), (0.7, "强"), (0.4, "中等"), (0.2, "弱")]
 NO_GRADE = "极弱/无"
 REPORTED, FALLBACK, FEWEST = 15, 5, 8
 QUARTILES = [0.25, 0.5, 0.75]
+#: Rows of a task that clusters them at most, and those that are worth a task.
+ROWS, FEW = 1 << 17, 1 << 10
 
 
 def long_form(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -173,9 +175,13 @@ def clusters(df: DataFrame, columns: list[str], most: int = 6, seed: int = 42) -
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     numbers = VectorAssembler(inputCols=columns, outputCol="__raw").transform(filled(df, columns))
-    scaled = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(numbers).transform(numbers).persist()
+    # A narrow table is few splits of its file, and each is read anew in every step: its rows are dealt out, ROWS of them a task.
+    rows = numbers.count()
+    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+    scaled = StandardScaler(inputCol="__raw", outputCol="__x", withMean=True).fit(numbers).transform(numbers)
+    scaled = scaled.select(*columns, "__x").repartition(min(tasks, max(1, rows // FEW))).persist()
     try:
-        n = scaled.count()
+        n = rows
         if n < 10:
             raise ValueError("clusters need ten rows")
         judge = ClusteringEvaluator(featuresCol="__x", predictionCol="cluster")

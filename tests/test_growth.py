@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from lodeframe.operators import retrieval, vectors
+from lodeframe.operators import retrieval, stats, vectors
 from lodeframe.plans import registry
 
 registry.load()
@@ -79,3 +79,10 @@ def test_idf_search_shuffles_entries_not_pairs(spark):
         order = sorted((-s, k) for s, k in zip(score.tolist(), have.tolist()) if s > 0 and k != 301)[:6]
         assert [s for _, s in got[q]] == [-s for s, _ in order][:4]
     assert vectors.search(entries.limit(0), asked, 4).collect() == []
+
+
+def test_clusters_are_dealt_out(spark):
+    """A table of one split is clustered by several tasks."""
+    rows = spark.range(6000).coalesce(1).selectExpr("cast(id % 50 as double) as a", "cast(id % 7 as double) as b")
+    placed, _, _ = stats.clusters(rows, ["a", "b"], 3)
+    assert placed.count() == 6000 and placed.rdd.getNumPartitions() > 1
