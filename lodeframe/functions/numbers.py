@@ -43,7 +43,9 @@ def to_number(value: Column | str, strict: bool = False) -> Column:
         plain = lambda t: F.when(t.rlike(thousands), F.translate(t, ",", "")).otherwise(t)
         number = _bound(_bound(bare, plain), lambda t: F.when(t.rlike(r"^-?\d+(\.\d+)?$"), t.try_cast("double")))
         turned = _bound(number, lambda x: F.when(wrapped, -F.abs(x) if strict else -x).otherwise(x))
-        return F.when((F.length(text) > 0) & (F.length(text) <= LONGEST_NUMBER), turned)
+        # No other character can begin a number, and most cells of a text column are told by it.
+        begins = F.instr(F.lit("0123456789-( " + CURRENCY_SIGNS), F.left(text, F.lit(1))) > 0
+        return F.when((F.length(text) > 0) & (F.length(text) <= LONGEST_NUMBER) & begins, turned)
 
     return _bound(F.regexp_replace(F.regexp_replace(F.trim(_column(value).cast("string")), "\u00a0", " "), "\u200b", ""), read)
 

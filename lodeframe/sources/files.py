@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 from itertools import islice
 
 import pyarrow as pa
@@ -33,23 +33,31 @@ def discover(spark: SparkSession, folder: str) -> DataFrame:
     return found.where(suffix.isin(*SUFFIXES) & ~name.startswith("~$")).orderBy(F.lower(name))
 
 
-def _count_bad(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bad = [0] * len(ENCODINGS)
+def _bad(batches: Iterator[pa.RecordBatch], encoding: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for line in batch.column(0).to_pylist():
-            for k, name in enumerate(ENCODINGS):
-                try:
-                    line.decode(name)
-                except UnicodeDecodeError:
-                    bad[k] += 1
-    yield pa.RecordBatch.from_arrays([pa.array(ENCODINGS), pa.array(bad)], ["encoding", "bad"])
+        try:
+            # No encoding of the ladder takes a line end for a part of a character, so lines read together as they do alone.
+            b"\n".join(batch.column(0).drop_null().to_pylist()).decode(encoding)
+        except UnicodeDecodeError:
+            yield pa.RecordBatch.from_arrays([pa.array([1])], ["bad"])
 
 
 def encoding_of(lines: DataFrame) -> str:
-    """The first encoding of the ladder that reads every line of a column of bytes; all of them are looked at."""
-    bad = lines.mapInArrow(_count_bad, "encoding string, bad long").groupBy("encoding").agg(F.sum("bad").alias("bad"))
-    found = {r.encoding for r in bad.where("bad > 0").collect()}  # a row for each encoding
-    return next(e for e in ENCODINGS if e not in found or e == ENCODINGS[-1])
+    """The first encoding of the ladder that reads every line of a column of bytes; all lines are looked at, once for each encoding that is tried."""
+    for encoding in ENCODINGS[:-1]:
+        if lines.mapInArrow(partial(_bad, encoding=encoding), "bad long").agg(F.count(F.lit(1))).first()[0] == 0:
+            return encoding
+    return ENCODINGS[-1]
+
+
+@cache
+def _closed(inside: bool, separator: str) -> re.Pattern:
+    """A line at whose end no quoted cell is open, if one was (``inside``) or was not at its start."""
+    mark = re.escape(separator)
+    to_mark = rf"(?:(?!{mark})[\s\S])*+" if len(separator) > 1 else f"[^{mark}]*+"
+    rest = rf'[^"]*+(?:""[^"]*+)*+"{to_mark}'
+    cell = rf'(?: *+"{rest}|(?! *+"){to_mark})'
+    return re.compile(rf"{rest}(?:{mark}{cell})*+" if inside else rf"{cell}(?:{mark}{cell})*+")
 
 
 def ends_inside(line: str, inside: bool, separator: str) -> bool:
@@ -57,25 +65,7 @@ def ends_inside(line: str, inside: bool, separator: str) -> bool:
 
     Only a quote at the start of a cell opens it; two quotes within are one.
     """
-    at = 0
-    while True:
-        if not inside:
-            if line[at:].lstrip(" ")[:1] == '"':
-                at, inside = line.index('"', at) + 1, True
-            else:
-                at = line.find(separator, at) + len(separator)
-                if at < len(separator):
-                    return False
-                continue
-        close = line.find('"', at)
-        while close >= 0 and line[close + 1 : close + 2] == '"':
-            close = line.find('"', close + 2)
-        if close < 0:
-            return True
-        inside = False
-        at = line.find(separator, close) + len(separator)
-        if at < len(separator):
-            return False
+    return _closed(inside, separator).fullmatch(line) is None
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], encoding: str) -> Iterator[tuple[tuple[str, int], list[str], bool]]:

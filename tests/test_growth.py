@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import random
+
 import numpy as np
 import pyarrow as pa
 
 from lodeframe.operators import chunks, retrieval, stats, vectors
 from lodeframe.plans import registry
+from lodeframe.sources import files
 
 registry.load()
 
@@ -103,3 +106,40 @@ def test_chunk_rows_keep_their_columns(spark):
     rows = sorted(chunks.chunks(docs, "source", "text").collect(), key=lambda r: (r.k, r.chunk_index))
     assert [(r.k, r.source, r.x, r.chunk_index, r.ref) for r in rows[:2]] == [(1, "a", 2.5, 0, "a#0"), (3, None, 1.0, 0, rows[1].ref)] and len(rows) == 4
     assert rows[0].chunk == "one\ntwo"
+
+
+def _plain_end(line, inside, separator):
+    """Whether a quoted cell is open at the end of a line, a character at a time."""
+    at, start = 0, not inside
+    while at < len(line):
+        if inside:
+            if line[at] == '"' and line[at + 1 : at + 2] == '"':
+                at += 1
+            elif line[at] == '"':
+                inside = False
+        elif line.startswith(separator, at):
+            start = True
+            at += len(separator)
+            continue
+        elif start and line[at] == '"':
+            inside, start = True, False
+        elif line[at] != " ":
+            start = False
+        at += 1
+    return inside
+
+
+def test_encodings_are_tried_in_turn(spark, monkeypatch):
+    """Lines in the first encoding of the ladder are decoded by that alone; a later one is found where an earlier fails."""
+    rng = random.Random(4)
+    for _ in range(3000):
+        line = "".join(rng.choice('"", ab|') for _ in range(rng.randrange(12)))
+        for separator in (",", "|"):
+            for inside in (False, True):
+                assert files.ends_inside(line, inside, separator) == _plain_end(line, inside, separator), (line, inside)
+    tried, keep = [], files._bad
+    monkeypatch.setattr(files, "partial", lambda f, **given: tried.append(given.get("encoding")) or (lambda batches, e=given["encoding"]: keep(batches, e)))
+    lines = lambda name, text: spark.createDataFrame([(bytearray(text.encode(name)),), (bytearray(b"plain"),), (None,)], "line binary")
+    assert files.encoding_of(lines("utf-8", "中文 text")) == "utf-8" and tried == ["utf-8"]
+    assert files.encoding_of(lines("gb18030", "中文")) == "gb18030"
+    assert files.encoding_of(lines("latin-1", "caf\xe9\xff")) == "latin-1"
