@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import partial
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.masking import ADDRESS_LABELS, NAME_LABELS, NUMBER_LABELS, TITLES, mask_free_text
 
@@ -33,73 +34,38 @@ def safe_cut(held: str) -> int:
     return free or (len(held) if len(held) >= MOST else 0)
 
 
-class _Pieces(StatefulProcessor):
-    """Holds the unsent text of a stream and the pieces that came before their turn."""
-
-    def __init__(self, silent: int) -> None:
-        self.silent = silent
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        whole = StructType([StructField("held", StringType()), StructField("next", IntegerType()), StructField("part", IntegerType())])
-        self.sent = handle.getValueState("sent", whole)
-        piece = StructType([StructField("chunk", StringType()), StructField("last", BooleanType())])
-        self.early = handle.getMapState("early", StructType([StructField("seq", IntegerType())]), piece)
-
-    def _told(self) -> tuple[str, int, int]:
-        return tuple(self.sent.get()) if self.sent.exists() else ("", 0, 0)
-
-    def _end(self) -> None:
-        self.sent.clear()
-        self.early.clear()
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-
-    @staticmethod
-    def _row(key, part: int, text: str) -> pd.DataFrame:
-        return pd.DataFrame({"stream": [key[0]], "part": [part], "text": [text]}).astype({"part": "int32"})
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held, turn, part = self._told()
-        pieces = {}
-        for frame in rows:
-            for seq, chunk, last in zip(frame["seq"], frame["chunk"], frame["last"], strict=True):
-                # What was sent already, or comes again, is left out.
-                if seq >= turn:
-                    pieces.setdefault(int(seq), (chunk or "", bool(last)))
-        done = False
-        while not done:
-            if turn in pieces:
-                chunk, done = pieces.pop(turn)
-            elif self.early.containsKey((turn,)):
-                chunk, done = self.early.getValue((turn,))
-                self.early.removeKey((turn,))
-            else:
-                break
-            held, turn = held + chunk, turn + 1
-        cut = len(held) if done else safe_cut(held)
-        if cut:
-            yield self._row(key, part, held[:cut])
-        if done:
-            self._end()
-            return
-        for seq, piece in pieces.items():
-            self.early.updateValue((seq,), piece)
-        self.sent.update((held[cut:], turn, part + bool(cut)))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held, _, part = self._told()
-        late = sorted((k[0], v[0]) for k, v in self.early.iterator())
-        text = held + "".join(chunk for _, chunk in late)
-        self._end()
-        if text:
-            yield self._row(key, part, text)
+#: What a stream keeps: text that waits, the number of the next piece and of the next part, and pieces that came before their turn.
+STATE = "held string, next int, part int, early array<struct<seq:int,chunk:string,last:boolean>>"
+
 
-    def close(self) -> None:
-        pass
+def _in_turn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, silent: int) -> Iterator[pd.DataFrame]:
+    """Gives out what is safe of a stream, keeps the rest; a stream that was silent for too long ends with all there is."""
+    held, turn, part, early = state.get if state.exists else ("", 0, 0, [])
+    pieces = {p[0]: (p[1], p[2]) for p in early}
+    if state.hasTimedOut:
+        text = held + "".join(pieces[seq][0] for seq in sorted(pieces))
+        state.remove()
+        if text:
+            yield pd.DataFrame({"stream": [key[0]], "part": np.array([part], np.int32), "text": [text]})
+        return
+    for frame in frames:
+        for seq, chunk, last in zip(frame["seq"].tolist(), frame["chunk"].tolist(), frame["last"].tolist(), strict=True):
+            # What was sent already, or comes again, is left out.
+            if seq >= turn:
+                pieces.setdefault(int(seq), (chunk or "", bool(last)))
+    done = False
+    while not done and turn in pieces:
+        chunk, done = pieces.pop(turn)
+        held, turn = held + chunk, turn + 1
+    cut = len(held) if done else safe_cut(held)
+    if done:
+        if state.exists:
+            state.remove()
+    else:
+        state.update((held[cut:], turn, part + bool(cut), [(seq, *piece) for seq, piece in sorted(pieces.items())]))
+        state.setTimeoutDuration(silent)
+    if cut:
+        yield pd.DataFrame({"stream": [key[0]], "part": np.array([part], np.int32), "text": [held[:cut]]})
 
 
 @contextmanager
@@ -128,8 +94,11 @@ def masked_stream(chunks: DataFrame, silent: int = SILENT) -> DataFrame:
         whole = told.select(F.col("stream").cast("long"), F.lit(0).alias("part"), F.array_join(F.transform("x", lambda p: p["chunk"]), "").alias("text"))
         return whole.where("text <> ''").withColumn("text", mask_free_text("text"))
     conf = chunks.sparkSession.conf
-    # Timers and several states need this store.
+    # Streams by the million are kept outside of the heap.
     if "RocksDB" not in conf.get("spark.sql.streaming.stateStore.providerClass", ""):
         conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    sent = chunks.groupBy("stream").transformWithStateInPandas(_Pieces(silent), "stream long, part int, text string", "append", "processingTime")
+    # State comes and goes with the rows, in Arrow batches, and not by calls for each stream.
+    sent = chunks.select("stream", "seq", "chunk", "last").groupBy("stream").applyInPandasWithState(
+        partial(_in_turn, silent=silent), "stream long, part int, text string", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+    )
     return sent.where("text <> ''").withColumn("text", mask_free_text("text"))

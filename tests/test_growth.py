@@ -5,11 +5,13 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 from lodeframe.operators import chunks, retrieval, stats, vectors
 from lodeframe.plans import registry
 from lodeframe.sources import files
+from lodeframe.streaming import masker
 
 registry.load()
 
@@ -143,3 +145,26 @@ def test_encodings_are_tried_in_turn(spark, monkeypatch):
     assert files.encoding_of(lines("utf-8", "中文 text")) == "utf-8" and tried == ["utf-8"]
     assert files.encoding_of(lines("gb18030", "中文")) == "gb18030"
     assert files.encoding_of(lines("latin-1", "caf\xe9\xff")) == "latin-1"
+
+
+def test_stream_state_comes_with_the_rows():
+    """A batch of a stream is one read and one write of its state, whatever it has to keep."""
+
+    class State:
+        exists, hasTimedOut, calls, get = False, False, 0, None
+
+        def update(self, new):
+            self.exists, self.get, self.calls = True, new, self.calls + 1
+
+        def remove(self):
+            self.exists, self.get = False, None
+
+        def setTimeoutDuration(self, silent):
+            self.silent = silent
+
+    state = State()
+    frame = lambda rows: iter([pd.DataFrame(rows, columns=["seq", "chunk", "last"])])
+    assert list(masker._in_turn((7,), frame([(k, f"<{k}>", k == 9) for k in range(1, 10)]), state, 50)) == []
+    assert state.calls == 1 and state.silent == 50 and len(state.get[3]) == 9
+    (out,) = masker._in_turn((7,), frame([(0, "<0>", False), (3, "again", False)]), state, 50)
+    assert out.values.tolist() == [[7, 0, "".join(f"<{k}>" for k in range(10))]] and not state.exists and state.calls == 1
