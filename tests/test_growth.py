@@ -168,3 +168,19 @@ def test_stream_state_comes_with_the_rows():
     assert state.calls == 1 and state.silent == 50 and len(state.get[3]) == 9
     (out,) = masker._in_turn((7,), frame([(0, "<0>", False), (3, "again", False)]), state, 50)
     assert out.values.tolist() == [[7, 0, "".join(f"<{k}>" for k in range(10))]] and not state.exists and state.calls == 1
+
+
+def test_tfidf_shuffles_texts_not_tokens(spark, monkeypatch):
+    """The corpus is counted after one shuffle of its texts by key."""
+    plans, keep = {}, retrieval.written
+
+    def telling(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(retrieval, "written", telling)
+    docs = spark.createDataFrame([(1, "a b b"), (2, None), (3, "b c"), (3, "c d")], "key int, text string")
+    asked = spark.createDataFrame([(1, "b"), (2, "zz")], "query int, text string")
+    got = {r.key for r in retrieval.tfidf(docs, asked).collect()}
+    assert got == {1, 3} and plans["counts"].count("Exchange hashpartitioning") == 1
+    assert "Exchange hashpartitioning(key" in plans["counts"] and "token" not in plans["counts"].split("Exchange hashpartitioning")[1].split("\n")[0]
