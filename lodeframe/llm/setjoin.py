@@ -312,6 +312,21 @@ def pack_sets(s: Sets) -> pa.Array:
     return pa.array([s.token[a:b].tobytes() + s.check[a:b].tobytes() for a, b in spans], pa.binary())
 
 
+def _unpacked(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and checks of sets from pack_sets(), one after the other."""
+    token = [np.frombuffer(d, np.uint64, len(d) // 16) for d in data]
+    check = [np.frombuffer(d, np.uint64, len(d) // 16, len(d) // 2) for d in data]
+    return tuple(np.concatenate(x) if x else np.empty(0, np.uint64) for x in (token, check))
+
+
+def overlaps(own: list[bytes], other: list[bytes]) -> np.ndarray:
+    """How many elements each set of ``own`` shares with the one of ``other`` at its place, both from pack_sets()."""
+    _, number = _ids(*_unpacked([*own, *other]))
+    row = np.repeat(np.concatenate((np.arange(len(own)),) * 2), [len(d) // 16 for d in (*own, *other)])
+    both = np.sort((row << 32) | number)
+    return np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=len(own))
+
+
 class Block:
     """Some sets that share the token ``key``, to be compared with one another; ``part``: parts that must differ."""
 
@@ -320,8 +335,7 @@ class Block:
     def __init__(self, data: list[bytes], key: int, part: np.ndarray | None = None) -> None:
         self.size = np.array([len(d) // 16 for d in data], np.int64)
         self.part = part
-        token = np.concatenate([np.frombuffer(d, np.uint64, len(d) // 16) for d in data])
-        check = np.concatenate([np.frombuffer(d, np.uint64, len(d) // 16, len(d) // 2) for d in data])
+        token, check = _unpacked(data)
         at, column = _ids(token, check)
         low, high = np.searchsorted(token[at], [key, key + 1])
         count = np.bincount(column, minlength=at.size)

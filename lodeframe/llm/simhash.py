@@ -161,13 +161,17 @@ def as_hex(fingerprint: Column | str) -> Column:
 def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates, that of the least doc_id; columns stay.
 
-    Groups are linked by an exact Jaccard similarity of 0.8 or more of the sets
-    of ``words``-word shingles.  A null doc_id comes after all others; of
-    different texts with one doc_id the one with the least hash stays, of
-    repeated rows any one.
+    SimHash fingerprints of ``words``-word shingles link first, as in
+    near_duplicates(); a Jaccard similarity of 0.8 or more of the sets of shingles
+    confirms each link.  Texts of that similarity may differ in more than four
+    bits, so the exact join of the sets adds the links that fingerprints lack.  A
+    null doc_id comes after all others; of different texts with one doc_id the one
+    with the least hash stays, of repeated rows any one.
     """
     tag = F.xxhash64("text")
-    prints, groups = near_documents(docs, words)
+    marked = docs.select("doc_id", "text", tag.alias("tag"))
+    near = near_duplicates(materialise(fingerprints(marked, words, ("doc_id", "tag")), "prints"))
+    prints, groups = near_documents(docs, words, groups=near.select("doc_id", "tag", "component"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")))
     # One row for each class, so that a common text is no bottleneck of the join.
     classes = prints.groupBy(*CLASS).agg(first.alias("first"))

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import random
+from functools import partial
 
+import numpy as np
 import pytest
-from test_simhash import WORD, lowered
+from test_simhash import WORD, lowered, plain_print
 
+import corpus_pipeline
 from lodeframe.llm import neardocs, simhash
 
 
@@ -77,3 +80,56 @@ def test_repeated_shingles_do_not_merge_clean_texts(spark):
     texts = [common + " " + " ".join(f"{side}{i}" for i in range(40)) for side in "ab"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [0, 1]
+
+
+def test_the_stage_links_by_simhash_first(spark, monkeypatch):
+    """Fingerprints of five-word shingles link, sets confirm, and the set join is left with what fingerprints lack."""
+    rng = random.Random(7)
+    base, other = ([f"{side}{i}" for i in range(300)] for side in "xy")
+    texts = [" ".join([*base, f"end{k}"]) for k in range(12)]  # within four bits of one another
+    for _ in range(6):  # alike, yet most of them more than four bits apart
+        near = list(other)
+        for at in rng.sample(range(300), 6):
+            near[at] = f"z{rng.random()}"
+        texts.append(" ".join(near))
+    again = " ".join(["again"] * 400)
+    texts += [again + " " + " ".join(f"{side}{i}" for i in range(40)) for side in "ab"]  # one fingerprint, unlike sets
+    texts += [again + " " + " ".join(f"c{i}" for i in range(40)) + f" end{k}" for k in range(2)]
+    docs = spark.createDataFrame([(k, t, None, None, len(t)) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    seen = {}
+
+    def spy(module, name):
+        inner = getattr(module, name)
+
+        def call(*args, **more):
+            out = inner(*args, **more)
+            seen[name] = (args, out)
+            return out
+
+        monkeypatch.setattr(module, name, call)
+
+    spy(simhash, "near_duplicates")
+    spy(neardocs, "checked_links")
+    spy(neardocs, "unsettled")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == plain_kept(texts)
+    prints = {r.doc_id: r.fingerprint & (1 << 64) - 1 for r in seen["near_duplicates"][0][0].collect()}
+    assert prints == {k: plain_print(t, 5) for k, t in enumerate(texts)}
+    links = seen["checked_links"][1].collect()
+    ids = {r.id: r.doc for r in seen["unsettled"][0][1].collect()}
+    pairs = [(ids[r.a], ids[r.b]) for r in links]
+    assert len([p for p in pairs if max(p) < 12]) == 11  # one comparison each
+    assert all(similarity(plain_set(texts[a]), plain_set(texts[b])) >= 0.8 for a, b in pairs)
+    before, after = (seen["unsettled"][0][0].count(), seen["unsettled"][1].count())
+    assert 0 < after < before
+
+
+def test_leaders_of_large_groups_go_to_several_tasks(spark):
+    texts = [" ".join([f"x{i}" for i in range(60)] + [f"end{k}"]) for k in range(30)] + ["quite another text " * 5]
+    sets = [plain_set(t) for t in texts]
+    docs = spark.createDataFrame([(k, t, 0, k) for k, t in enumerate(texts)], "id long, text string, tail int, node long")
+    packed = docs.mapInArrow(partial(neardocs._elements, rank=np.zeros(neardocs.BUCKETS, np.int32), size=5), "node long, tail int, id long, elements binary")
+    groups = docs.selectExpr("id", "7L as component")
+    for most in (4, 2048):
+        got = {(r.a, r.b) for r in neardocs.checked_links(groups, packed, most).collect()}
+        assert got == {(k, 0) for k in range(1, 31) if similarity(sets[0], sets[k]) >= 0.8} and len(got) == 29
