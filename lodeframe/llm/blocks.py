@@ -44,59 +44,6 @@ def block_groups(rows: DataFrame, key: str, member: str, block: int = BLOCK) ->
     return dealt.repartition(tasks(rows), key, "i", "j").sortWithinPartitions(key, "i", "j", member)
 
 
-def small_or_over(batches: Iterator[pa.RecordBatch], key: str = "key", block: int = BLOCK, rows: int = 65536) -> Iterator[tuple[pa.Table, bool]]:
-    """Join sorted batches to tables that end where a group ends: (table, False).
-
-    A group of over ``block`` rows is handed on piece by piece as (table, True),
-    never held; it is for block_groups() to deal out.
-    """
-    held: list[pa.RecordBatch] = []
-    n = 0
-
-    def cut(table: pa.Table, last: bool) -> tuple[list[tuple[pa.Table, bool]], pa.Table]:
-        """Tables that are complete, and the rows of a group that may go on."""
-        value = table.column(key).to_numpy()
-        start = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-        stop = np.append(start[1:], value.size)
-        done = stop.size if last else stop.size - 1
-        large = np.flatnonzero(stop[:done] - start[:done] > block)
-        out, at = [], 0
-        for g in large.tolist():
-            if start[g] > at:
-                out.append((table.slice(at, int(start[g]) - at), False))
-            out.append((table.slice(int(start[g]), int(stop[g] - start[g])), True))
-            at = int(stop[g])
-        end = int(stop[done - 1]) if done else 0
-        if end > at:
-            out.append((table.slice(at, end - at), False))
-        return out, table.slice(end)
-
-    over = None  # the key of a group that has begun to be handed on
-    for batch in batches:
-        if over is not None:
-            same = batch.column(batch.schema.get_field_index(key)).to_numpy() == over
-            go_on = batch.num_rows if same.all() else int(np.argmin(same))
-            if go_on:
-                yield pa.Table.from_batches([batch.slice(0, go_on)]), True
-            batch = batch.slice(go_on)
-            if not batch.num_rows:
-                continue
-            over = None
-        held.append(batch)
-        n += batch.num_rows
-        if n < rows:
-            continue
-        done, rest = cut(pa.Table.from_batches(held), False)
-        yield from done
-        if rest.num_rows > block:
-            over = rest.column(key)[0].as_py()
-            yield rest, True
-            rest = rest.slice(0, 0)
-        held, n = rest.to_batches(), rest.num_rows
-    if n:
-        yield from cut(pa.Table.from_batches(held), True)[0]
-
-
 def whole_blocks(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...] = ("key", "i", "j"), rows: int = 65536) -> Iterator[pa.Table]:
     """Join sorted batches to tables that end where a block ends."""
     held: list[pa.RecordBatch] = []

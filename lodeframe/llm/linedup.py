@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLOCK
 from .bytewords import Words, words
-from .setjoin import BUCKETS, CLASS, ELEMENTS, PREFIX_TYPES, Seen, Sets, candidates, count, count_rows, distinct, members, pack_sets, prefix_rows, rarity, verified_blocks
+from .setjoin import BUCKETS, CLASS, ELEMENTS, PACKED, Seen, Sets, candidates, count, count_rows, distinct, members, pack_sets, packed, prefix_rows, rarity, verified_blocks
 from .storage import broadcastable, in_batches, materialise
 
 
@@ -53,13 +53,17 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch], rank: np.ndarray, single: int) -> Iterator[pa.RecordBatch]:
-    """Prefix rows of each class, once for a chunk, mostly once for a task."""
+def _prefixes(batches: Iterator[pa.RecordBatch], rank: np.ndarray, single: int, shares: int) -> Iterator[pa.RecordBatch]:
+    """Prefix rows of each class, packed by share, once for a chunk, mostly once for a task."""
     seen = Seen()
-    for batch in batches:
-        for w in words(batch.column("text")):
-            s, _ = _lines(w, rank)
-            yield prefix_rows(s, seen.fresh(s), single, wide=True)
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in words(batch.column("text")):
+                s, _ = _lines(w, rank)
+                yield prefix_rows(s, seen.fresh(s), single, wide=True)
+
+    yield from packed(rows(), shares)
 
 
 def _elements(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -73,16 +77,14 @@ def _elements(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[p
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(node, tail, links, doc, line) for each member with a link that is counted in its block; doc, line: the earliest."""
-    for block, rows in verified_blocks(batches, ("doc", "line")):
+    for rows, pairs in verified_blocks(batches, ("doc", "line")):
         n = rows.num_rows
         links, least = np.zeros(n, np.int64), np.full(n, n)
-        for at, ok in block.tiles():
-            links[at : at + len(ok)] += ok.sum(1)
-            links += ok.sum(0)
+        for a, b in pairs:
+            links += np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
             # Members are in order, so the first link is the earliest.
-            mine = least[at : at + len(ok)]
-            mine[:] = np.minimum(mine, np.where(ok.any(1), ok.argmax(1), n))
-            least = np.minimum(least, np.where(ok.any(0), ok.argmax(0) + at, n))
+            np.minimum.at(least, a, b)
+            np.minimum.at(least, b, a)
         found = np.flatnonzero(links)
         if found.size:
             own, other = rows.take(pa.array(found)), rows.take(pa.array(least[found]))
@@ -107,10 +109,10 @@ def matched_lines(docs: DataFrame, block: int = BLOCK, elements: int = ELEMENTS)
     source = docs.select(F.coalesce("doc_id", least).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("tag"))
     scan = materialise(in_batches(source, _scan, "kind int, a long, line long, node long, tail int, tag long, counts binary"), "lines", "kind")
     lines = scan.where("kind = 0").select(F.col("a").alias("doc"), "line", *CLASS, "tag")
-    rank, single = rarity(scan.where("kind = 1"))
+    rank, single, shares = rarity(scan.where("kind = 1"))
 
     classes = materialise(lines.groupBy(*CLASS).agg(F.min(F.struct("doc", "line", "tag")).alias("first")).select(*CLASS, "first.*"), "classes")
-    rows = in_batches(source.select("text"), partial(_prefixes, rank=rank, single=single), ", ".join(f"{c} {t}" for c, t in PREFIX_TYPES.items()))
+    rows = in_batches(source.select("text"), partial(_prefixes, rank=rank, single=single, shares=shares), PACKED)
     met = candidates(rows, block)
     active = materialise(met.select(*CLASS).distinct().join(classes, CLASS), "active")
 

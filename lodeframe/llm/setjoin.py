@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import block_groups, pairs_by_offset, small_or_over, weighed_blocks, whole_blocks
+from .blocks import block_groups, pairs_by_offset, weighed_blocks, whole_blocks
 from .bytewords import mix
 from .order import tasks
-from .storage import in_batches, materialise
+from .storage import in_batches, materialise, release
 
 #: Element counts are kept for this many hash buckets: the table that tasks get is 4 MB, whatever the input.
 BUCKETS = 1 << 20
@@ -33,12 +33,20 @@ PART = 4096
 REST = np.uint64(43)
 #: Sets of up to so many elements have bitmaps of 64 and of 128 bits; larger ones have 256.
 NARROW, MEDIUM = 96, 200
+#: Prefix rows that a task holds before it gives them out, and those after which it looks for large groups.
+HELD = 1 << 18
+#: Elements counted for each share of the prefix rows, and shares for each task at least.
+SHARED, EACH = 1 << 20, 32
+#: Blocks of up to so many sets are verified many at once.
+FEW = 64
 #: Most elements, and most sets, in each half of a block that is verified.
 ELEMENTS, MEMBERS = 1 << 18, 2048
 
 CLASS = ["node", "tail"]
 PREFIX = ["key", "node", "tail", "size", "b0", "b1", "b2", "b3"]
 PREFIX_TYPES = {c: "int" if c == "tail" else "long" for c in PREFIX}
+#: Prefix rows of one share, column by column.
+PACKED = "share int, rows int, data binary"
 _FOUND = "node long, tail int, key long, size long, others long"
 _FOUND_NAMES = [f.split()[0] for f in _FOUND.split(", ")]
 
@@ -158,8 +166,8 @@ def _sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([c.astype(np.uint64).tobytes() for c in total.values()], pa.binary())], ["a", "counts"])
 
 
-def rarity(parts: DataFrame) -> tuple[np.ndarray, int]:
-    """Rank of each bucket, rarest first, and the number of buckets with one element or none, from count_rows()."""
+def rarity(parts: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Rank of each bucket, rarest first, the number of buckets with one element or none, and of shares, from count_rows()."""
     spread = parts.select("a", "counts").repartition(min(tasks(parts), BUCKETS // PART), "a")
     # BUCKETS counts, whatever the input.
     summed = in_batches(spread, _sum_counts, "a long, counts binary").toArrow()
@@ -168,7 +176,7 @@ def rarity(parts: DataFrame) -> tuple[np.ndarray, int]:
         count[at : at + PART] = _part(counts)
     rank = np.empty(BUCKETS, np.int32)
     rank[np.argsort(count, kind="stable")] = np.arange(BUCKETS, dtype=np.int32)
-    return rank, int((count <= 1).sum())
+    return rank, int((count <= 1).sum()), max(EACH * tasks(parts), int(count.sum()) // SHARED)
 
 
 # Candidates
@@ -210,6 +218,101 @@ def prefix_rows(s: Sets, pick: np.ndarray, single: int, wide: bool) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(s.node[row]), pa.array(s.tail[row]), pa.array((s.n[row].astype(np.int64) << 32) | place), *bits], PREFIX)
 
 
+def packed(parts: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBatch]:
+    """Rows of PACKED for prefix_rows(): those of one key are all in one share."""
+    held: list[pa.RecordBatch] = []
+    n = 0
+    for part in parts:
+        held.append(part)
+        n += part.num_rows
+        if n >= HELD:
+            yield _packed(held, shares)
+            held, n = [], 0
+    if n:
+        yield _packed(held, shares)
+
+
+def _packed(held: list[pa.RecordBatch], shares: int) -> pa.RecordBatch:
+    cols = {c: np.concatenate([x.column(c).to_numpy() for x in held]) for c in PREFIX}
+    n, place = cols["size"] >> 32, cols["size"] & 0xFFFFFFFF
+    share = (mix(cols["key"].view(np.uint64)) % np.uint64(shares)).astype(np.uint32)
+    # Rows of narrow bitmaps lie together, so that what they leave empty costs nothing.
+    order = np.argsort(share * np.uint32(3) + (n > NARROW) + (n > MEDIUM), kind="stable")
+    kind = np.uint16 if n.max() < 1 << 16 else np.uint32
+    out = [cols["key"], cols["node"], cols["tail"], n.astype(kind), place.astype(kind), *(cols[f"b{k}"] for k in range(4))]
+    out, share = [x[order] for x in out], share[order]
+    start = _runs(share)
+    stop = np.append(start[1:], share.size)
+    data = [b"".join([x[a:b].tobytes() for x in out]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(share[start].view(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(data, pa.binary())], ["share", "rows", "data"])
+
+
+def _unpacked_rows(data: bytes, rows: int) -> dict[str, np.ndarray]:
+    """PREFIX columns from one row of PACKED."""
+    at = 0
+
+    def take(kind: type) -> np.ndarray:
+        nonlocal at
+        out = np.frombuffer(data, kind, rows, at)
+        at += out.nbytes
+        return out
+
+    cols = {"key": take(np.int64), "node": take(np.int64), "tail": take(np.int32)}
+    kind = np.uint16 if len(data) == 56 * rows else np.uint32
+    n = take(kind).astype(np.int64)
+    cols["size"] = (n << 32) | take(kind)
+    return cols | {f"b{k}": take(np.int64) for k in range(4)}
+
+
+def _together(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
+    return {c: np.concatenate([p[c] for p in parts]) for c in PREFIX}
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], block: int, rows: int = 65536) -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+    """From rows of PACKED in order of share: (columns, False) for whole groups of a key, sorted by key and class.
+
+    A group of over ``block`` rows is handed on piece by piece as (columns, True),
+    never held; it is for block_groups() to deal out.
+    """
+    held: list[dict[str, np.ndarray]] = []
+    n, most, now = 0, HELD, None
+    over = np.empty(0, np.int64)  # keys of large groups that have begun to be handed on
+
+    def parted() -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+        """Rows of large groups, and the others."""
+        nonlocal over
+        cols = _together(held)
+        key, count = np.unique(cols["key"], return_counts=True)
+        over = np.union1d(over, key[count > block])
+        large = np.isin(cols["key"], over) if over.size else np.zeros(n, bool)
+        return tuple({c: v[pick] for c, v in cols.items()} for pick in (large, ~large))
+
+    def last() -> Iterator[tuple[dict[str, np.ndarray], bool]]:
+        large, small = parted()
+        if large["key"].size:
+            yield large, True
+        if small["key"].size:
+            order = np.lexsort((small["tail"], small["node"], small["key"]))
+            yield {c: v[order] for c, v in small.items()}, False
+
+    for batch in batches:
+        for share, count, data in zip(batch.column("share").to_pylist(), batch.column("rows").to_pylist(), batch.column("data"), strict=True):
+            if share != now and n >= rows:
+                yield from last()
+                held, n, most, over = [], 0, HELD, over[:0]
+            now = share
+            held.append(_unpacked_rows(data.as_py(), count))
+            n += count
+            if n > most:
+                large, small = parted()
+                if large["key"].size:
+                    yield large, True
+                held, n = [small], small["key"].size
+                most = max(HELD, 2 * n)
+    if n:
+        yield from last()
+
+
 def need(total: np.ndarray) -> np.ndarray:
     """Least overlap of two sets of ``total`` elements together at a Jaccard similarity of 0.8."""
     return (4 * total + 8) // 9
@@ -262,12 +365,11 @@ def _candidates(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Re
     names = [*_FOUND_NAMES, *(f"o_{c}" for c in PREFIX)]
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     behind = [pa.int32() if c == "tail" else pa.int64() for c in PREFIX]
-    for table, over in small_or_over(batches, "key", block):
+    for cols, over in whole_groups(batches, block):
         if over:
-            for rows in table.combine_chunks().to_batches():
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, t) for t in types), *rows.columns], names)
+            rows = [pa.array(cols[c]) for c in PREFIX]
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows[0]), t) for t in types), *rows], names)
             continue
-        cols = {c: table.column(c).to_numpy() for c in PREFIX}
         out = _found(cols, np.concatenate(([True], cols["key"][1:] != cols["key"][:-1])))
         yield pa.RecordBatch.from_arrays([*out, *(pa.nulls(len(out[0]), t) for t in behind)], names)
 
@@ -285,12 +387,12 @@ def _block_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 
 def candidates(rows: DataFrame, block: int) -> DataFrame:
-    """(node, tail, key, size) of the classes that have a candidate at a prefix token ``key``, from prefix_rows().
+    """(node, tail, key, size) of the classes that have a candidate at a prefix token ``key``, from packed().
 
     Where two tokens give a class the same candidates, the first is enough: a
     pair's first common token is kept by both of its classes.
     """
-    dealt = rows.repartition(tasks(rows), "key").sortWithinPartitions("key", *CLASS)
+    dealt = rows.repartition(tasks(rows), "share").sortWithinPartitions("share")
     behind = ", ".join(f"o_{c} {t}" for c, t in PREFIX_TYPES.items())
     near = materialise(in_batches(dealt, partial(_candidates, block=block), f"{_FOUND}, {behind}"), "near")
     over = near.where("o_key is not null").select(*(F.col(f"o_{c}").alias(c) for c in PREFIX))
@@ -300,7 +402,10 @@ def candidates(rows: DataFrame, block: int) -> DataFrame:
         over = over.dropDuplicates(["key", *CLASS])
         near = near.union(in_batches(block_groups(over, "key", "node", block), _block_candidates, _FOUND))
     met = near.groupBy(*CLASS, "others").agg(F.min(F.struct("key", "size")).alias("at"))
-    return materialise(met.select(*CLASS, "at.*").distinct(), "met")
+    met = materialise(met.select(*CLASS, "at.*").distinct(), "met")
+    # The prefix rows are the largest shuffle; nothing needs them now.
+    release(met.sparkSession)
+    return met
 
 
 # Verification
@@ -395,19 +500,73 @@ class Block:
             yield at, ok
 
 
-def verified_blocks(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ()) -> Iterator[tuple[Block, pa.Table]]:
-    """Blocks of two or more members, with their rows, ordered by the columns ``by``."""
+def _few(data: list[bytes], number: np.ndarray, key: np.ndarray, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of linked sets within many small blocks at once; ``number`` and ``key`` are those of each set's block."""
+    m = len(data)
+    size = np.array([len(d) // 16 for d in data], np.int64)
+    token, check = _unpacked(data)
+    _, column = _ids(token, check)
+    row = np.repeat(np.arange(m), size)
+    # Elements of one block stand together, in it those that are the same.
+    both = (number[row] << 32) | column
+    order = np.argsort(both, kind="stable")
+    both = both[order]
+    early, first = (token < key[row].view(np.uint64))[order], (token == key[row].view(np.uint64))[order]
+    row = row[order]
+    start = _runs(number)
+    many = np.diff(np.append(start, m))
+    # A cell for each two sets of a block.
+    within = np.arange(m) - np.repeat(start, many)
+    base = np.repeat(np.cumsum(many * many) - many * many, many) + within * np.repeat(many, many)
+    cells = int((many * many).sum())
+    overlap, before, alike = np.zeros(cells, np.int64), np.zeros(cells, bool), np.zeros(cells, bool)
+    for a, b in pairs_by_offset(_runs(both), both.size, lambda a, b: np.ones(a.size, bool)):
+        at = base[row[a]] + within[row[b]]
+        overlap += np.bincount(at, minlength=cells)
+        before[at[early[a]]] = True
+        alike[at[first[a]]] = True
+    # Each pair counts at its first common token alone.
+    found = np.flatnonzero(alike & ~before)
+    a = np.searchsorted(base, found, "right") - 1
+    # The cells of a set go from its base on, one for each set of its block.
+    b = np.repeat(start, many)[a] + found - base[a]
+    ok = overlap[found] >= need(size[a] + size[b])
+    if part is not None:
+        ok &= (part[a] < 0) | (part[a] != part[b])
+    return a[ok], b[ok]
+
+
+def verified_blocks(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ()) -> Iterator[tuple[pa.Table, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """Rows of one or more blocks, those of a block ordered by the columns ``by``, and their links: pairs a < b of rows, some at a time."""
+
+    def large(data: list[bytes], key: int, part: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at, ok in Block(data, key, part).tiles():
+            a, b = np.nonzero(ok)
+            yield a + at, b
+
     for table in whole_blocks(batches, rows=1024):
         cols = {c: table.column(c).to_numpy() for c in ("key", "i", "j", "part")}
-        start = np.flatnonzero(_heads(cols, table.num_rows))
-        for s, e in zip(start.tolist(), [*start[1:].tolist(), table.num_rows], strict=True):
-            if e - s < 2:
-                continue
-            rows = table.slice(s, e - s)
-            if by:
-                rows = rows.take(pa.array(np.lexsort([rows.column(c).to_numpy() for c in reversed(by)])))
-            apart = cols["i"][s] != cols["j"][s]
-            yield Block([x.as_py() for x in rows.column("elements")], int(cols["key"][s]), rows.column("part").to_numpy() if apart else None), rows
+        head = _heads(cols, table.num_rows)
+        number = np.cumsum(head) - 1
+        if by:
+            order = np.lexsort([*(table.column(c).to_numpy() for c in reversed(by)), number])
+            table, cols = table.take(pa.array(order)), {c: v[order] for c, v in cols.items()}
+        data = [x.as_py() for x in table.column("elements")]
+        apart = cols["i"] != cols["j"]
+        part = np.where(apart, cols["part"], -1).astype(np.int64)
+        start = np.append(np.flatnonzero(head), table.num_rows)
+        weight = np.concatenate(([0], np.cumsum([len(d) // 16 for d in data])))
+        first = 0  # of the small blocks that are taken together
+        for s, e in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+            alone = e - s > FEW or weight[e] - weight[s] > HELD
+            if first < s and (alone or weight[e] - weight[first] > HELD):
+                yield table.slice(first, s - first), iter([_few(data[first:s], number[first:s], cols["key"][first:s], part[first:s])])
+                first = s
+            if alone:
+                yield table.slice(s, e - s), large(data[s:e], int(cols["key"][s]), cols["part"][s:e] if apart[s] else None)
+                first = e
+        if first < table.num_rows:
+            yield table.slice(first), iter([_few(data[first:], number[first:], cols["key"][first:], part[first:])])
 
 
 def members(met: DataFrame, sets: DataFrame, elements: int = ELEMENTS) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodeframe.llm import linedup, setjoin
@@ -145,3 +146,78 @@ def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string, links long")
     assert linedup.matched_lines(frame).count() == 0
     assert linedup.drop_matched_lines(frame).collect() == []
+
+
+def _random_sets(seed: int, members: int) -> setjoin.Sets:
+    rng = np.random.default_rng(seed)
+    pool = rng.integers(0, 1 << 63, (2, 50), dtype=np.uint64)
+    pool[0][40:] = pool[0][:10]  # names that collide
+    base = [rng.permutation(50)[: rng.integers(8, 40)] for _ in range(6)]
+    rows = []
+    for _ in range(members):
+        own = base[rng.integers(6)].copy()
+        own[rng.integers(0, own.size, 2)] = rng.integers(0, 50, 2)
+        rows.append(np.unique(own))
+    return setjoin.distinct(pool[0][np.concatenate(rows)], pool[1][np.concatenate(rows)], np.repeat(np.arange(members), [r.size for r in rows]))
+
+
+def test_small_blocks_are_verified_together():
+    """One pass over many blocks gives the links that each block gives by itself, parts or not."""
+    packed = [x.as_py() for x in setjoin.pack_sets(_random_sets(5, 120))]
+    rng = np.random.default_rng(1)
+    rows = []
+    for key in np.unique(_random_sets(5, 120).token).tolist():
+        own = [k for k, d in enumerate(packed) if key in np.frombuffer(d, np.uint64, len(d) // 16)]
+        for j in (0, 1):
+            rows += [(key, 0, j, int(rng.integers(2)) if j else 0, k, packed[k]) for k in own]
+    table = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["key", "i", "j", "part", "id", "elements"])
+    want, steps = set(), 0
+    blocks: dict = {}
+    for r in rows:
+        blocks.setdefault(r[:3], []).append(r)
+    for (key, i, j), own in blocks.items():
+        block = setjoin.Block([r[5] for r in own], key, np.array([r[3] for r in own]) if i != j else None)
+        want |= {(key, j, own[a + at][4], own[b][4]) for at, ok in block.tiles() for a, b in zip(*np.nonzero(ok), strict=True)}
+    for few in (setjoin.FEW, 10, 0):
+        got, setjoin.FEW, keep = set(), few, setjoin.FEW
+        try:
+            for own, pairs in setjoin.verified_blocks(iter([table]), ("id",)):
+                steps += few == keep
+                key, j, ids = (own.column(c).to_pylist() for c in ("key", "j", "id"))
+                for a, b in pairs:
+                    assert all(key[x] == key[y] and j[x] == j[y] for x, y in zip(a.tolist(), b.tolist(), strict=True))
+                    got |= {(key[x], j[x], ids[x], ids[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)}
+        finally:
+            setjoin.FEW = keep
+        assert got == want and want
+    assert steps < len(blocks)
+
+
+def test_prefix_rows_travel_packed(monkeypatch):
+    """Shares hold every row of a key; large groups are handed on in pieces, and nothing is lost."""
+    monkeypatch.setattr(setjoin, "HELD", 500)
+    rng = np.random.default_rng(2)
+    n = 4000
+    key = np.where(rng.random(n) < 0.4, 7, rng.integers(0, 900, n))
+    size = rng.choice([5, 90, 150, 300, 70_000], n)
+    cols = {"key": key, "node": rng.integers(-(1 << 62), 1 << 62, n), "tail": rng.integers(-9, 9, n).astype(np.int32), "size": (size << 32) | rng.integers(0, 5, n)}
+    cols |= {f"b{k}": rng.integers(-(1 << 62), 1 << 62, n) for k in range(4)}
+    told = lambda c: list(zip(*(c[x].tolist() for x in setjoin.PREFIX), strict=True))
+    batch = pa.RecordBatch.from_arrays([pa.array(cols[c]) for c in setjoin.PREFIX], setjoin.PREFIX)
+    # Two tasks give out their rows; one task reads them in order of share.
+    out = [r for at in (0, 2000) for b in setjoin.packed(iter([batch.slice(at + k, 100) for k in range(0, 2000, 100)]), 6) for r in b.to_pylist()]
+    assert len(out) < n / 20 and sum(r["rows"] for r in out) == n
+    out.sort(key=lambda r: r["share"])
+    batches = pa.Table.from_pylist(out, pa.schema([("share", pa.int32()), ("rows", pa.int32()), ("data", pa.binary())])).to_batches(max_chunksize=3)
+    got, large, small = [], set(), []
+    for part, over in setjoin.whole_groups(iter(batches), 50, rows=300):
+        got += told(part)
+        if over:
+            large |= set(part["key"].tolist())
+            assert len(part["key"]) < 3000
+        else:
+            own = told(part)
+            assert own == sorted(own, key=lambda r: r[:3])
+            small.append({r[0] for r in own})
+    assert sorted(got) == sorted(told(cols)) and large == {7}
+    assert sum(map(len, small)) == len(set.union(*small)) and 7 not in set.union(*small)
