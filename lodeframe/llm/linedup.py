@@ -160,7 +160,7 @@ def drop_matched_lines(docs: DataFrame, block: int = BLOCK, elements: int = ELEM
     removed = matched_lines(docs, block, elements).where("removed")
     gone = removed.groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.sort_array(F.collect_set("line")).alias("__gone"))
     gone = materialise(gone, "gone")
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__tag")), "left")
+    joined = docs.join(broadcastable(gone), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__tag")), "left")
     out = joined.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("__gone"))))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))

@@ -392,6 +392,8 @@ def candidates(rows: DataFrame, block: int) -> DataFrame:
     Where two tokens give a class the same candidates, the first is enough: a
     pair's first common token is kept by both of its classes.
     """
+    # The prefix rows are the largest shuffle: those of earlier steps are let go before it, and it after.
+    release(rows.sparkSession)
     dealt = rows.repartition(tasks(rows), "share").sortWithinPartitions("share")
     behind = ", ".join(f"o_{c} {t}" for c, t in PREFIX_TYPES.items())
     near = materialise(in_batches(dealt, partial(_candidates, block=block), f"{_FOUND}, {behind}"), "near")
@@ -403,7 +405,6 @@ def candidates(rows: DataFrame, block: int) -> DataFrame:
         near = near.union(in_batches(block_groups(over, "key", "node", block), _block_candidates, _FOUND))
     met = near.groupBy(*CLASS, "others").agg(F.min(F.struct("key", "size")).alias("at"))
     met = materialise(met.select(*CLASS, "at.*").distinct(), "met")
-    # The prefix rows are the largest shuffle; nothing needs them now.
     release(met.sparkSession)
     return met
 

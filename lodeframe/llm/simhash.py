@@ -26,7 +26,7 @@ from .blocks import BLOCK, Forest, block_groups, pairs_by_offset, whole_blocks
 from .components import components
 from .neardocs import near_documents
 from .setjoin import CLASS
-from .storage import in_batches, materialise
+from .storage import broadcastable, in_batches, materialise
 
 SEGMENTS, BITS = 32, 2
 #: The lower bit of every segment.
@@ -182,7 +182,8 @@ def keep_one(docs: DataFrame, words: int = 5) -> DataFrame:
     counted = prints.groupBy(F.col("doc_id").alias("__doc"), F.col("tag").alias("__tag")).agg(F.count(F.lit(1)).alias("__n"))
     kept = materialise(kept.join(counted, kept["__doc"].eqNullSafe(counted["__doc"]) & (kept["__tag"] == counted["__tag"])).select(kept["__doc"], kept["__tag"], "__n"), "kept")
     same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (tag == F.col("__tag"))
-    single = docs.join(kept.where("__n = 1"), same, "left_semi")
+    # As long as the ids may be broadcast, the texts need no shuffle.
+    single = docs.join(broadcastable(kept.where("__n = 1")), same, "left_semi")
     more = kept.where("__n > 1")
     if not more.take(1):
         return single
