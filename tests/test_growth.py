@@ -7,8 +7,9 @@ import random
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from lodeframe.operators import chunks, retrieval, stats, vectors
+from lodeframe.operators import chunks, postings, retrieval, stats, vectors
 from lodeframe.plans import registry
 from lodeframe.sources import files
 from lodeframe.streaming import masker
@@ -184,3 +185,29 @@ def test_tfidf_shuffles_texts_not_tokens(spark, monkeypatch):
     got = {r.key for r in retrieval.tfidf(docs, asked).collect()}
     assert got == {1, 3} and plans["counts"].count("Exchange hashpartitioning") == 1
     assert "Exchange hashpartitioning(key" in plans["counts"] and "token" not in plans["counts"].split("Exchange hashpartitioning")[1].split("\n")[0]
+
+
+def test_index_hands_on_spans_not_pairs(spark, monkeypatch):
+    """Counts are a row for each span, postings one for each token of a span; over many spans the best are those of all, ties by key."""
+    rng, rows, keep = random.Random(8), {}, postings.written
+
+    def counting(df, name):
+        out = keep(df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(postings, "written", counting)
+    monkeypatch.setattr(postings, "SPAN", 6000)
+    words = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(12))) for _ in range(400)] + ["same words 报销 here"] * 50 + [None, "", "İx K9_ 报销流程"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "key int, text string")
+    asked = spark.createDataFrame([(1, "same words here"), (2, "w1 w2 w2 w29"), (3, "报销"), (4, "k9_ ix i x"), (5, "no")], "query int, text string")
+    index = postings.build(docs)
+    spans = index.postings.select("span").distinct().count()
+    assert 3 < spans and rows["counts"] <= spans + 2
+    pairs, held = index.postings.agg(F.sum("n"), F.count("token")).first()
+    assert held <= spans * index.terms.count() and pairs > 2 * held
+    told = lambda df: sorted((r.query, round(r.score, 9)) for r in df.collect())
+    found = index.search(asked, 5)
+    assert told(found) == told(retrieval.best(retrieval.tfidf(docs, asked), 5)) and {r.query for r in found.collect()} == {1, 2, 3, 4}
+    assert [r.key for r in found.where("query = 1").orderBy("place").collect()] == [400, 401, 402, 403, 404]
