@@ -66,7 +66,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, most: int = SE
         raise ValueError("the sequence length must be a power of two")
     source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, turn long"
-    return in_batches(source, partial(_pieces, path=tokenizer, end_id=end_id, most=most), schema)
+    return in_batches(source, partial(_pieces, path=tokenizer, end_id=end_id, most=most), schema, keep=True)
 
 
 def bucket(pieces: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .blocks import block_groups, pairs_by_offset, weighed_blocks, whole_blocks
 from .bytewords import mix
 from .order import tasks
-from .storage import in_batches, materialise, release
+from .storage import BATCH_BYTES, in_batches, materialise, release
 
 #: Element counts are kept for this many hash buckets: the table that tasks get is 4 MB, whatever the input.
 BUCKETS = 1 << 20
@@ -226,25 +226,36 @@ def packed(parts: Iterator[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBa
         held.append(part)
         n += part.num_rows
         if n >= HELD:
-            yield _packed(held, shares)
-            held, n = [], 0
+            yield from _packed(held, shares)
+            n = 0
     if n:
-        yield _packed(held, shares)
+        yield from _packed(held, shares)
 
 
-def _packed(held: list[pa.RecordBatch], shares: int) -> pa.RecordBatch:
-    cols = {c: np.concatenate([x.column(c).to_numpy() for x in held]) for c in PREFIX}
-    n, place = cols["size"] >> 32, cols["size"] & 0xFFFFFFFF
-    share = (mix(cols["key"].view(np.uint64)) % np.uint64(shares)).astype(np.uint32)
+def _packed(held: list[pa.RecordBatch], shares: int) -> Iterator[pa.RecordBatch]:
+    """Packs the rows ``held`` and empties it: one column after the other, and some shares at a time, so that few copies stand at once."""
+
+    def column(name: str) -> np.ndarray:
+        return np.concatenate([x.column(name).to_numpy() for x in held])
+
+    size = column("size")
+    n, place = size >> 32, size & 0xFFFFFFFF
+    share = (mix(column("key").view(np.uint64)) % np.uint64(shares)).astype(np.uint32)
     # Rows of narrow bitmaps lie together, so that what they leave empty costs nothing.
     order = np.argsort(share * np.uint32(3) + (n > NARROW) + (n > MEDIUM), kind="stable")
     kind = np.uint16 if n.max() < 1 << 16 else np.uint32
-    out = [cols["key"], cols["node"], cols["tail"], n.astype(kind), place.astype(kind), *(cols[f"b{k}"] for k in range(4))]
-    out, share = [x[order] for x in out], share[order]
+    out = [column(c)[order] for c in ("key", "node", "tail")] + [n.astype(kind)[order], place.astype(kind)[order]] + [column(f"b{k}")[order] for k in range(4)]
+    held.clear()
+    share = share[order]
+    del size, n, place, order
     start = _runs(share)
     stop = np.append(start[1:], share.size)
-    data = [b"".join([x[a:b].tobytes() for x in out]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(share[start].view(np.int32)), pa.array((stop - start).astype(np.int32)), pa.array(data, pa.binary())], ["share", "rows", "data"])
+    most, at = BATCH_BYTES // sum(x.itemsize for x in out), 0
+    while at < start.size:
+        end = max(at + 1, int(np.searchsorted(stop, start[at] + most, "right")))
+        data = [b"".join([x[a:b].tobytes() for x in out]) for a, b in zip(start[at:end].tolist(), stop[at:end].tolist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(share[start[at:end]].view(np.int32)), pa.array((stop - start)[at:end].astype(np.int32)), pa.array(data, pa.binary())], ["share", "rows", "data"])
+        at = end
 
 
 def _unpacked_rows(data: bytes, rows: int) -> dict[str, np.ndarray]:

@@ -160,7 +160,7 @@ def _ordered(docs: DataFrame, parts: int, tokenizer: str, stride: int, end_id: i
     source = docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc"), F.xxhash64(text).alias("tie"), F.monotonically_increasing_id().alias("turn"), text.alias("text"))
     order = ["doc", "tie", "turn"]
     bounds = _bounds(source, parts)
-    made = in_batches(source, partial(_encoded, path=tokenizer, end_id=end_id, kind=kind, bounds=bounds), _DOCUMENT)
+    made = in_batches(source, partial(_encoded, path=tokenizer, end_id=end_id, kind=kind, bounds=bounds), _DOCUMENT, keep=True)
     dealt = made.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", *order)
     return materialise(in_batches(dealt, partial(_counted, stride=stride), "part int, doc long, tokens long, ids binary, first long"), "ordered")
 

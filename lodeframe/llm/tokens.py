@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 from .bytewords import words
+from .storage import kept
 
 #: Slots of the word table and ids it may hold, which bound it at 64 MB in each worker.
 SLOTS, POOL = 1 << 21, 1 << 23
@@ -103,14 +104,9 @@ class WordEncoder:
             yield w.first, self.pool[index], np.bincount(w.text, each, minlength=texts).astype(np.int64)
 
 
-_encoders: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One for each worker process."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """One for each worker process, as long as its tasks encode."""
+    return kept(("encoder", path), lambda: WordEncoder(path))
 
 
 def closed_documents(column: pa.Array, path: str, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:

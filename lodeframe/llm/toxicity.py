@@ -159,7 +159,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         if r.size.n <= TRAIN_LONGEST and total + r.size.n <= TRAIN_CHARACTERS:
             chosen[r.doc_id] = (r.doc_id, r.size.tie, float(r.toxic > 0))
             total += r.size.n
-    picked = F.broadcast(spark.createDataFrame(list(chosen.values()), "doc_id long, tie long, toxic double"))
+    # As an Arrow table, for which no Python workers are begun.
+    kinds = {"doc_id": pa.int64(), "tie": pa.int64(), "toxic": pa.float64()}
+    table = pa.table({c: pa.array([row[k] for row in chosen.values()], kind) for k, (c, kind) in enumerate(kinds.items())})
+    picked = F.broadcast(spark.createDataFrame(table))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie")).join(picked, ["doc_id", "tie"]).dropDuplicates(["doc_id"])
     sample = rows.select("doc_id", "text", "toxic").toArrow().sort_by("doc_id").combine_chunks()
     if not sample.num_rows:
